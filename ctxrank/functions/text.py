@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python treats as whitespace and as line ends.
-# Java's \s and Spark's trim know fewer of them, so both are spelled out.
-WHITESPACE = (
-    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
-LINE_END = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+# What Python treats as whitespace and as line ends. Java's
+# Unicode \s lacks the separators 1C-1F, and \v lacks 1C-1E.
+WHITESPACE = r"(?U:[\s\x1C-\x1F])"
+WHITESPACE_CHARS = "".join(
+    chr(c)
+    for c in [
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    ]
+)
+LINE_END = r"\r\n|[\v\x1C\x1D\x1E]"
+PIECE_END = r"[\v\x1C\x1D\x1E?]+"
 
 # Markers in prompts and completions.
 COMPLETION_END = "####"
@@ -30,7 +35,7 @@ RAW_DOCUMENT = "title STRING, text STRING, contents STRING, passage STRING"
 
 def strip(text: Column) -> Column:
     """Remove whitespace, in the wide sense above, from both ends."""
-    return F.regexp_replace(text, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    return F.trim(text, F.lit(WHITESPACE_CHARS))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -72,10 +77,9 @@ def clean_question(piece: Column, literal_strip: bool = False) -> Column:
     """
     text = strip(piece)
     if literal_strip:
-        text = F.regexp_replace(text, r"\A\\+|\\+\z", "")
-        text = F.regexp_replace(text, r"\A[\\n]+", "")
+        text = F.ltrim(F.trim(text, F.lit("\\")), F.lit("\\n"))
     else:
-        text = F.regexp_replace(text, r"\A(?:\\n|\\)+|\\+\z", "")
+        text = F.regexp_replace(F.rtrim(text, F.lit("\\")), r"\A(?:\\n|\\)+", "")
     return F.regexp_replace(F.lower(text), rf"\A(?:\p{{Nd}}+\.|-{WHITESPACE})", "")
 
 
@@ -85,7 +89,7 @@ def parse_questions(text: Column, literal_strip: bool = False) -> Column:
     Line ends and question marks both separate pieces, so one split does for
     both; a null completion has no pieces.
     """
-    pieces = F.split(text, rf"{LINE_END}|\?")
+    pieces = F.split(text, PIECE_END)
     pieces = F.filter(pieces, lambda p: ~F.contains(p, F.lit(QUESTIONS_HEADER)))
     questions = F.transform(pieces, lambda p: clean_question(p, literal_strip))
     kept = F.filter(questions, lambda q: F.char_length(q) > MIN_QUESTION_CHARS)
@@ -117,7 +121,7 @@ def chat_line(role: Column, content: Column, extras: Column | None = None) -> Co
 
 def terms(text: Column) -> Column:
     """Array of the lower-cased runs of letters in a text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 def word_windows(text: Column, size: int, step: int) -> Column:

@@ -120,20 +120,54 @@ def generate(
     )
 
 
-def test_vector(text: Column, dimensions: int = TEST_DIMENSIONS) -> Column:
-    """Stand-in encoder: term counts hashed into a few dimensions."""
-    hashed = F.transform(
-        terms(text),
-        lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint")
-        % dimensions,
-    )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda d: F.size(F.filter(hashed, lambda h: h == d)).cast("double"),
+def test_vectors(
+    texts: DataFrame, key: str, text: str, dimensions: int = TEST_DIMENSIONS
+) -> DataFrame:
+    """Stand-in encoder: ``(key, vec)``, term counts hashed into a few dimensions.
+
+    Terms are counted where their text is, so only one row per text and task
+    is shuffled.
+    """
+    words = texts.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
+    digest = F.substring(F.md5(F.col("term").cast("binary")), 1, 8)
+    hashed = words.select(
+        key, (F.conv(digest, 16, 10).cast("bigint") % dimensions).alias("d")
     )
+    counts = [F.count_if(F.col("d") == d).cast("double") for d in range(dimensions)]
+    return hashed.groupBy(key).agg(F.array(*counts).alias("vec"))
 
 
 def test_completion(text: Column) -> Column:
     """Stand-in generator: each sentence of a text as one numbered question."""
     questions = F.replace(text, F.lit(". "), F.lit("?\n2. "))
     return F.concat(F.lit("Questions:\n1. "), questions, F.lit("####tail"))
+
+
+def make_test_encoder(dimensions: int = TEST_DIMENSIONS) -> Encoder:
+    """The stand-in encoder as a callable, for the batch operator."""
+    import hashlib
+
+    import numpy as np
+    import regex
+
+    letters = regex.compile(r"\p{L}+")
+
+    def encode(texts):
+        vectors = np.zeros((len(texts), dimensions))
+        for row, text in zip(vectors, texts):
+            for term in letters.findall(text.lower()):
+                row[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dimensions] += 1
+        return vectors
+
+    return encode
+
+
+def make_test_generator() -> Generator:
+    """The stand-in generator as a callable; it reads the passage out of the prompt."""
+
+    def complete(prompts, n, temperature):
+        passages = [p.split("<passage>")[-1].split("\n</passage>")[0] for p in prompts]
+        texts = ["Questions:\n1. " + p.replace(". ", "?\n2. ") + "####tail" for p in passages]
+        return [[text] * n for text in texts]
+
+    return complete

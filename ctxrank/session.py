@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +32,30 @@ def build_session(name: str = "ctxrank", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="ctxrank-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="ctxrank-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -47,6 +47,13 @@ def store_name(model: str, topic: str, temperature: float, n: int) -> str:
     return name if (temperature, n) == (0.1, 1) else f"{name}_temperature_{temperature}_n_{n}"
 
 
+def store_sizes(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Number of distinct keys in each partition of a store."""
+    rows = spark.read.schema(schema).parquet(path)
+    partition = [c for c in rows.columns if c not in (key, "pos", "text", "vec")]
+    return rows.groupBy(*partition).agg(F.count_distinct(key).alias("items"))
+
+
 @dataclass(frozen=True)
 class Store:
     """One partition of a store: a folder, a schema and the partition's values."""

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.functions.text import LINE_END, WHITESPACE, document_text, terms
+from ctxrank.functions.text import document_text, terms
 from ctxrank.functions.vectors import as_vector, text_key
-from ctxrank.operators.models import test_completion, test_vector
+from ctxrank.operators.models import test_completion, test_vectors
 from ctxrank.operators.questions import prompts
 from ctxrank.operators.search import dense_topk
 from ctxrank.session import stage
@@ -182,17 +182,17 @@ def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_choices(context: Column) -> Column:
-    """Two completions for a document; for half of them one says "No Content"."""
+    """Two completions and a failed one; for half of the documents one says "No Content"."""
     mark = F.substring(F.md5(context.cast("binary")), 1, 1)
     opening = F.when(mark < "2", "No Content\n").otherwise("")
     second = F.when(mark < "8", "No Content\n- and then?").otherwise(
         "- who asks this?\n- who wants to know"
     )
-    return F.array(F.concat(opening, test_completion(context)), second)
+    return F.array(F.concat(opening, test_completion(context)), second, F.lit(None))
 
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
-    """``(prompt_key, choice, text)``: two choices per distinct prompt."""
+    """``(prompt_key, choice, text)``: three choices per distinct prompt, the last failed."""
     distinct = (
         document_prompts(spark, sf)
         .groupBy("prompt_key")
@@ -203,11 +203,6 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def text_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Stand-in vectors of a text column, under ``key``."""
-    return df.select(key, test_vector(F.col(text)).alias("vec"))
-
-
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, weight)``: term counts."""
     words = df.select(key, F.explode(terms(F.col(text))).alias("term"))
@@ -218,7 +213,29 @@ def text_store(df: DataFrame, text: str) -> DataFrame:
     """``(text_key, vec)`` of the distinct texts."""
     keyed = df.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     distinct = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    return text_vectors(distinct, "text_key", "text")
+    return test_vectors(distinct, "text_key", "text")
+
+
+# The characters of both classes, in the syntax of the SQL engine.
+WHITESPACE = (
+    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+LINE_END = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def looked_up_vectors(spark: SparkSession, sf: str, texts: DataFrame, text: str) -> DataFrame:
+    """``(text_key, vec)``: for each distinct text a row of ``embeddings``, by hash."""
+    table = vectors(spark, sf).select("vec_id", "vec")
+    count = table.agg(F.count("*")).scalar()
+    keys = texts.select(text_key(F.col(text)).alias("text_key")).distinct()
+    place = F.conv(F.substring("text_key", 1, 8), 16, 10).cast("bigint") % count
+    return keys.withColumn("vec_id", place).join(table, "vec_id").select("text_key", "vec")
+
+
+def looked_up_sql(text_key: str) -> str:
+    """The ``vec_id`` whose vector a text key stands for."""
+    return f"('0x' || substr({text_key}, 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"
 
 
 def collapse_sql(text: str) -> str:
@@ -274,7 +291,8 @@ completions AS (
   FROM marked
   UNION ALL
   SELECT prompt_key, 1, CASE WHEN mark < '8' THEN 'No Content' || chr(10) || '- and then?'
-         ELSE '- who asks this?' || chr(10) || '- who wants to know' END FROM marked)
+         ELSE '- who asks this?' || chr(10) || '- who wants to know' END FROM marked
+  UNION ALL SELECT prompt_key, 2, NULL FROM marked)
 """
 
 

@@ -20,6 +20,7 @@ from ctxrank.functions.text import (
 )
 from ctxrank.functions.vectors import text_key
 from ctxrank.operators.conversation import conversation_prompts
+from ctxrank.operators.models import test_vectors
 from ctxrank.operators.questions import (
     chunk_documents,
     contexts,
@@ -55,7 +56,6 @@ from workload.fixtures import (
     text_counts_sql,
     text_hits_sql,
     text_qrels,
-    text_vectors,
     topics,
 )
 from workload.registry import query
@@ -473,7 +473,7 @@ def p8_min_idf(spark, sf):
          (SELECT docid, d AS i, c FROM dv) USING (docid, i) GROUP BY docid""",
 )
 def m4_test_vectors(spark, sf):
-    return text_vectors(document_contexts(spark, sf), "docid", "context")
+    return test_vectors(document_contexts(spark, sf), "docid", "context")
 
 
 @query(
@@ -484,8 +484,8 @@ def m4_test_vectors(spark, sf):
 def c1_first_stage(spark, sf):
     """Top documents of the judged topics, by stand-in vectors of the whole texts."""
     wanted = judged(topics(spark, sf), text_qrels(spark, sf))
-    queries = text_vectors(wanted, "qid", "title")
-    return dense_topk(queries, text_vectors(document_contexts(spark, sf), "docid", "context"), 100)
+    queries = test_vectors(wanted, "qid", "title")
+    return dense_topk(queries, test_vectors(document_contexts(spark, sf), "docid", "context"), 100)
 
 
 @query(
