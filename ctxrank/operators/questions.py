@@ -20,6 +20,7 @@ from ctxrank.functions.text import (
 from ctxrank.functions.vectors import moments, mean_vector, spread, text_key
 from ctxrank.operators.ranking import rank_all
 from ctxrank.operators.rerank import SPREAD_COEF, question_score, question_statistics
+from ctxrank.session import matching
 
 DRAWS = 10
 
@@ -37,7 +38,7 @@ def prompts(
 def contexts(docids: DataFrame, corpus: DataFrame) -> DataFrame:
     """Text of the wanted documents; one that the corpus lacks has the text ``''``."""
     wanted = docids.select("docid").distinct()
-    found = corpus.select("docid", "raw")
+    found = matching(corpus.select("docid", "raw"), wanted, "docid")
     return wanted.join(found, "docid", "left").select(
         "docid", document_text(F.col("raw")).alias("context")
     )
@@ -181,7 +182,7 @@ def sampled_scores(
     seed: int = 0,
 ) -> DataFrame:
     """Question score of each candidate, averaged over draws of its questions."""
-    wanted = questions.join(pairs.select("docid").distinct(), "docid", "left_semi")
+    wanted = matching(questions, pairs, "docid")
     drawn = sample_questions(wanted, ratio, draws, seed)
     stats = question_statistics(pairs, query_vecs, drawn, spread_coef != 0, ("draw",))
     scored = stats.withColumn("_score", question_score(method, spread_coef))

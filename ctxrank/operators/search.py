@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxrank.operators.ranking import top_k
-from ctxrank.session import BROADCAST_BYTES, broadcast_within, table_bytes
+from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, table_bytes
 
 CELL_DOCUMENTS = 100_000
 TERM_SALTS = 32
@@ -180,9 +180,9 @@ def frequent_enough(
     query_terms: DataFrame, postings: DataFrame, documents: int, min_idf: float
 ) -> DataFrame:
     """Query terms whose idf, ln(documents / document frequency), is at least ``min_idf``."""
-    found = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
     rare = (
-        found.groupBy("term")
+        matching(postings, query_terms, "term")
+        .groupBy("term")
         .agg(F.count("*").alias("df"))
         .where(F.log(F.lit(float(documents)) / F.col("df")) >= min_idf)
     )

@@ -78,7 +78,7 @@ def first_stage(
     topics: DataFrame, qrels: DataFrame, queries: DataFrame, index: DataFrame, k: int, sparse: bool
 ) -> DataFrame:
     """Top-k hits of the judged topics; dense by vector or sparse by term weight."""
-    wanted = queries.join(judged(topics, qrels).select("qid"), "qid", "left_semi")
+    wanted = judged(queries, judged(topics, qrels))
     return sparse_topk(wanted, index, k) if sparse else dense_topk(wanted, index, k)
 
 
@@ -183,10 +183,11 @@ def end_to_end(
 ) -> Runs:
     """Rank the judged topics and return the first, the base and the final run.
 
-    Each run is staged once it is known, as later steps read it more than
-    once; the stores make sure that no text is generated or encoded twice.
+    What several later steps read is staged, so that the corpus and the index
+    are scanned once per step; the stores make sure that no text is generated
+    or encoded twice.
     """
-    topics = judged(topics, qrels)
+    topics = stage(judged(topics, qrels))
     if setting.base == "passages" and sparse:
         raise ValueError("passage search needs a dense index")
     first = stage(first_stage(topics, qrels, index_queries, index, DEPTH, sparse))
@@ -205,13 +206,14 @@ def end_to_end(
             )
         )
     else:
-        texts = contexts(first, corpus).withColumn("text_key", text_key(F.col("context")))
+        texts = stage(contexts(first, corpus).withColumn("text_key", text_key(F.col("context"))))
         vectors = embed(texts, text_store, make_encoder, "context", tasks)
         doc_vecs = texts.select("docid", "text_key").join(vectors, "text_key")
         base = stage(rerank_by_vector(first, query_vecs, doc_vecs, DEPTH))
 
-    asked = question_prompts(head(base, setting.first_n), corpus, setting.topic)
-    questions = cut_no_content(ask(asked, question_store, make_generator, setting, tasks))
+    asked = stage(question_prompts(head(base, setting.first_n), corpus, setting.topic))
+    answers = stage(ask(asked, question_store, make_generator, setting, tasks))
+    questions = stage(cut_no_content(answers))
     vectors = embed(questions, text_store, make_encoder, "question", tasks)
     reranked = rank(base, query_vecs, question_vectors(questions, vectors), setting)
     return Runs(first, base, stage(reranked))

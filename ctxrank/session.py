@@ -76,3 +76,14 @@ def table_bytes(df: DataFrame) -> int:
 def broadcast_within(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` marked for broadcast if its rows fit into ``budget`` bytes, else None."""
     return F.broadcast(df) if table_bytes(df) <= budget else None
+
+
+def matching(
+    big: DataFrame, wanted: DataFrame, key: str, budget: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The rows of ``big`` whose key is wanted; keys that fit are broadcast.
+
+    With broadcast keys the big side is filtered where it is scanned.
+    """
+    keys = wanted.select(key)
+    return big.join(broadcast_within(keys, budget) or keys, key, "left_semi")

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxrank.session import broadcast_within, matching, stage
+
 GENERATED = (
     "prompt_key STRING, pos INT, text STRING,"
     " kind STRING, model STRING, topic STRING, temperature DOUBLE, n INT"
@@ -26,18 +28,26 @@ def overlay(winner: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def missing(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """The wanted rows whose key is not held."""
-    return wanted.join(held.select(key), key, "left_anti")
+    """The wanted rows whose key is not held.
+
+    Wanted keys that fit are broadcast, so of a large held side only the keys
+    in question are shuffled.
+    """
+    keys = broadcast_within(wanted.select(key))
+    held = held.select(key)
+    if keys is not None:
+        held = held.join(keys, key, "left_semi")
+    return wanted.join(held, key, "left_anti")
 
 
 def prune(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The stored rows whose key is still referenced."""
-    return stored.join(keys.select(key), key, "left_semi")
+    return matching(stored, keys, key)
 
 
 def lookup(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """The stored rows of the wanted keys."""
-    return stored.join(wanted.select(key).distinct(), key)
+    return matching(stored, wanted, key)
 
 
 def store_name(model: str, topic: str, temperature: float, n: int) -> str:
@@ -83,8 +93,13 @@ class Store:
         labelled.write.mode("append").partitionBy(*self.partition).parquet(self.path)
 
     def fill(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Compute and store what the wanted keys lack; return all their rows."""
+        """Compute and store what the wanted keys lack; return all their rows.
+
+        The wanted rows are staged, since they are compared with the store
+        before and after.
+        """
         spark = wanted.sparkSession
+        wanted = stage(wanted)
         self.append(compute(missing(wanted, self.read(spark), self.key)))
         return lookup(wanted, self.read(spark), self.key)
 

@@ -26,7 +26,7 @@ from ctxrank.operators.questions import (
 from ctxrank.operators.evaluate import mean_ndcg
 from ctxrank.operators.search import dense_topk, judged
 from ctxrank.plans.end_to_end import Setting, ask, end_to_end
-from ctxrank.session import new_folder
+from ctxrank.session import new_folder, stage
 from ctxrank.sources.catalog import resolve
 from ctxrank.sources.experiments import append_experiments, read_experiments
 from ctxrank.sources.store import (
@@ -344,7 +344,8 @@ def c5_questions(spark, sf):
 def c6_question_statistics(spark, sf):
     """Mean vector and spread of every document's questions, after the cut."""
     asked = document_prompts(spark, sf)
-    questions = cut_no_content(document_questions(asked, parse(completions(spark, sf))))
+    whole = document_questions(asked, parse(completions(spark, sf)))
+    questions = stage(cut_no_content(stage(whole)))
     embeddings = looked_up_vectors(spark, sf, questions, "question")
     stats = document_statistics(question_vectors(questions, embeddings))
     return rounded(stats, "spread").withColumn("mean_vec", rounded_vector(F.col("mean_vec")))

@@ -35,6 +35,7 @@ from ctxrank.operators.questions import (
     prompts,
 )
 from ctxrank.operators.search import dense_topk, frequent_enough, judged, sparse_topk
+from ctxrank.session import stage
 from ctxrank.sources.store import missing
 from ctxrank.sources.trec import parse_qrels, parse_topics, run_lines
 from workload.fixtures import (
@@ -311,7 +312,7 @@ def p5_no_content_cut(spark, sf):
     """Questions of every document, cut at the first that says there is no content."""
     asked = document_prompts(spark, sf)
     questions = document_questions(asked, parse(completions(spark, sf)))
-    return cut_no_content(questions)
+    return cut_no_content(stage(questions))
 
 
 @query(
