@@ -19,7 +19,7 @@ from ctxrank.functions.text import (
 )
 from ctxrank.functions.vectors import moments, mean_vector, spread, text_key
 from ctxrank.operators.ranking import rank_all
-from ctxrank.operators.rerank import SPREAD_COEF, question_score, question_statistics
+from ctxrank.operators.rerank import SPREAD_COEF, question_pairs, question_score
 from ctxrank.session import matching
 
 DRAWS = 10
@@ -126,8 +126,8 @@ def cut_no_content(questions: DataFrame, keys: tuple[str, ...] = ("docid",)) ->
 
 def question_vectors(questions: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vector of each question, looked up by its content key."""
-    keyed = questions.withColumn("text_key", text_key(F.col("question")))
-    return keyed.join(embeddings.select("text_key", "vec"), "text_key").drop("text_key", "question")
+    keyed = questions.withColumn("text_key", text_key(F.col("question"))).drop("question")
+    return keyed.join(embeddings.select("text_key", "vec"), "text_key")
 
 
 def document_statistics(vectors: DataFrame, keys: tuple[str, ...] = ("docid",)) -> DataFrame:
@@ -149,42 +149,54 @@ def sample_questions(
     A ratio below 1 is drawn ``DRAWS`` times unless told otherwise. Questions
     are ordered by a hash of seed, draw, document and position, so a draw is
     the same on every run; the hash also splits the ranking of a document's
-    questions, however many it has. Positions keep their order.
+    questions, however many it has. Only ids are ranked, and positions keep
+    their order.
     """
     if not 0 < ratio <= 1:
         raise ValueError(f"ratio must be in (0, 1], got {ratio}")
     draws = draws or (DRAWS if ratio < 1 else 1)
-    numbers = F.sequence(F.lit(0), F.lit(draws - 1))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     if ratio == 1:
-        return questions.withColumn("draw", F.explode(numbers))
-    sizes = questions.groupBy("docid").agg(F.count("*").alias("_n"))
+        return questions.withColumn("draw", numbers)
+    ids = questions.select("docid", "pos")
+    sizes = ids.groupBy("docid").agg(F.ceil(F.count("*") * F.lit(ratio)).alias("_share"))
     label = F.concat_ws(",", F.lit(seed), F.col("draw"), F.col("docid"), F.col("pos"))
-    drawn = (
-        questions.withColumn("draw", F.explode(numbers))
-        .withColumn("_hash", F.md5(label.cast("binary")))
-    )
+    drawn = ids.withColumn("draw", numbers).withColumn("_hash", F.md5(label.cast("binary")))
     bucket = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
-    ranked = rank_all(
-        drawn, [F.col("_hash"), F.col("pos")], bucket, ["docid", "draw"], "_place"
-    )
-    kept = F.col("_place") <= F.ceil(F.col("_n") * F.lit(ratio))
-    return ranked.join(sizes, "docid").where(kept).drop("_hash", "_place", "_n")
+    ranked = rank_all(drawn, [F.col("_hash"), F.col("pos")], bucket, ["docid", "draw"], "_place")
+    kept = ranked.join(sizes, "docid").where(F.col("_place") <= F.col("_share"))
+    return questions.join(kept.select("docid", "pos", "draw"), ["docid", "pos"])
 
 
 def sampled_scores(
     pairs: DataFrame,
     query_vecs: DataFrame,
-    questions: DataFrame,
-    ratio: float,
+    drawn: DataFrame,
+    vectors: DataFrame,
     method: str = "max",
     spread_coef: float = SPREAD_COEF,
-    draws: int | None = None,
-    seed: int = 0,
+    item: str = "pos",
 ) -> DataFrame:
-    """Question score of each candidate, averaged over draws of its questions."""
-    wanted = matching(questions, pairs, "docid")
-    drawn = sample_questions(wanted, ratio, draws, seed)
-    stats = question_statistics(pairs, query_vecs, drawn, spread_coef != 0, ("draw",))
+    """Question score of each candidate, averaged over draws of its questions.
+
+    ``drawn(docid, draw, item)`` says which questions a draw holds, and
+    ``vectors(docid, pos, vec)``, with the item, their vectors. A similarity
+    is computed once and shared by the draws; the spread is one per document
+    and draw.
+    """
+    drawn = drawn.select("docid", "draw", item)
+    sims = question_pairs(pairs, query_vecs, vectors).select("qid", "docid", item, "sim")
+    stats = (
+        sims.join(drawn, ["docid", item])
+        .groupBy("qid", "docid", "draw")
+        .agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_sim"))
+    )
+    if spread_coef:
+        wanted = matching(vectors, pairs, "docid").select("docid", item, "vec")
+        spreads = document_statistics(wanted.join(drawn, ["docid", item]), ("docid", "draw"))
+        stats = stats.join(spreads.select("docid", "draw", "spread"), ["docid", "draw"])
+    else:
+        stats = stats.withColumn("spread", F.lit(0.0))
     scored = stats.withColumn("_score", question_score(method, spread_coef))
     return scored.groupBy("qid", "docid").agg(F.avg("_score").alias("question_score"))
 

@@ -52,7 +52,8 @@ def rank_all(
 
     ``bucket`` never falls along ``order``. Rows are counted per bucket with
     map-side combining; a row's rank is the count of the lower buckets plus
-    its place in its own, so no task sorts a whole key.
+    its place in its own, so no task sorts a whole key. The rows are read
+    twice, so an order that rests on computed scores wants them staged.
     """
     keys = keys or ["qid"]
     binned = df.withColumn("_bucket", bucket)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxrank.functions.vectors import cosine, dot, moments, spread
 from ctxrank.operators.ranking import best_first, rank_all, score_bucket, top_k
-from ctxrank.session import BROADCAST_BYTES, broadcast_within, table_bytes
+from ctxrank.session import BROADCAST_BYTES, broadcast_within, stage, table_bytes
 
 # The defaults of the question rerank.
 QUESTION_COEF = 0.4
@@ -46,7 +46,7 @@ def rerank_by_vector(
         )
     order = best_first("score", "_previous")
     if k is None:
-        ranked = rank_all(base, order, score_bucket(F.col("score")))
+        ranked = rank_all(stage(base), order, score_bucket(F.col("score")))
     else:
         ranked = top_k(base, k, order=order)
     return ranked.drop("_previous")
@@ -120,7 +120,6 @@ def question_statistics(
     query_vecs: DataFrame,
     questions: DataFrame,
     with_spread: bool = True,
-    keys: tuple[str, ...] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per candidate: best and mean question similarity, and the questions' spread.
@@ -137,7 +136,7 @@ def question_statistics(
     ]
     if with_spread:
         aggregates.append(moments(F.col("vec")).alias("_moments"))
-    stats = sims.groupBy("qid", "docid", *keys).agg(*aggregates)
+    stats = sims.groupBy("qid", "docid").agg(*aggregates)
     value = spread(F.col("_moments")) if with_spread else F.lit(0.0)
     return stats.withColumn("spread", value).drop("_moments")
 
@@ -212,7 +211,8 @@ def rerank_by_questions(
             .withColumn("question_score", F.when(hit, penalty).otherwise(F.col("question_score")))
             .drop("_later")
         )
-        ranked = rank_all(scored.unionByName(later), order, score_bucket(F.col("score")))
+        whole = stage(scored.unionByName(later))
+        ranked = rank_all(whole, order, score_bucket(F.col("score")))
     else:
         place = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
         scored = scored.withColumn("rank", place)

@@ -11,13 +11,12 @@ from pyspark.sql import types as T
 from ctxrank.operators.ranking import top_k
 from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, table_bytes
 
-CELL_DOCUMENTS = 100_000
 TERM_SALTS = 32
 
 
 def judged(topics: DataFrame, qrels: DataFrame) -> DataFrame:
     """The topics that have judgements."""
-    return topics.join(qrels.select("qid"), "qid", "left_semi")
+    return topics.join(qrels.select("qid").distinct(), "qid", "left_semi")
 
 
 def _running_top_k(k: int, entries: int = 4_000_000) -> Callable:
@@ -97,15 +96,15 @@ def dense_topk(
     docs: DataFrame,
     k: int = 100,
     broadcast_bytes: int = BROADCAST_BYTES,
-    cell_documents: int = CELL_DOCUMENTS,
 ) -> DataFrame:
     """The k documents with the largest dot product, per query.
 
     ``queries(qid, vec)``, ``docs(docid, vec)`` -> ``(qid, docid, score, rank)``,
     ties by docid. Query vectors within ``broadcast_bytes`` go to every task,
     and each task passes on only its own k best per query, so the documents
-    are scanned in place. Beyond that size both sides are cut into cells of a
-    bounded number of documents and queries, each searched on its own.
+    are scanned in place. Beyond that size both sides are cut into cells of
+    about ``broadcast_bytes`` of documents and of queries, each searched on its
+    own.
     """
     queries = queries.select("qid", "vec").where("vec is not null")
     docs = docs.select("docid", "vec").where("vec is not null")
@@ -114,7 +113,8 @@ def dense_topk(
         best = _scan_search(queries, docs, k)
     else:
         blocks = -(-size // broadcast_bytes)
-        best = _cell_search(queries, docs, k, blocks, cell_documents)
+        chunks = -(-docs.count() * size // (queries.count() * broadcast_bytes))
+        best = _cell_search(queries, docs, k, blocks, max(chunks, 1))
     return top_k(best, k)
 
 
@@ -145,10 +145,8 @@ def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _cell_search(
-    queries: DataFrame, docs: DataFrame, k: int, blocks: int, cell_documents: int
+    queries: DataFrame, docs: DataFrame, k: int, blocks: int, chunks: int
 ) -> DataFrame:
-    chunks = max(-(-docs.count() // cell_documents), 1)
-
     def spread(column: str, parts: int):
         return F.pmod(F.xxhash64(column), F.lit(parts))
 

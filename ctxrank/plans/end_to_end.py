@@ -21,6 +21,7 @@ from ctxrank.operators.questions import (
     parse_documents,
     prompts,
     question_vectors,
+    sample_questions,
     sampled_scores,
 )
 from ctxrank.operators.rerank import (
@@ -148,18 +149,32 @@ def passage_search(
 def rank(
     hits: DataFrame,
     query_vecs: DataFrame,
-    questions: DataFrame,
+    answers: DataFrame,
     setting: Setting,
+    embed_questions: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Rerank hits by the vectors of their documents' questions."""
+    """Rerank hits by their documents' questions, ``answers(docid, pos, question)``.
+
+    With a downsampling ratio the questions are drawn first, and each draw is
+    cut on its own.
+    """
     pairs = head(hits, setting.first_n)
     if setting.downsample < 1:
+        drawn = sample_questions(answers, setting.downsample)
+        drawn = cut_no_content(drawn, ("docid", "draw"))
+        drawn = stage(drawn.withColumn("text_key", text_key(F.col("question"))))
+        each = drawn.groupBy("docid", "text_key").agg(
+            F.min("pos").alias("pos"), F.first("question").alias("question")
+        )
+        vectors = question_vectors(each, embed_questions(drawn))
         scores = sampled_scores(
-            pairs, query_vecs, questions, setting.downsample, setting.method, setting.spread_coef
+            pairs, query_vecs, drawn, vectors, setting.method, setting.spread_coef, "text_key"
         )
     else:
+        questions = stage(cut_no_content(answers))
+        vectors = question_vectors(questions, embed_questions(questions))
         scores = score_candidates(
-            pairs, query_vecs, questions, setting.method, setting.spread_coef
+            pairs, query_vecs, vectors, setting.method, setting.spread_coef
         )
     return rerank_by_questions(
         hits, scores, setting.question_coef, setting.first_n, setting.tail
@@ -213,7 +228,8 @@ def end_to_end(
 
     asked = stage(question_prompts(head(base, setting.first_n), corpus, setting.topic))
     answers = stage(ask(asked, question_store, make_generator, setting, tasks))
-    questions = stage(cut_no_content(answers))
-    vectors = embed(questions, text_store, make_encoder, "question", tasks)
-    reranked = rank(base, query_vecs, question_vectors(questions, vectors), setting)
+    reranked = rank(
+        base, query_vecs, answers, setting,
+        lambda texts: embed(texts, text_store, make_encoder, "question", tasks),
+    )
     return Runs(first, base, stage(reranked))

@@ -85,5 +85,5 @@ def matching(
 
     With broadcast keys the big side is filtered where it is scanned.
     """
-    keys = wanted.select(key)
+    keys = wanted.select(key).distinct()
     return big.join(broadcast_within(keys, budget) or keys, key, "left_semi")

@@ -33,11 +33,11 @@ def missing(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
     Wanted keys that fit are broadcast, so of a large held side only the keys
     in question are shuffled.
     """
-    keys = broadcast_within(wanted.select(key))
+    keys = broadcast_within(wanted.select(key).distinct())
     held = held.select(key)
     if keys is not None:
         held = held.join(keys, key, "left_semi")
-    return wanted.join(held, key, "left_anti")
+    return wanted.join(held.distinct(), key, "left_anti")
 
 
 def prune(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:

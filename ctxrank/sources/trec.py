@@ -68,9 +68,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def write_run(hits: DataFrame, path: str, run_id: str, depth: int | None = RUN_DEPTH) -> None:
     """Write a run under ``path/run_id=...``, replacing only that run.
 
-    Lines are in rank order within a query, each query in one file.
+    Lines are in rank order within a query. With a depth, a query's few lines
+    are in one file; without one they may go on in the next file.
     """
-    lines = run_lines(hits, depth).repartitionByRange("qid", "rank")
+    lines = run_lines(hits, depth)
+    lines = lines.repartitionByRange("qid", "rank") if depth is None else lines.repartition("qid")
     ordered = lines.sortWithinPartitions("qid", "rank").select("line")
     ordered.write.mode("overwrite").text(f"{path}/run_id={run_id}")
 

@@ -50,7 +50,7 @@ def as_lists(hits):
     return found
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 300, "cell_documents": 20}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 300}])
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_dense_topk_is_exact(spark, options, k):
     queries = list(enumerate(random_vectors(9, 5, 1)))
@@ -61,7 +61,7 @@ def test_dense_topk_is_exact(spark, options, k):
     assert as_lists(hits) == brute_top_k(queries, docs, k)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 100, "cell_documents": 50}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 150}])
 def test_dense_topk_when_a_third_are_copies(spark, options):
     """Copies tie at the top; the ties go by docid, across partitions and cells."""
     rng = np.random.default_rng(3)

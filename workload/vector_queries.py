@@ -173,7 +173,7 @@ def c2_dense_topk(spark, sf):
 def c2_dense_topk_cells(spark, sf):
     """The same search in cells, as for query sides too large to broadcast."""
     queries, contexts = query_vectors(spark, sf), context_vectors(spark, sf)
-    hits = dense_topk(queries, contexts, K, broadcast_bytes=8192, cell_documents=64)
+    hits = dense_topk(queries, contexts, K, broadcast_bytes=8192)
     return rounded(hits, "score")
 
 
@@ -414,7 +414,8 @@ def w3_downsample(spark, sf):
 def a6_sampled_score(spark, sf):
     pairs = head(vector_hits(spark, sf, K))
     queries, questions = query_vectors(spark, sf), question_table(spark, sf)
-    scores = sampled_scores(pairs, queries, questions, 0.5, "mean", 0.1, seed=7)
+    drawn = sample_questions(questions, 0.5, seed=7)
+    scores = sampled_scores(pairs, queries, drawn, questions, "mean", 0.1)
     return rounded(scores, "question_score")
 
 
