@@ -57,8 +57,8 @@ def retrying(
 
 def distinct_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(text_key, text)``, each text once; copies combine on the map side."""
-    keyed = texts.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    return keyed.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
+    once = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
+    return once.select(text_key(F.col("text")).alias("text_key"), "text")
 
 
 def encode_texts(

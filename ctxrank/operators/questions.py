@@ -46,8 +46,7 @@ def contexts(docids: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def distinct_prompts(prompts: DataFrame) -> DataFrame:
     """The prompts to send to a model: each once, without the empty passages."""
-    wanted = prompts.where(~F.col("empty")).groupBy("prompt_key")
-    return wanted.agg(F.first("prompt").alias("prompt"))
+    return prompts.where(~F.col("empty")).select("prompt_key", "prompt").distinct()
 
 
 def _in_order(completions: DataFrame, items: str, item: str) -> DataFrame:

@@ -134,7 +134,7 @@ def passage_search(
     """Search with the averaged vectors of each topic and its written passages."""
     asked = topics.withColumn("prompt", build_prompt(F.col("title"), setting.task))
     asked = asked.select("qid", text_key(F.col("prompt")).alias("prompt_key"), "prompt")
-    wanted = asked.groupBy("prompt_key").agg(F.first("prompt").alias("prompt"))
+    wanted = asked.select("prompt_key", "prompt").distinct()
 
     def answers(missing: DataFrame) -> DataFrame:
         written = generate(missing, make_generator, setting.passages, setting.temperature, tasks)
@@ -163,9 +163,7 @@ def rank(
         drawn = sample_questions(answers, setting.downsample)
         drawn = cut_no_content(drawn, ("docid", "draw"))
         drawn = stage(drawn.withColumn("text_key", text_key(F.col("question"))))
-        each = drawn.groupBy("docid", "text_key").agg(
-            F.min("pos").alias("pos"), F.first("question").alias("question")
-        )
+        each = drawn.groupBy("docid", "text_key", "question").agg(F.min("pos").alias("pos"))
         vectors = question_vectors(each, embed_questions(drawn))
         scores = sampled_scores(
             pairs, query_vecs, drawn, vectors, setting.method, setting.spread_coef, "text_key"

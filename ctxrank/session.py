@@ -54,9 +54,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once into a table in the shared folder and read it from there.
+
+    As a parquet table it survives the loss of executors, and later steps
+    read only the columns and rows they need and know its size.
+    """
+    path = new_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table_bytes(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ctxrank.functions.text import document_text, terms
 from ctxrank.functions.vectors import as_vector, text_key
-from ctxrank.operators.models import test_completion, test_vectors
+from ctxrank.operators.models import test_completion
 from ctxrank.operators.questions import prompts
 from ctxrank.operators.search import dense_topk
 from ctxrank.session import stage
@@ -193,11 +193,7 @@ def two_choices(context: Column) -> Column:
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     """``(prompt_key, choice, text)``: three choices per distinct prompt, the last failed."""
-    distinct = (
-        document_prompts(spark, sf)
-        .groupBy("prompt_key")
-        .agg(F.first("context").alias("context"))
-    )
+    distinct = document_prompts(spark, sf).select("prompt_key", "context").distinct()
     return distinct.select(
         "prompt_key", F.posexplode(two_choices(F.col("context"))).alias("choice", "text")
     )
@@ -209,13 +205,6 @@ def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "term").agg(F.count("*").alias("weight"))
 
 
-def text_store(df: DataFrame, text: str) -> DataFrame:
-    """``(text_key, vec)`` of the distinct texts."""
-    keyed = df.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    distinct = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    return test_vectors(distinct, "text_key", "text")
-
-
 # The characters of both classes, in the syntax of the SQL engine.
 WHITESPACE = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"

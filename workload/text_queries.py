@@ -324,7 +324,7 @@ def p5_no_content_cut(spark, sf):
 )
 def j4_missing_prompts(spark, sf):
     """Distinct prompts that the store, here those of labelled documents, lacks."""
-    asked = document_prompts(spark, sf)
+    asked = stage(document_prompts(spark, sf).drop("context"))
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("docid"))
     held = asked.join(labelled, "docid", "left_semi").select("prompt_key")
     wanted = missing(distinct_prompts(asked), held, "prompt_key")
@@ -431,9 +431,11 @@ def _sparse_sql(terms: str = "query_terms", rounded: str = "score") -> str:
 
 
 def _sparse(spark, sf, **options):
+    """Search over the staged postings, the index."""
     queries = term_weights(topics(spark, sf), "qid", "title")
     documents = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
-    return sparse_topk(queries, term_weights(documents, "docid", "text"), 100, **options)
+    postings = stage(term_weights(documents, "docid", "text"))
+    return sparse_topk(queries, postings, 100, **options)
 
 
 @query("c3_sparse_topk", _sparse_sql())
@@ -462,7 +464,7 @@ def c3_sparse_min_idf(spark, sf):
 def p8_min_idf(spark, sf):
     queries = term_weights(topics(spark, sf), "qid", "title")
     documents = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
-    postings = term_weights(documents, "docid", "text")
+    postings = stage(term_weights(documents, "docid", "text"))
     return frequent_enough(queries, postings, documents.count(), 1.0)
 
 
