@@ -68,3 +68,11 @@ def spread(m: Column) -> Column:
     """Mean over the dimensions of the population variance."""
     v = variance_vector(m)
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+
+def as_matrix(column):
+    """Arrow list column, inside a task, as a two-dimensional array of doubles."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)

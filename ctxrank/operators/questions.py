@@ -17,9 +17,10 @@ from ctxrank.functions.text import (
     parse_questions,
     word_windows,
 )
-from ctxrank.functions.vectors import moments, mean_vector, spread, text_key
+from ctxrank.functions.vectors import text_key
 from ctxrank.operators.ranking import rank_all
-from ctxrank.operators.rerank import SPREAD_COEF, question_pairs, question_score
+from ctxrank.operators.rerank import SPREAD_COEF, document_statistics, question_score
+from ctxrank.operators.similarity import similarities
 from ctxrank.session import matching
 
 DRAWS = 10
@@ -129,17 +130,6 @@ def question_vectors(questions: DataFrame, embeddings: DataFrame) -> DataFrame:
     return keyed.join(embeddings.select("text_key", "vec"), "text_key")
 
 
-def document_statistics(vectors: DataFrame, keys: tuple[str, ...] = ("docid",)) -> DataFrame:
-    """Mean vector and spread of each document's questions, in one aggregate."""
-    grouped = vectors.groupBy(*keys).agg(moments(F.col("vec")).alias("_moments"))
-    return grouped.select(
-        *keys,
-        F.col("_moments.count").alias("questions"),
-        mean_vector(F.col("_moments")).alias("mean_vec"),
-        spread(F.col("_moments")).alias("spread"),
-    )
-
-
 def sample_questions(
     questions: DataFrame, ratio: float, draws: int | None = None, seed: int = 0
 ) -> DataFrame:
@@ -184,7 +174,7 @@ def sampled_scores(
     and draw.
     """
     drawn = drawn.select("docid", "draw", item)
-    sims = question_pairs(pairs, query_vecs, vectors).select("qid", "docid", item, "sim")
+    sims = similarities(pairs, query_vecs, vectors, (item,))
     stats = (
         sims.join(drawn, ["docid", item])
         .groupBy("qid", "docid", "draw")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxrank.functions.vectors import cosine, dot, moments, spread
+from ctxrank.functions.vectors import mean_vector, moments, spread
 from ctxrank.operators.ranking import best_first, rank_all, score_bucket, top_k
-from ctxrank.session import BROADCAST_BYTES, broadcast_within, stage, table_bytes
+from ctxrank.operators.similarity import METHODS as SIMILARITY_METHODS
+from ctxrank.operators.similarity import similarities
+from ctxrank.session import BROADCAST_BYTES, matching, stage
 
 # The defaults of the question rerank.
 QUESTION_COEF = 0.4
@@ -15,9 +17,7 @@ SPREAD_COEF = 0.0
 FIRST_N = 30
 TAIL_PENALTY = 1e6
 
-QUESTION_BLOCK = 1000
 METHODS = ("max", "mean")
-SIMILARITIES = {None: dot, "cos": cosine}
 
 
 def rerank_by_vector(
@@ -37,12 +37,12 @@ def rerank_by_vector(
     document vectors are scanned in place.
     """
     base = hits.select("qid", "docid", F.col("rank").alias("_previous"), "score")
-    if method in SIMILARITIES:
-        pairs = vector_pairs(base, query_vecs, doc_vecs, broadcast_bytes)
-        similarity = SIMILARITIES[method](F.col("_query"), F.col("vec"))
-        scores = pairs.select("qid", "docid", similarity.alias("_similarity"))
+    if method in SIMILARITY_METHODS:
+        scores = similarities(
+            base, query_vecs, doc_vecs, method=method, broadcast_bytes=broadcast_bytes
+        )
         base = base.join(scores, ["qid", "docid"], "left").select(
-            "qid", "docid", "_previous", F.coalesce("_similarity", "score").alias("score")
+            "qid", "docid", "_previous", F.coalesce("sim", "score").alias("score")
         )
     order = best_first("score", "_previous")
     if k is None:
@@ -52,69 +52,11 @@ def rerank_by_vector(
     return ranked.drop("_previous")
 
 
-def vector_pairs(
-    pairs: DataFrame,
-    query_vecs: DataFrame,
-    vectors: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Join candidates to the vectors of their query (``_query``) and document.
-
-    Pairs and query vectors that fit are broadcast; otherwise the pairs take
-    their query's vector along to the join on docid, whose skew AQE splits.
-    """
-    pairs = pairs.select("qid", "docid")
-    queries = query_vecs.select("qid", F.col("vec").alias("_query"))
-    queries = broadcast_within(queries, broadcast_bytes) or queries
-    small = broadcast_within(pairs, broadcast_bytes)
-    if small is not None:
-        return vectors.join(small, "docid").join(queries, "qid")
-    return vectors.join(pairs.join(queries, "qid"), "docid")
-
-
 def head(hits: DataFrame, first_n: int = FIRST_N) -> DataFrame:
     """The candidates that are scored by their questions."""
     return hits.where(F.col("rank") <= first_n)
 
 
-def question_pairs(
-    pairs: DataFrame,
-    query_vecs: DataFrame,
-    questions: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    question_block: int = QUESTION_BLOCK,
-) -> DataFrame:
-    """Similarity of each candidate's questions to its query.
-
-    ``pairs(qid, docid)``, ``query_vecs(qid, vec)`` and
-    ``questions(docid, pos, vec)``, plus any further question columns, give
-    ``sim`` next to all of them. Pairs and query vectors that fit are
-    broadcast and the questions scanned in place. Otherwise the questions of a
-    document are joined in blocks of ``question_block``, and only documents
-    with more than one block repeat their pairs, so neither a document with
-    very many questions nor one that many queries share ends up in one task.
-    """
-    pairs = pairs.select("qid", "docid")
-    if table_bytes(pairs) <= broadcast_bytes:
-        joined = vector_pairs(pairs, query_vecs, questions, broadcast_bytes)
-    else:
-        block = F.floor(F.col("pos") / question_block)
-        long = (
-            questions.where(F.col("pos") >= question_block)
-            .groupBy("docid")
-            .agg(F.max(block).alias("_last"))
-        )
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last", F.lit(0))))
-        copied = (
-            pairs.join(query_vecs.select("qid", F.col("vec").alias("_query")), "qid")
-            .join(long, "docid", "left")
-            .select("qid", "docid", "_query", copies.alias("_block"))
-        )
-        joined = questions.withColumn("_block", block).join(copied, ["docid", "_block"])
-        joined = joined.drop("_block")
-    return joined.withColumn("sim", dot(F.col("_query"), F.col("vec"))).drop("_query")
-
-
 def question_statistics(
     pairs: DataFrame,
     query_vecs: DataFrame,
@@ -124,21 +66,33 @@ def question_statistics(
 ) -> DataFrame:
     """Per candidate: best and mean question similarity, and the questions' spread.
 
-    One pass over the questions; all aggregates combine on the map side.
-    ``with_spread=False`` leaves the vector moments out, for when the spread
-    has no weight.
+    ``questions(docid, pos, vec)``. All aggregates combine on the map side. A
+    document's spread is computed once for all its queries, and not at all
+    ``with_spread=False``, for when it has no weight.
     """
-    sims = question_pairs(pairs, query_vecs, questions, broadcast_bytes)
-    aggregates: list[Column] = [
+    sims = similarities(
+        pairs, query_vecs, questions, ("pos",), broadcast_bytes=broadcast_bytes
+    )
+    stats = sims.groupBy("qid", "docid").agg(
         F.max("sim").alias("max_sim"),
         F.avg("sim").alias("mean_sim"),
         F.count("*").alias("questions"),
-    ]
-    if with_spread:
-        aggregates.append(moments(F.col("vec")).alias("_moments"))
-    stats = sims.groupBy("qid", "docid").agg(*aggregates)
-    value = spread(F.col("_moments")) if with_spread else F.lit(0.0)
-    return stats.withColumn("spread", value).drop("_moments")
+    )
+    if not with_spread:
+        return stats.withColumn("spread", F.lit(0.0))
+    wanted = matching(questions, pairs, "docid", broadcast_bytes)
+    return stats.join(document_statistics(wanted).select("docid", "spread"), "docid")
+
+
+def document_statistics(vectors: DataFrame, keys: tuple[str, ...] = ("docid",)) -> DataFrame:
+    """Mean vector and spread of each document's questions, in one aggregate."""
+    grouped = vectors.groupBy(*keys).agg(moments(F.col("vec")).alias("_moments"))
+    return grouped.select(
+        *keys,
+        F.col("_moments.count").alias("questions"),
+        mean_vector(F.col("_moments")).alias("mean_vec"),
+        spread(F.col("_moments")).alias("spread"),
+    )
 
 
 def question_score(method: str | Column, spread_coef: float | Column) -> Column:

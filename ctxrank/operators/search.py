@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxrank.functions.vectors import as_matrix
 from ctxrank.operators.ranking import top_k
 from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, table_bytes
 
@@ -73,14 +74,6 @@ def _running_top_k(k: int, entries: int = 4_000_000) -> Callable:
     return search
 
 
-def _matrix(column):
-    """Arrow list column as a two-dimensional array of doubles."""
-    import numpy as np
-
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
 def _hit_schema(queries: DataFrame, docs: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -122,7 +115,7 @@ def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     table = queries.toArrow().combine_chunks()
     if not table.num_rows:
         return docs.sparkSession.createDataFrame([], _hit_schema(queries, docs))
-    vectors = _matrix(table.column("vec").chunk(0))
+    vectors = as_matrix(table.column("vec").chunk(0))
     shared = docs.sparkSession.sparkContext.broadcast((table.column("qid"), vectors))
     search = _running_top_k(k)
 
@@ -131,7 +124,7 @@ def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
         qids, queries = shared.value
         parts = (
-            (b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)))
+            (b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1)))
             for b in batches
             if b.num_rows
         )
@@ -165,8 +158,8 @@ def _cell_search(
         if not len(qids) or not len(docids):
             nothing = [qids.slice(0, 0), docids.slice(0, 0), pa.array([], pa.float64())]
             return pa.Table.from_arrays(nothing, names=names)
-        queries = _matrix(query_table.column("vec").combine_chunks())
-        documents = _matrix(doc_table.column("vec").combine_chunks())
+        queries = as_matrix(query_table.column("vec").combine_chunks())
+        documents = as_matrix(doc_table.column("vec").combine_chunks())
         col, score, ids = search(queries, [(docids.to_numpy(), documents)])
         return pa.Table.from_arrays([qids.take(pa.array(col)), pa.array(ids), pa.array(score)], names=names)
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ctxrank.operators.evaluate import mean_ndcg, ndcg_per_query
 from ctxrank.operators.ranking import best_first, fingerprint, rank_all, score_bucket
 from ctxrank.operators.rerank import (
-    question_pairs,
     question_score,
     question_statistics,
     rerank_by_questions,
@@ -20,6 +19,7 @@ from ctxrank.operators.rerank import (
     score_candidates,
 )
 from ctxrank.operators.search import dense_topk, sparse_topk
+from ctxrank.operators.similarity import similarities
 from ctxrank.plans.sweep import grid, sweep
 
 PAIR = "qid INT, docid INT, rank INT, score DOUBLE"
@@ -186,7 +186,7 @@ def test_rerank_by_vector(spark, method, k, budget):
     assert as_lists(found) == expected
 
 
-def test_question_pairs_of_a_document_with_many_questions(spark):
+def test_similarities_of_a_document_with_many_questions(spark):
     """Both joins give every pair once; one document has most of the questions."""
     rng = np.random.default_rng(5)
     counts = {0: 95, 1: 3, 2: 1, 3: 10}
@@ -196,7 +196,7 @@ def test_question_pairs_of_a_document_with_many_questions(spark):
     pairs = spark.createDataFrame([(q, d) for q in range(4) for d in (0, 1, 3, 9)], "qid INT, docid INT")
     outputs = []
     for budget in (1 << 20, 0):
-        found = question_pairs(pairs, queries, questions, budget, question_block=10)
+        found = similarities(pairs, queries, questions, ("pos",), None, budget, block=10)
         outputs.append(sorted((r["qid"], r["docid"], r["pos"], round(r["sim"], 9)) for r in found.collect()))
     assert outputs[0] == outputs[1]
     assert len(outputs[0]) == 4 * (95 + 3 + 10)

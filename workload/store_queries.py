@@ -18,12 +18,12 @@ from ctxrank.operators.models import (
 from ctxrank.operators.questions import (
     cut_no_content,
     document_questions,
-    document_statistics,
     parse,
     parse_documents,
     question_vectors,
 )
 from ctxrank.operators.evaluate import mean_ndcg
+from ctxrank.operators.rerank import document_statistics
 from ctxrank.operators.search import dense_topk, judged
 from ctxrank.plans.end_to_end import Setting, ask, end_to_end
 from ctxrank.session import new_folder, stage

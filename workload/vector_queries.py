@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ctxrank.functions.vectors import cosine, dot, flatten_vector, norm, unit
 from ctxrank.operators.evaluate import mean_ndcg, ndcg_per_query
 from ctxrank.operators.hypodocs import averaged_queries, search_with_passages
-from ctxrank.operators.questions import document_statistics, sample_questions, sampled_scores
+from ctxrank.operators.questions import sample_questions, sampled_scores
 from ctxrank.operators.ranking import fingerprint, rank_shift, score_range
 from ctxrank.operators.rerank import (
+    document_statistics,
     head,
     question_statistics,
     rerank_by_questions,
