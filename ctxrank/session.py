@@ -64,6 +64,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scanned table with fewer splits than two per core, spread over the cores.
+
+    A small file is often a single row group and so a single busy task. A
+    table of many splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a table in bytes, by a sum over its rows; the check before a broadcast."""
     size = F.lit(0).cast("long")

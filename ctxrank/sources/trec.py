@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxrank.session import spread
+
 # The constant fields of a run line and the lines kept per query.
 RUN_ITERATION = "Q0"
 RUN_TAG = "rank"
@@ -62,7 +64,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Corpus of JSON lines with an ``id`` or ``_id`` -> ``(docid, raw)``."""
     lines = spark.read.text(path)
     docid = F.coalesce(F.get_json_object("value", "$.id"), F.get_json_object("value", "$._id"))
-    return lines.select(docid.alias("docid"), F.col("value").alias("raw"))
+    return spread(lines.select(docid.alias("docid"), F.col("value").alias("raw")), "docid")
 
 
 def write_run(hits: DataFrame, path: str, run_id: str, depth: int | None = RUN_DEPTH) -> None:

@@ -15,7 +15,7 @@ from ctxrank.functions.vectors import as_vector, text_key
 from ctxrank.operators.models import test_completion
 from ctxrank.operators.questions import prompts
 from ctxrank.operators.search import dense_topk
-from ctxrank.session import stage
+from ctxrank.session import spread, stage
 
 POOL = 25
 
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 # --- vectors -------------------------------------------------------------
 
 
@@ -168,7 +172,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         .when(shape == 1, F.to_json(F.struct(F.col("text").alias("contents"))))
         .otherwise(F.to_json(F.struct(F.col("text").alias("passage"))))
     )
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), raw.alias("raw"))
+    return documents(spark, sf).select(F.col("doc_id").alias("docid"), raw.alias("raw"))
 
 
 def document_contexts(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,9 +195,14 @@ def two_choices(context: Column) -> Column:
     return F.array(F.concat(opening, test_completion(context)), second, F.lit(None))
 
 
-def completions(spark: SparkSession, sf: str) -> DataFrame:
+def staged_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' prompt keys, staged because several steps read them."""
+    return stage(document_prompts(spark, sf).drop("prompt"))
+
+
+def completions(asked: DataFrame) -> DataFrame:
     """``(prompt_key, choice, text)``: three choices per distinct prompt, the last failed."""
-    distinct = document_prompts(spark, sf).select("prompt_key", "context").distinct()
+    distinct = asked.select("prompt_key", "context").distinct()
     return distinct.select(
         "prompt_key", F.posexplode(two_choices(F.col("context"))).alias("choice", "text")
     )

@@ -53,11 +53,13 @@ from workload.fixtures import (
     corpus,
     document_contexts,
     document_prompts,
+    documents,
     looked_up_sql,
     looked_up_vectors,
     ndcg_sql,
     query_vectors,
     questions_sql,
+    staged_prompts,
     strip_sql,
     table,
     term_weights,
@@ -81,7 +83,7 @@ from workload.vector_queries import rounded, rounded_vector
 )
 def u1_store_merge(spark, sf):
     """Stored texts win over held ones."""
-    rows = table(spark, sf, "documents").select(
+    rows = documents(spark, sf).select(
         F.col("doc_id").alias("docid"), F.md5(F.col("text").cast("binary")).alias("text_md5")
     )
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("docid"))
@@ -135,8 +137,8 @@ def p9_prune(spark, sf):
 def s7_question_store(spark, sf):
     """Store the labelled documents' questions, then fill in and look up all."""
     store = generated_store(new_folder(spark, "questions"), "questions", "test", "documents")
-    asked = document_prompts(spark, sf).select("docid", "prompt_key").distinct()
-    parsed = parse(completions(spark, sf)).withColumnRenamed("question", "text")
+    asked = staged_prompts(spark, sf)
+    parsed = parse(completions(asked)).withColumnRenamed("question", "text")
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("docid"))
     known = asked.join(labelled, "docid", "left_semi").select("prompt_key").distinct()
     store.append(parsed.join(known, "prompt_key"))
@@ -205,7 +207,7 @@ def s12_precomputed_questions(spark, sf):
     """Questions written elsewhere, as JSON lines of a prompt and its texts."""
     folder = new_folder(spark, "precomputed")
     first = F.min_by("lang", "doc_id").alias("lang")
-    rows = table(spark, sf, "documents").groupBy("text").agg(first)
+    rows = documents(spark, sf).groupBy("text").agg(first)
     lines = rows.select(F.col("text").alias("prompt"), F.array("lang", "text").alias("texts"))
     lines.write.json(folder)
     return read_precomputed(spark, folder)
@@ -298,7 +300,7 @@ def s3_judgement_files(spark, sf):
 )
 def m1_encode(spark, sf):
     """Every distinct text through an encoder callable, once."""
-    texts = distinct_texts(table(spark, sf, "documents"))
+    texts = distinct_texts(documents(spark, sf))
     return encode_texts(texts, make_test_encoder, tasks=8)
 
 
@@ -343,8 +345,8 @@ def c5_questions(spark, sf):
 )
 def c6_question_statistics(spark, sf):
     """Mean vector and spread of every document's questions, after the cut."""
-    asked = document_prompts(spark, sf)
-    whole = document_questions(asked, parse(completions(spark, sf)))
+    asked = staged_prompts(spark, sf)
+    whole = document_questions(asked, parse(completions(asked)))
     questions = stage(cut_no_content(stage(whole)))
     embeddings = looked_up_vectors(spark, sf, questions, "question")
     stats = document_statistics(question_vectors(questions, embeddings))

@@ -50,7 +50,9 @@ from workload.fixtures import (
     corpus,
     document_contexts,
     document_prompts,
+    documents,
     questions_sql,
+    staged_prompts,
     strip_sql,
     table,
     term_weights,
@@ -177,7 +179,7 @@ def f5_content_break(spark, sf):
 )
 def f6_language_prompt(spark, sf):
     prompt = fill(TASKS["mr-tydi"], F.col("lang"), F.col("text"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("docid"), F.md5(prompt.cast("binary")).alias("prompt_md5")
     )
 
@@ -187,7 +189,7 @@ def f6_language_prompt(spark, sf):
     "SELECT doc_id AS docid, sha256(text) AS text_key FROM documents",
 )
 def f15_text_key(spark, sf):
-    rows = table(spark, sf, "documents")
+    rows = documents(spark, sf)
     return rows.select(F.col("doc_id").alias("docid"), text_key(F.col("text")).alias("text_key"))
 
 
@@ -241,7 +243,7 @@ def f21_chunks(spark, sf):
     FROM completions""",
 )
 def f7_truncate(spark, sf):
-    return completions(spark, sf).withColumn("text", cut_completion(F.col("text")))
+    return completions(document_prompts(spark, sf)).withColumn("text", cut_completion(F.col("text")))
 
 
 @query(
@@ -250,7 +252,7 @@ def f7_truncate(spark, sf):
     SELECT prompt_key, pos, question FROM parsed""",
 )
 def f8_parse_questions(spark, sf):
-    return parse(completions(spark, sf))
+    return parse(completions(document_prompts(spark, sf)))
 
 
 @query(
@@ -259,7 +261,7 @@ def f8_parse_questions(spark, sf):
     SELECT prompt_key, pos, question FROM parsed""",
 )
 def f8_parse_literal_strip(spark, sf):
-    return parse(completions(spark, sf), literal_strip=True)
+    return parse(completions(document_prompts(spark, sf)), literal_strip=True)
 
 
 @query(
@@ -276,7 +278,7 @@ def f8_parse_literal_strip(spark, sf):
 )
 def f9_passage_lines(spark, sf):
     """Each distinct document text read as a completion."""
-    texts = table(spark, sf, "documents").select(
+    texts = documents(spark, sf).select(
         text_key(F.col("text")).alias("prompt_key"), F.lit(0).alias("choice"), "text"
     )
     return parse_documents(texts.dropDuplicates(["prompt_key"]))
@@ -293,7 +295,7 @@ def f9_passage_lines(spark, sf):
 )
 def f10_empty_guard(spark, sf):
     """Every document, and every document again with a title but no text."""
-    bare = table(spark, sf, "documents").select(
+    bare = documents(spark, sf).select(
         (F.col("doc_id") + 1000000).alias("docid"),
         collapse_whitespace(F.concat(F.lit("Title: "), "source", F.lit(" Content: "))).alias(
             "context"
@@ -310,8 +312,8 @@ def f10_empty_guard(spark, sf):
 )
 def p5_no_content_cut(spark, sf):
     """Questions of every document, cut at the first that says there is no content."""
-    asked = document_prompts(spark, sf)
-    questions = document_questions(asked, parse(completions(spark, sf)))
+    asked = staged_prompts(spark, sf)
+    questions = document_questions(asked, parse(completions(asked)))
     return cut_no_content(stage(questions))
 
 
@@ -433,8 +435,8 @@ def _sparse_sql(terms: str = "query_terms", rounded: str = "score") -> str:
 def _sparse(spark, sf, **options):
     """Search over the staged postings, the index."""
     queries = term_weights(topics(spark, sf), "qid", "title")
-    documents = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
-    postings = stage(term_weights(documents, "docid", "text"))
+    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    postings = stage(term_weights(texts, "docid", "text"))
     return sparse_topk(queries, postings, 100, **options)
 
 
@@ -451,8 +453,8 @@ def c3_sparse_topk_salted(spark, sf):
 
 @query("c3_sparse_min_idf", _sparse_sql("chosen"))
 def c3_sparse_min_idf(spark, sf):
-    documents = table(spark, sf, "documents").count()
-    return _sparse(spark, sf, min_idf=1.0, documents=documents)
+    count = table(spark, sf, "documents").count()
+    return _sparse(spark, sf, min_idf=1.0, documents=count)
 
 
 @query(
@@ -463,9 +465,9 @@ def c3_sparse_min_idf(spark, sf):
 )
 def p8_min_idf(spark, sf):
     queries = term_weights(topics(spark, sf), "qid", "title")
-    documents = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
-    postings = stage(term_weights(documents, "docid", "text"))
-    return frequent_enough(queries, postings, documents.count(), 1.0)
+    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    postings = stage(term_weights(texts, "docid", "text"))
+    return frequent_enough(queries, postings, texts.count(), 1.0)
 
 
 @query(
