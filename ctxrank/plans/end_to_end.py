@@ -34,6 +34,7 @@ from ctxrank.operators.rerank import (
     score_candidates,
 )
 from ctxrank.operators.search import dense_topk, judged, sparse_topk
+from ctxrank.plans.sweep import compare
 from ctxrank.session import stage
 from ctxrank.sources.store import Store
 
@@ -74,6 +75,11 @@ class Runs:
     base: DataFrame
     reranked: DataFrame
 
+    def compare(self, qrels: DataFrame) -> DataFrame:
+        """Mean nDCG of the three, one row per ``run_id``."""
+        runs = {"first": self.first, "base": self.base, "reranked": self.reranked}
+        return compare(runs, qrels)
+
 
 def first_stage(
     topics: DataFrame, qrels: DataFrame, queries: DataFrame, index: DataFrame, k: int, sparse: bool

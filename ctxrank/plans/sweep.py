@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import astuple, dataclass, fields
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -31,15 +31,27 @@ ENCODER_COEFS = {
 }
 SWEEP_FIRST_N = (30, 20, 10)
 
+CELL_TYPES = {
+    "method": "string",
+    "first_n": "int",
+    "question_coef": "double",
+    "spread_coef": "double",
+    "encoder": "string",
+}
+
 
 @dataclass(frozen=True)
 class Cell:
-    """One setting of the rerank."""
+    """One setting of the rerank; with an encoder it applies to that encoder's runs only."""
 
     method: str = "max"
     first_n: int = FIRST_N
     question_coef: float = QUESTION_COEF
     spread_coef: float = SPREAD_COEF
+    encoder: str | None = None
+
+
+SETTING = ("method", "first_n", "question_coef", "spread_coef")
 
 
 def grid(
@@ -52,7 +64,17 @@ def grid(
     return [Cell(*values) for values in product(methods, first_n, coefs, spread_coefs)]
 
 
-CELL = tuple(f.name for f in fields(Cell))
+def encoder_grid(
+    encoders: Iterable[str] = tuple(ENCODER_COEFS),
+    methods: Iterable[str] = METHODS,
+    first_n: Iterable[int] = SWEEP_FIRST_N,
+    spread_coefs: Iterable[float] = (SPREAD_COEF,),
+) -> list[Cell]:
+    """All combinations of the other settings, with each encoder's own question weight."""
+    return [
+        Cell(method, n, ENCODER_COEFS[encoder], spread, encoder)
+        for method, n, spread, encoder in product(methods, first_n, spread_coefs, encoders)
+    ]
 
 
 def sweep_runs(
@@ -65,18 +87,26 @@ def sweep_runs(
     """Scores of every cell: the similarities are computed once for all of them.
 
     ``statistics`` comes from ``question_statistics`` over the deepest
-    ``first_n``. ``keys`` name further columns of both tables, such as model
-    or encoder, that tell runs apart. Candidates below both a cell's
+    ``first_n``. ``keys`` name further columns of both tables, such as model,
+    indexer or encoder, that tell runs apart. Candidates below both a cell's
     ``first_n`` and the evaluation cut cannot reach the cut and are left out.
     """
-    values = [F.struct(*[F.lit(v).alias(n) for n, v in zip(CELL, astuple(c))]) for c in cells]
+    fields = (*SETTING, "encoder")
+    values = [
+        F.struct(*[F.lit(getattr(c, f)).cast(CELL_TYPES[f]).alias(f) for f in fields]) for c in cells
+    ]
+    chosen = F.array(*values)
+    if "encoder" in keys:
+        own = F.col("encoder")
+        chosen = F.filter(chosen, lambda c: c["encoder"].isNull() | (c["encoder"] == own))
     scored = hits.join(statistics, [*keys, "qid", "docid"], "left")
-    each = scored.withColumn("_cell", F.explode(F.array(*values))).select("*", "_cell.*")
+    each = scored.withColumn("_cell", F.explode(chosen))
+    each = each.select("*", *[F.col(f"_cell.{f}").alias(f) for f in SETTING])
     reached = each.where(F.col("rank") <= F.greatest("first_n", F.lit(cut)))
     value = question_score(F.col("method"), F.col("spread_coef"))
     return reached.withColumn("question_score", value).select(
         *keys,
-        *CELL,
+        *SETTING,
         "qid",
         "docid",
         F.when(F.col("rank") <= F.col("first_n"), combined_score(F.col("question_coef")))
@@ -95,7 +125,7 @@ def sweep(
 ) -> DataFrame:
     """Mean nDCG of every cell."""
     runs = sweep_runs(hits, statistics, cells, cut, keys)
-    return mean_ndcg(runs, qrels, cut, (*keys, *CELL))
+    return mean_ndcg(runs, qrels, cut, (*keys, *SETTING))
 
 
 def compare(runs: dict[str, DataFrame], qrels: DataFrame, cut: int = CUT) -> DataFrame:

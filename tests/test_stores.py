@@ -298,6 +298,8 @@ def test_whole_ranking_on_each_branch(spark, tmp_path, encoder, base):
     for run in (runs.first, runs.base, runs.reranked):
         ranks = sorted(r["rank"] for r in run.where("qid = '1'").collect())
         assert ranks == list(range(1, 13))
+    scores = {r["run_id"]: r["ndcg"] for r in runs.compare(qrels).collect()}
+    assert set(scores) == {"first", "base", "reranked"} and all(0 < s <= 1 for s in scores.values())
     written = len(open(calls).readlines())
     again = go()
     assert len(open(calls).readlines()) == written

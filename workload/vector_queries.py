@@ -18,7 +18,8 @@ from ctxrank.operators.rerank import (
     score_candidates,
 )
 from ctxrank.operators.search import dense_topk, judged
-from ctxrank.plans.sweep import compare, grid, sweep
+from ctxrank.plans.sweep import compare, encoder_grid, grid, sweep
+from ctxrank.session import stage
 from ctxrank.sources.trec import parse_run, run_lines
 from workload.fixtures import (
     QUESTION_STATS,
@@ -498,3 +499,44 @@ def c12_sweep(spark, sf):
     hits = vector_hits(spark, sf, K)
     stats = statistics(spark, sf, head(hits))
     return rounded(sweep(hits, stats, vector_qrels(spark, sf), SWEEP_CELLS), "ndcg")
+
+
+@query(
+    "c12_encoder_sweep",
+    f"""WITH {VECTORS}, {VECTOR_QRELS}, {HITS}, {QUESTION_STATS},
+    again AS (SELECT qid, docid, rank AS previous, list_dot_product(qv.vec, hv.vec) AS score
+              FROM hits JOIN qv USING (qid) JOIN hv USING (docid) WHERE pos = 0),
+    both_hits AS (SELECT 'contriever' AS encoder, 2.0::DOUBLE AS question_coef, qid, docid, score,
+                         rank FROM hits
+                  UNION ALL SELECT 'bge-base-en-v1.5', 0.03, qid, docid, score, row_number() OVER (
+                      PARTITION BY qid ORDER BY score DESC, previous)::INTEGER FROM again),
+    runs AS (SELECT encoder, question_coef, method, first_n, qid, docid, CASE WHEN rank <= first_n
+                THEN score + question_coef * CASE method WHEN 'mean' THEN mean_sim ELSE max_sim END
+                ELSE score - 1e6 END AS score
+             FROM both_hits JOIN stats USING (qid, docid), (VALUES ('max'), ('mean')) a(method),
+                  (VALUES (30), (20), (10)) b(first_n)),
+    {ndcg_sql("runs", "encoder, question_coef, method, first_n,")}
+    SELECT encoder, method, first_n, question_coef, 0.0::DOUBLE AS spread_coef,
+           round(sum(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END)
+                 / (SELECT count(*) FROM ideal), 6) AS ndcg
+    FROM dcgs JOIN ideal USING (qid) GROUP BY ALL""",
+)
+def c12_encoder_sweep(spark, sf):
+    """The sweep over two encoders' base runs, each with its own question weight."""
+    hits = vector_hits(spark, sf, K)
+    queries, questions = query_vectors(spark, sf), question_table(spark, sf)
+    other = rerank_by_vector(hits, queries, questions.where("pos = 0"), K)
+    names = ["contriever", "bge-base-en-v1.5"]
+    runs = [stage(r.withColumn("encoder", F.lit(n))) for n, r in zip(names, (hits, other))]
+    stats = [
+        statistics(spark, sf, head(r), False).withColumn("encoder", F.lit(n))
+        for n, r in zip(names, runs)
+    ]
+    found = sweep(
+        runs[0].unionByName(runs[1]),
+        stats[0].unionByName(stats[1]),
+        vector_qrels(spark, sf),
+        encoder_grid(names),
+        keys=("encoder",),
+    )
+    return rounded(found, "ndcg")
