@@ -70,9 +70,13 @@ def spread(m: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
 
 
-def as_matrix(column):
-    """Arrow list column, inside a task, as a two-dimensional array of doubles."""
+def as_matrix(column, unit: bool = False):
+    """Arrow list column, inside a task, as rows of doubles, or of unit vectors."""
     import numpy as np
 
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), -1)
+    if unit:
+        with np.errstate(invalid="ignore"):
+            rows = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+    return rows

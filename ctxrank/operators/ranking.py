@@ -23,7 +23,8 @@ def top_k(
     """The k first rows per key, with their 1-based rank.
 
     Spark limits each task to k rows per key before the shuffle, so a key with
-    any number of rows costs the final sort at most k rows per task.
+    any number of rows costs the final sort at most k rows per task. It does so
+    up to ``spark.sql.optimizer.windowGroupLimitThreshold``, by default 1000.
     """
     window = Window.partitionBy(*(keys or ["qid"])).orderBy(
         *(order or best_first("score", "docid"))

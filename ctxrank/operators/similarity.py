@@ -26,14 +26,14 @@ def similarities(
 ) -> DataFrame:
     """``sim`` of every pair and vector of its document.
 
-    ``pairs(qid, docid)``, ``query_vecs(qid, vec)`` and ``vectors(docid, vec)``
-    with the item columns -> ``(qid, docid, *items, sim)``; a dot product, or
+    Distinct ``pairs(qid, docid)``, ``query_vecs(qid, vec)`` and ``vectors(docid,
+    vec)`` with the item columns -> ``(qid, docid, *items, sim)``; a dot product, or
     the cosine for ``"cos"``. Pairs and query vectors that fit are broadcast:
     the vectors are filtered and multiplied where they are scanned, each
     crossing to Python once however many queries share its document. Larger
     sides are joined.
     """
-    pairs = pairs.select("qid", "docid").distinct()
+    pairs = pairs.select("qid", "docid")
     queries = query_vecs.select("qid", "vec")
     vectors = vectors.where("vec is not null")
     if max(table_bytes(pairs), table_bytes(queries)) <= broadcast_bytes:
@@ -60,14 +60,13 @@ def _scan(
         ]
     )
     table = queries.toArrow().combine_chunks()
-    known = pairs.join(F.broadcast(queries.select("qid")), "qid", "left_semi").toPandas()
+    place = {qid: i for i, qid in enumerate(table.column("qid").to_pylist())}
+    known = pairs.toPandas()
+    known = known[known["qid"].isin(place)].sort_values("docid", kind="stable")
     if not len(known):
         return vectors.sparkSession.createDataFrame([], schema)
-    matrix = as_matrix(table.column("vec").chunk(0))
-    if method == "cos":
-        matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
-    place = {qid: i for i, qid in enumerate(table.column("qid").to_pylist())}
-    known = known.sort_values("docid", kind="stable")
+    unit = method == "cos"
+    matrix = as_matrix(table.column("vec").chunk(0), unit)
     docids = known["docid"].to_numpy()
     docids = docids.astype(str) if docids.dtype == object else docids
     query_of_pair = known["qid"].map(place).to_numpy()
@@ -84,9 +83,7 @@ def _scan(
                 continue
             ids = batch.column("docid").to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
-            values = as_matrix(batch.column("vec"))
-            if method == "cos":
-                values = values / np.sqrt((values * values).sum(axis=1))[:, None]
+            values = as_matrix(batch.column("vec"), unit)
             first = np.searchsorted(docids, ids, "left")
             counts = np.searchsorted(docids, ids, "right") - first
             ends = np.cumsum(counts)
@@ -98,7 +95,7 @@ def _scan(
                 sim = (values[row] * matrix[query]).sum(axis=1)
                 taken = batch.drop_columns(["vec"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [qids.take(pa.array(query)), *taken.columns, pa.array(sim)],
+                    [qids.take(pa.array(query)), *taken.columns, pa.array(sim, from_pandas=True)],
                     names=schema.names,
                 )
 

@@ -24,8 +24,6 @@ def oracle_connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def normal(value):
-    if isinstance(value, float):
-        return 0.0 if value == 0 else value
     if hasattr(value, "tolist"):
         value = value.tolist()
     if isinstance(value, (list, tuple)):

@@ -331,3 +331,12 @@ def test_sweep_agrees_with_separate_runs(spark):
             == (cell.method, cell.first_n, cell.question_coef, cell.spread_coef)
         )
         assert found == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 0])
+def test_cosine_of_a_zero_vector_leaves_the_score(spark, budget):
+    hits = spark.createDataFrame([(0, 1, 1, 0.9), (0, 2, 2, 0.1)], PAIR)
+    queries = vectors(spark, "qid INT", [(0, [1, 1])])
+    docs = vectors(spark, "docid INT", [(1, [0, 0]), (2, [2, 2])])
+    found = rerank_by_vector(hits, queries, docs, 2, "cos", budget).collect()
+    assert {r["docid"]: round(r["score"], 9) for r in found} == {1: 0.9, 2: 1.0}

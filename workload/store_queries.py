@@ -95,6 +95,7 @@ def u1_store_merge(spark, sf):
     "u2_embedding_merge",
     f"""WITH {VECTORS} SELECT vec_id, CASE WHEN label < 5 THEN vec
         ELSE list_transform(vec, lambda x: -x) END AS vec FROM emb""",
+    vector="vec",
 )
 def u2_embedding_merge(spark, sf):
     """Held vectors win; of the stored ones only the missing keys are added."""
@@ -108,6 +109,7 @@ def u2_embedding_merge(spark, sf):
     "u3_upsert",
     f"""WITH {VECTORS} SELECT vec_id, CASE WHEN label = 0
         THEN list_transform(vec, lambda x: 2 * x) ELSE vec END AS vec FROM emb""",
+    vector="vec",
 )
 def u3_upsert(spark, sf):
     """New vectors replace the old ones of their keys."""
@@ -167,6 +169,7 @@ def s8_passage_store(spark, sf):
 @query(
     "s9_vector_store",
     f"""WITH {VECTORS} SELECT sha256('v' || vec_id) AS text_key, vec FROM emb WHERE label <> 3""",
+    vector="vec",
 )
 def s9_vector_store(spark, sf):
     """Vectors of one encoder and topic set, looked up by key."""
@@ -297,6 +300,7 @@ def s3_judgement_files(spark, sf):
     SELECT text_key, list(coalesce(c, 0)::DOUBLE ORDER BY i) AS vec
     FROM (SELECT text_key, i FROM texts, range(32) r(i))
     LEFT JOIN (SELECT text_key, d AS i, c FROM tv) USING (text_key, i) GROUP BY text_key""",
+    vector="vec",
 )
 def m1_encode(spark, sf):
     """Every distinct text through an encoder callable, once."""
@@ -342,6 +346,7 @@ def c5_questions(spark, sf):
              FROM placed JOIN emb USING (vec_id), range(1, 65) r(i) GROUP BY docid, i)
     SELECT docid, max(n) AS questions, list(round(m, 6) ORDER BY i) AS mean_vec,
            round(avg(v), 6) AS spread FROM dims GROUP BY docid""",
+    vector="mean_vec",
 )
 def c6_question_statistics(spark, sf):
     """Mean vector and spread of every document's questions, after the cut."""

@@ -476,6 +476,7 @@ def p8_min_idf(spark, sf):
     SELECT docid, list(coalesce(c, 0)::DOUBLE ORDER BY i) AS vec
     FROM (SELECT docid, i FROM ctx, range(32) r(i)) LEFT JOIN
          (SELECT docid, d AS i, c FROM dv) USING (docid, i) GROUP BY docid""",
+    vector="vec",
 )
 def m4_test_vectors(spark, sf):
     return test_vectors(document_contexts(spark, sf), "docid", "context")

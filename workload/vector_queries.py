@@ -84,6 +84,7 @@ def f11_dot(spark, sf):
         SELECT vec_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS len FROM emb)
     SELECT vec_id, round(len, 6) AS length,
            list_transform(vec, lambda x: round(x / len, 6)) AS unit_vec FROM lengths""",
+    vector="unit_vec",
 )
 def f12_unit_vector(spark, sf):
     vec = F.col("vec")
@@ -107,6 +108,7 @@ def f13_cosine(spark, sf):
 @query(
     "f14_flatten_vector",
     "SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings",
+    vector="vec",
 )
 def f14_flatten_vector(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -122,6 +124,7 @@ def f14_flatten_vector(spark, sf):
     f"""WITH {VECTORS}, means AS (
         SELECT docid, i, avg(vec[i]) AS m FROM hv, range(1, 65) r(i) GROUP BY docid, i)
     SELECT docid, list(round(m, 6) ORDER BY i) AS mean_vec FROM means GROUP BY docid""",
+    vector="mean_vec",
 )
 def a1_mean_vector(spark, sf):
     stats = document_statistics(question_table(spark, sf))
@@ -146,6 +149,7 @@ def a3_spread(spark, sf):
     both_vecs AS (SELECT qid, vec FROM own UNION ALL SELECT docid, vec FROM hv),
     means AS (SELECT qid, i, avg(vec[i]) AS m FROM both_vecs, range(1, 65) r(i) GROUP BY qid, i)
     SELECT qid, list(round(m, 6) ORDER BY i) AS vec FROM means GROUP BY qid""",
+    vector="vec",
 )
 def a7_hypodoc_vector(spark, sf):
     own = context_vectors(spark, sf).withColumnRenamed("docid", "qid")
