@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.llm import lines
+from ctxrank.llm import chat, decision_list, lines, urls
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,3 +41,72 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "n_dropped",
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+# The contract's site rules and, for all other urls, words of unwanted sites.
+SITE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+BLOCKED_WORDS = ["casino-win", "cheap-pills", "free-bets", "casino", "pills", "bets"]
+
+
+@query(
+    "op2_url_filter",
+    """
+    WITH parted AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
+        FROM pages),
+    placed AS (
+        SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM parted),
+    cut AS (
+        SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+        FROM placed),
+    ruled AS (
+        SELECT *, CASE
+            WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+        FROM cut)
+    SELECT page_id, host, path, rule, CASE
+        WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+        WHEN rule IS NOT NULL THEN 'allow'
+        WHEN regexp_matches(host || path,
+            '(^|[^A-Za-z0-9])(casino-win|cheap-pills|free-bets|casino|pills|bets)($|[^A-Za-z0-9])') THEN 'block'
+        ELSE 'allow' END AS verdict
+    FROM ruled""",
+)
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [urls.site_rule(*r) for r in SITE_RULES] + [urls.word_rule(w) for w in BLOCKED_WORDS]
+    return urls.judge_urls(table(spark, sf, "pages"), rules).drop("n_tried")
+
+
+@query(
+    "op6_chat_rotations",
+    """
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns),
+    views AS (
+        SELECT t.conv_id, speaker, turn, role, text, role = speaker AS learned,
+               CASE WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END
+                   || chr(10) || text || '<|end|>' || chr(10) AS segment
+        FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+    placed AS (
+        SELECT *, sum(length(segment)) OVER w AS stop, row_number() OVER w AS nth FROM views
+        WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT conv_id, speaker, nth - 1 AS position, segment, CAST(stop - length(segment) AS BIGINT) AS start,
+           CAST(stop AS BIGINT) AS "end", learned FROM placed""",
+)
+def op6_chat_rotations(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf, "conversations"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rules = decision_list.learn_from(docs, table(spark, sf, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return decision_list.judged(docs, rules).select(
+        "doc_id", *[F.col("counts")[c].alias(c) for c in counts], "base_failed", "kept"
+    )
