@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.llm import chat, decision_list, lines, urls
+from ctxrank.llm import chat, decision_list, lines, neighbours, packing, urls
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,3 +111,20 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return decision_list.judged(docs, rules).select(
         "doc_id", *[F.col("counts")[c].alias(c) for c in counts], "base_failed", "kept"
     )
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = neighbours.fit(docs, labels.where(~neighbours.held_out(F.col("doc_id"))))
+    return neighbours.score(docs, model).select(
+        "doc_id",
+        neighbours.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
