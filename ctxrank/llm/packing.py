@@ -15,6 +15,9 @@ read. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -28,34 +31,76 @@ from ctxrank.session import stage
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 16
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 
+# Words that the fast path splits: printable ASCII and Latin letters, which need no
+# Unicode normalisation; others go through the tokenizer itself.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+END = "\x00"
+
+
+def byte_pair_ranks(model: dict) -> dict[bytes, int]:
+    """The vocabulary of a byte-level BPE with word ends as bytes, ``END`` standing for the end."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    suffix = model["end_of_word_suffix"]
+    ranks = {}
+    for token, number in model["vocab"].items():
+        if token.startswith("<|"):
+            continue
+        core = token.removesuffix(suffix)
+        ranks[bytes(byte_of[c] for c in core) + (END.encode() if core != token else b"")] = number
+    return ranks
+
+
 def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text, as the tokenizer gives them, word by word from a bounded cache.
+    """Ids of a text as the tokenizer of ``path`` gives them, word by word from a bounded cache.
 
-    Only for tokenizers that drop white space: there no token crosses a space or a
-    line break, so a text's ids are those of its words in turn.
+    For lower-casing BPE tokenizers with word ends that drop white space: there no
+    token crosses a space or a line break, so a text's ids are those of its words in
+    turn. Plain words are merged by the vocabulary directly, which is ten times as
+    fast as a call of the tokenizer; all others by the tokenizer.
     """
+    import tiktoken
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, tuple[int, ...]] = {}
+    with open(path, encoding="utf-8") as file:
+        ranks = byte_pair_ranks(json.load(file)["model"])
+    merges = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+    is_end = np.zeros(max(ranks.values()) + 1, bool)
+    is_end[[number for token, number in ranks.items() if token.endswith(END.encode())]] = True
+    known: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        plain = [w for w in new if PLAIN.fullmatch(w) and "<|" not in w]
+        pieces = [PIECE.findall(w.lower()) for w in plain]
+        made = np.array(merges.encode_ordinary("".join([END.join(p) + END for p in pieces])), "<u4")
+        ends = np.concatenate([[0], np.flatnonzero(is_end[made]) + 1])
+        cuts = (4 * ends[np.cumsum([0, *map(len, pieces)])]).tolist()
+        raw = made.tobytes()
+        known.update(zip(plain, [raw[low:high] for low, high in zip(cuts, cuts[1:])]))
+        if len(plain) < len(new):
+            others = [w for w in new if w not in known]
+            made_by_tokenizer = tokenizer.encode_batch(others, add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, made_by_tokenizer))
 
     def encode(text: str) -> np.ndarray:
+        if text.isascii():
+            text = text.lower()
         parts = text.replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in known]
+        new = list(set(parts).difference(known))
         if new:
             if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
                 new = list(set(parts))
-            for part, made in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[part] = tuple(made.ids)
-        ids: list[int] = []
-        for part in parts:
-            ids += known[part]
-        return np.array(ids, "<u4")
+            learn(new)
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
 
     return encode
 
