@@ -1,7 +1,8 @@
 """Quality classifier: labelled neighbours in a latent-semantic space vote.
 
-A text is its byte trigrams, hashed into ``BUCKETS`` counts, weighted by their
-inverse document frequency over all documents and projected on the leading
+A text is its byte trigrams, hashed into ``BUCKETS`` counts, and four shares of
+repeated words, lines and symbols. Counts are weighted by their inverse document
+frequency over all documents, shares by a fixed weight, and the whole is projected on the leading
 singular vectors of a bounded sample of labelled documents. The sample's vectors are
 broadcast; every document's cosines with all of them come from blocked products, and
 the labels of the nearest vote with weights that grow with the cosine.
@@ -23,8 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxrank.llm.arrays import slices
+from ctxrank.llm.statistics import COUNTS, counts as text_counts
 
 BUCKETS = 4096
+# Shares of words like the last, of words in repeated windows, of symbols, of repeated lines.
+SHAPES = 4
+SHAPE_WEIGHT = 4.0
+TERMS = BUCKETS + SHAPES
 DIMENSIONS = 48
 # The learner's sample: at most so many labelled documents, those with the smallest hashes.
 SAMPLE_ROWS = 4096
@@ -47,6 +53,15 @@ def trigram_counts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.bincount(cells, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
 
 
+def term_counts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Trigram counts of each row and, in percent, its shapes."""
+    of = dict(zip(COUNTS, text_counts(data, rows)))
+    n, lines = np.maximum(of["n_words"], 1), np.maximum(of["n_lines"], 1)
+    shares = [of["n_same_as_last"] / n, of["n_repeat_words"] / n, of["n_symbols"] / n, of["n_dup_lines"] / lines]
+    shapes = np.floor(100 * np.stack(shares, 1)).astype(np.float32)
+    return np.concatenate([trigram_counts(data, rows), shapes], axis=1)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     rows = np.log1p(counts) * idf
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -118,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(2)):
                 found = []
-                for line in trigram_counts(data, offsets):
+                for line in term_counts(data, offsets):
                     at = np.flatnonzero(line)
                     found.append(np.stack([at, line[at]]).astype("<u4").tobytes())
                 part = batch.slice(first, end - first)
@@ -137,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .toArrow()
     )
     seen, n = document_frequencies(docs)
-    idf = np.log((1.0 + n) / (1.0 + seen)).astype(np.float32)
-    counts = np.zeros((sample.num_rows, BUCKETS), np.float32)
+    idf = np.append(np.log((1.0 + n) / (1.0 + seen)), [SHAPE_WEIGHT] * SHAPES).astype(np.float32)
+    counts = np.zeros((sample.num_rows, TERMS), np.float32)
     for i, packed in enumerate(sample.column("counts")):
         at, values = np.frombuffer(packed.as_py(), "<u4").reshape(2, -1)
         counts[i, at] = values
@@ -151,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def _leading_directions(rows: np.ndarray) -> np.ndarray:
     """Leading right singular vectors by subspace iteration from a fixed start."""
     if not len(rows):
-        return np.zeros((BUCKETS, 1), np.float32)
+        return np.zeros((TERMS, 1), np.float32)
     size = min(DIMENSIONS, len(rows))
     basis = np.random.default_rng(1).standard_normal((rows.shape[1], size + 8)).astype(np.float32)
     for _ in range(6):
@@ -162,12 +177,13 @@ def _leading_directions(rows: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row: how likely label 1 is, from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.projection, model.vectors, model.labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in batches:
             for first, end, data, rows in slices(batch.column(1)):
-                scores = shared.value.score(trigram_counts(data, rows))
+                scores = model.score(term_counts(data, rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(scores)], names=["doc_id", "score"]
                 )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.llm import chat, decision_list, lines, neighbours, packing, urls
+from ctxrank.llm import chat, decision_list, decontamination, lines, neighbours, packing, secrets, urls
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,3 +128,60 @@ def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.shown(base), 256).alias("base_sha256"),
+        secrets.shown(F.concat("base", "added")).alias("spans"),
+    )
+
+
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op9_decontamination",
+    f"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_PATTERN}') AS w
+        FROM documents),
+    i AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_PATTERN}') AS w
+        FROM benchmark),
+    sized AS (SELECT item_id, w, least(len(w), 13) AS n FROM i WHERE len(w) > 0),
+    win AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS words
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM sized)),
+    place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+    part AS (
+        SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS words
+        FROM place, (SELECT DISTINCT n FROM win) WHERE p + n - 1 <= len(w)),
+    hit AS (SELECT doc_id, p, n, item_id FROM part JOIN win USING (n, words)),
+    covered AS (
+        SELECT doc_id, count(DISTINCT pos) AS n_hit
+        FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM (SELECT DISTINCT doc_id, p, n FROM hit)) GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+)
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    judged = decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
