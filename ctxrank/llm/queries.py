@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.llm import chat, decision_list, decontamination, lines, neighbours, packing, repeats, secrets, urls
+from ctxrank.llm import chat, decision_list, decontamination, lines, neighbours, ngram_join, packing, repeats, secrets, urls
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -192,3 +192,8 @@ def op3_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     cut = repeats.without_repeats(docs, repeats.repeated_spans(docs), keep_first=False)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
