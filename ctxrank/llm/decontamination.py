@@ -214,3 +214,9 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: str = "doc_id", block_
     return judged.select(
         keep, "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     )
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
+    return contaminated(whole, items, "whole", block_bytes).where(~F.col("contaminated")).select("whole.*")

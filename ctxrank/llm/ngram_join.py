@@ -83,18 +83,20 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def set_sizes(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc, n, sid) of every row: how many shingles its set has, and the set's fingerprint."""
+    """(doc, text_key, n, sid) of every row: how many shingles its set has, and the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, rows in slices(batch.column(1)):
                 size, sid = _sums(*shingle_sets(data, rows, k), end - first)
+                part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(size.astype(np.int64)), pa.array(sid.view(np.int64))],
-                    names=["doc", "n", "sid"],
+                    [part.column(0), part.column(2), pa.array(size.astype(np.int64)), pa.array(sid.view(np.int64))],
+                    names=["doc", "text_key", "n", "sid"],
                 )
 
-    return _rows(docs).mapInArrow(run, "doc long, n long, sid long")
+    rows = _rows(docs).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc long, text_key long, n long, sid long")
 
 
 def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -350,14 +352,12 @@ def verified(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, percen
     return sets.groupBy("bucket").applyInArrow(compare, "sid long, hub long")
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = WORDS, percent: int = PERCENT, join_bytes: int = JOIN_BYTES
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame:
+    """(doc, text_key, n, component) of every row; ``NO_ID`` stands for a null id."""
     sets = stage(set_sizes(docs, k))
     kinds = stage(sets.where("n > 0").groupBy("sid").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
     total = kinds.agg(F.sum("n")).first()[0] or 0
-    copies = sets.join(kinds.where("rows > 1"), "sid").where("doc <> least").select("doc").distinct()
+    copies = sets.join(kinds.where("rows > 1").select("sid", "least"), "sid").where("doc <> least").select("doc").distinct()
     # A row goes on if it is the first of its kind; an id of several rows goes on whole.
     several = sets.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     skipped = joinable(stage(copies.join(several, "doc", "left_anti")), join_bytes)
@@ -381,7 +381,34 @@ def near_duplicates(
     named = stage(named)
     first = named.groupBy("comp").agg(F.min("least").alias("component"))
     by_set = joinable(stage(named.join(first, "comp").select("sid", "component")), join_bytes)
-    out = sets.join(by_set, "sid", "left")
-    real = lambda c: F.when(c != NO_ID, c)
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(own).alias("component_id"))
+    return sets.join(by_set, "sid", "left").select("doc", "text_key", "n", own.alias("component"))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = WORDS, percent: int = PERCENT, join_bytes: int = JOIN_BYTES
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    rows = grouped(docs, k, percent, join_bytes)
+    return rows.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, join_bytes: int = JOIN_BYTES) -> DataFrame:
+    """One row of ``docs`` per group: of the smallest id, and of its rows the one with the smallest text hash.
+
+    Rows without a set belong to no group and stay.
+    """
+    judged = stage(grouped(docs, k, percent, join_bytes).where("n > 0"))
+    key = ["doc", "text_key"]
+    least = judged.groupBy("component").agg(F.min(F.struct(*key)).alias("least"))
+    gone = judged.join(least, "component").where("doc <> least.doc or text_key <> least.text_key").select(*key).distinct()
+    again = judged.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key)
+    own = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])]
+    on = lambda side: (own[0] == side["doc"]) & (own[1] == side["text_key"])
+    gone, again = joinable(stage(gone), join_bytes), joinable(stage(again), join_bytes)
+    left = docs.join(gone, on(gone), "left_anti")
+    # Rows repeated as they are: one stays.
+    others = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    one = left.join(again, on(again), "left_semi").groupBy("doc_id", "text").agg(*others)
+    return left.join(again, on(again), "left_anti").unionByName(one.select(*docs.columns))
