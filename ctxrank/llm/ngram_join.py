@@ -9,7 +9,9 @@ but one a part, so the prefix is extended by one shingle a part. The number of p
 grows with the size of the set, which keeps pairs in proportion to the prefix; sets of
 neighbouring size levels are indexed under both levels.
 
-Candidates are verified on the whole sets, against hubs first: those linked through a
+A pair's count of shared rare shingles bounds what the rest of the sets can share, which
+drops most candidates that only have a passage in common. The others are verified on
+the whole sets, against hubs first: those linked through a
 hub are one component and need no further test, so a large group of copies costs a
 test a member. Then all candidates still in different components are tested.
 
@@ -36,9 +38,9 @@ from ctxrank.session import stage
 
 WORDS = 4
 PERCENT = 85
-# The class of frequent shingles has at most 1 / FREQUENT_SHARE members, whatever the
-# corpus: those whose share of all shingles of all sets is at least that, and MIN_COUNT.
-FREQUENT = 1 << 20
+# The class of frequent shingles has at most FREQUENT members, whatever the corpus: those
+# with at least one in FREQUENT of all shingles of all sets, and at least MIN_COUNT.
+FREQUENT = 1 << 22
 MIN_COUNT = 16
 COUNTED = 1 << 21
 GROUP = 256
@@ -191,7 +193,10 @@ def _pairs(value: np.ndarray, needed: int, size: int, level: int) -> np.ndarray:
 def signatures(
     owner: np.ndarray, value: np.ndarray, n: int, numbers: np.ndarray, counts: np.ndarray, bits: int, levels: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set that another, different set could link with."""
+    """(row, signature, by row whether its prefix is all rare) of every set that another could link with.
+
+    Signatures of single shingles are even, those of pairs odd.
+    """
     first = np.searchsorted(owner, np.arange(n + 1))
     size = np.diff(first)
     needed = size - (percent * size + 99) // 100 + 1
@@ -207,7 +212,7 @@ def signatures(
     before = np.searchsorted(owner[rare], np.arange(n + 1))
     nth = np.arange(len(rare)) - before[owner[rare]]
     chosen = rare[nth < needed[owner[rare]]]
-    out_row, out = [owner[chosen]], [mix(value[chosen] + np.uint64(1))]
+    out_row, out = [owner[chosen]], [mix(value[chosen] + np.uint64(1)) & ~np.uint64(1)]
     for row in np.flatnonzero(needed > np.diff(before)):
         mine = np.arange(first[row], first[row + 1])
         mine = mine[frequent[mine]]
@@ -216,8 +221,8 @@ def signatures(
         for l in {level, max(level - 1, 0)}:
             made = _pairs(value[mine], int(needed[row] - (before[row + 1] - before[row])), int(levels[l]), l)
             out_row.append(np.full(len(made), row))
-            out.append(made)
-    return np.concatenate(out_row), np.concatenate(out)
+            out.append(made | np.uint64(1))
+    return np.concatenate(out_row), np.concatenate(out), needed <= np.diff(before)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +231,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The first and the last signature may go on in another partition and stay as well.
     """
     held: pa.Table | None = None
+    held_often = False
     first_sig = None
 
     def chosen(rows: pa.Table, flags: np.ndarray) -> list[pa.RecordBatch]:
@@ -236,25 +242,30 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([held, rows]) if held is not None else rows
-        sig = rows.column("sig").to_numpy()
+        sig, sid = rows.column("sig").to_numpy(), rows.column("sid").to_numpy()
+        again = np.zeros(len(sig), bool)
+        again[1:] = (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1])
+        rows, sig = rows.filter(pa.array(~again)), sig[~again]
         first_sig = sig[0] if first_sig is None else first_sig
         same = sig[1:] == sig[:-1]
         often = np.zeros(len(sig), bool)
         often[1:] |= same
         often[:-1] |= same
         often |= sig == first_sig
+        often[0] |= held_often
+        # The last row waits for its successor, which may have its signature or be its copy.
+        held, held_often = rows.slice(len(sig) - 1), bool(often[-1])
         often[-1] = False
-        # The last row waits for its successor, which may have its signature.
-        held = rows.slice(len(sig) - 1)
-        if same.any() and same[-1]:
-            held, often[-1] = None, True
         yield from chosen(rows, often)
     if held is not None:
         yield from held.combine_chunks().to_batches()
 
 
 def shared_signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], k: int, percent: int) -> DataFrame:
-    """(sig, sid, n): the index entries of signatures that more than one set has."""
+    """(sig, sid, n): the index entries of signatures that more than one set has.
+
+    n is the size of the set, negative if its prefix reaches into the frequent class.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
     levels = _levels(percent=percent)
 
@@ -264,19 +275,46 @@ def shared_signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, i
             for first, end, data, offsets in slices(batch.column(1)):
                 owner, value = shingle_sets(data, offsets, k)
                 size, sid = _sums(owner, value, end - first)
-                row, sig = signatures(owner, value, end - first, numbers, counts, bits, levels, percent)
+                row, sig, all_rare = signatures(owner, value, end - first, numbers, counts, bits, levels, percent)
+                size = np.where(all_rare, size, -size).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(sid.view(np.int64)[row]), pa.array(size[row].astype(np.int32))],
+                    [pa.array(sig.view(np.int64)), pa.array(sid.view(np.int64)[row]), pa.array(size[row])],
                     names=["sig", "sid", "n"],
                 )
 
     entries = rows.mapInArrow(scan, "sig long, sid long, n int")
     sorted_entries = entries.repartitionByRange("sig", "sid").sortWithinPartitions("sig", "sid")
-    return sorted_entries.mapInArrow(_shared, "sig long, sid long, n int").dropDuplicates(["sig", "sid"])
+    return sorted_entries.mapInArrow(_shared, "sig long, sid long, n int")
+
 
+def _can_link(percent: int) -> tuple[str, str]:
+    """Two conditions on a pair's sizes n and hub_n, and with its count ``rare`` of shared single shingles.
 
-def _fits(percent: int) -> str:
-    return f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    Sets as large as these must share ``least`` shingles. Of the two all-rare prefixes the
+    one that ends first lies wholly before the end of the other, so that all it shares with
+    the other set is counted; what it lacks must leave enough.
+    """
+    least = f"(({percent} * (abs(n) + abs(hub_n)) + {99 + percent}) div {100 + percent})"
+    lacking = lambda n: (
+        f"(abs({n}) - ({percent} * abs({n}) + 99) div 100 + 1 - rare <= abs({n}) - {least})"
+    )
+    sizes = f"100 * least(abs(n), abs(hub_n)) >= {percent} * greatest(abs(n), abs(hub_n))"
+    shared = (
+        f"case when n < 0 and hub_n < 0 then true when n < 0 then {lacking('hub_n')}"
+        f" when hub_n < 0 then {lacking('n')} else {lacking('n')} or {lacking('hub_n')} end"
+    )
+    return sizes, shared
+
+
+def _counted(pairs: DataFrame, percent: int) -> DataFrame:
+    sizes, shared = _can_link(percent)
+    counts = pairs.where(sizes).groupBy("sid", "hub").agg(
+        F.count("*").alias("together"),
+        F.count_if(F.col("sig") % 2 == 0).alias("rare"),
+        F.first("n").alias("n"),
+        F.first("hub_n").alias("hub_n"),
+    )
+    return counts.where(shared)
 
 
 def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -284,17 +322,16 @@ def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
     hub = F.min(F.struct(F.xxhash64("comp", F.lit(seed)), F.xxhash64("sid", F.lit(seed)), "sid", "n", "comp"))
     hubs = shared.groupBy("sig").agg(hub.alias("hub"))
     hubs = hubs.select("sig", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
-    pairs = shared.join(hubs, "sig").where("comp <> hub_comp").where(_fits(percent))
-    counted = pairs.groupBy("sid", "hub").agg(F.count("*").alias("together"))
-    best = counted.groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
+    pairs = _counted(shared.join(hubs, "sig").where("comp <> hub_comp"), percent)
+    best = pairs.groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
     return best.select("sid", F.col("best.hub").alias("hub"))
 
 
 def _all_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Every pair of sets that share a signature and are not in one component."""
+    """Every pair of sets in different components that can link by the signatures they share."""
     other = shared.select("sig", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    pairs = shared.join(other, "sig").where("hub < sid and comp <> hub_comp").where(_fits(percent))
-    return pairs.select("sid", "hub").distinct()
+    pairs = shared.join(other, "sig").where("hub < sid and comp <> hub_comp")
+    return _counted(pairs, percent).select("sid", "hub")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame:
