@@ -40,13 +40,13 @@ WORDS = 4
 PERCENT = 85
 # The class of frequent shingles has at most FREQUENT members, whatever the corpus: those
 # with at least one in FREQUENT of all shingles of all sets, and at least MIN_COUNT.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 23
 MIN_COUNT = 16
 COUNTED = 1 << 21
 GROUP = 256
 BUCKET_BYTES = 4 << 20
 JOIN_BYTES = 32 << 20
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 NO_ID = -(1 << 63)
 
 
@@ -166,63 +166,77 @@ def _levels(limit: int = 1 << 40, percent: int = PERCENT) -> np.ndarray:
     return np.array(sizes)
 
 
-def _pairs(value: np.ndarray, needed: int, size: int, level: int) -> np.ndarray:
-    """Signatures of the frequent shingles of one set, given in the global order.
+def _pairs(value: np.ndarray, needed: int, own: int, size: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the frequent shingles of one set, given in the global order, and which are its own.
 
-    ``needed`` more shingles must be lacking than the rare ones of the prefix cover.
+    ``needed`` more shingles must be lacking than the rare ones cover, ``own`` more for
+    the shorter prefix that the smaller set of a pair needs.
     """
     parts = max(1, size // 53)
     part = (mix(value + np.uint64(level)) % np.uint64(parts)).astype(np.int64)
     _, first = np.unique(part, return_index=True)
     counts = np.ones(len(value), np.int64)
     counts[first] = 0
-    stop = int(np.searchsorted(np.cumsum(counts), needed)) + 1
+    lacking = np.cumsum(counts)
+    stop = int(np.searchsorted(lacking, needed)) + 1
+    place = np.arange(len(value))[:stop]
+    stop_own = int(np.searchsorted(lacking, own)) + 1 if own > 0 else 0
     value, part = value[:stop], part[:stop]
     order = np.lexsort((value, part))
-    value, part = value[order], part[order]
-    made, gap = [], 1
+    value, part, place = value[order], part[order], place[order]
+    made, mine, gap = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], 1
     while gap < len(value):
         same = part[gap:] == part[:-gap]
         if not same.any():
             break
         made.append(mix(value[:-gap][same] * np.uint64(0x2545F4914F6CDD1D) + value[gap:][same] + np.uint64(level)))
+        mine.append(np.maximum(place[:-gap], place[gap:])[same] < stop_own)
         gap += 1
-    return np.concatenate(made) if made else np.zeros(0, np.uint64)
+    return np.concatenate(made), np.concatenate(mine)
 
 
 def signatures(
     owner: np.ndarray, value: np.ndarray, n: int, numbers: np.ndarray, counts: np.ndarray, bits: int, levels: np.ndarray, percent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature, by row whether its prefix is all rare) of every set that another could link with.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, own, rare by row) of every set that another, different set could link with.
 
-    Signatures of single shingles are even, those of pairs odd.
+    A set is indexed by a long prefix for smaller partners and, within it, by its own
+    shorter one for partners that are not smaller. ``rare`` counts the single shingles of
+    the long prefix. Signatures of single shingles are even, those of pairs odd.
     """
     first = np.searchsorted(owner, np.arange(n + 1))
     size = np.diff(first)
     needed = size - (percent * size + 99) // 100 + 1
+    needed_own = size - (2 * percent * size + 99 + percent) // (100 + percent) + 1
     # Smaller sets that are not equal lack too much.
-    needed[(100 * size < percent * (size + 1))] = 0
-    own = value >> np.uint64(64 - bits)
+    alone = 100 * size < percent * (size + 1)
+    needed[alone] = needed_own[alone] = 0
+    number = value >> np.uint64(64 - bits)
     if len(numbers):
-        at = np.minimum(np.searchsorted(numbers, own), len(numbers) - 1)
-        frequent = numbers[at] == own
+        at = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+        frequent = numbers[at] == number
     else:
-        at, frequent = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        at, frequent = np.zeros(len(number), np.int64), np.zeros(len(number), bool)
     rare = np.flatnonzero(~frequent)
     before = np.searchsorted(owner[rare], np.arange(n + 1))
+    n_rare = np.diff(before)
     nth = np.arange(len(rare)) - before[owner[rare]]
-    chosen = rare[nth < needed[owner[rare]]]
+    short = nth < needed[owner[rare]]
+    chosen = rare[short]
     out_row, out = [owner[chosen]], [mix(value[chosen] + np.uint64(1)) & ~np.uint64(1)]
-    for row in np.flatnonzero(needed > np.diff(before)):
+    out_own = [nth[short] < needed_own[owner[chosen]]]
+    for row in np.flatnonzero(needed > n_rare):
         mine = np.arange(first[row], first[row + 1])
         mine = mine[frequent[mine]]
         mine = mine[np.lexsort((value[mine], counts[at[mine]]))]
         level = int(np.searchsorted(levels, size[row], "right")) - 1
         for l in {level, max(level - 1, 0)}:
-            made = _pairs(value[mine], int(needed[row] - (before[row + 1] - before[row])), int(levels[l]), l)
+            lack, lack_own = int(needed[row] - n_rare[row]), int(needed_own[row] - n_rare[row])
+            made, own = _pairs(value[mine], lack, lack_own if l == level else 0, int(levels[l]), l)
             out_row.append(np.full(len(made), row))
             out.append(made | np.uint64(1))
-    return np.concatenate(out_row), np.concatenate(out), needed <= np.diff(before)
+            out_own.append(own)
+    return np.concatenate(out_row), np.concatenate(out), np.concatenate(out_own), np.minimum(n_rare, needed)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +276,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], k: int, percent: int) -> DataFrame:
-    """(sig, sid, n): the index entries of signatures that more than one set has.
-
-    n is the size of the set, negative if its prefix reaches into the frequent class.
-    """
+    """(sig, sid, n, rare, own): the index entries of signatures that more than one set has."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
     levels = _levels(percent=percent)
 
@@ -275,63 +286,74 @@ def shared_signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, i
             for first, end, data, offsets in slices(batch.column(1)):
                 owner, value = shingle_sets(data, offsets, k)
                 size, sid = _sums(owner, value, end - first)
-                row, sig, all_rare = signatures(owner, value, end - first, numbers, counts, bits, levels, percent)
-                size = np.where(all_rare, size, -size).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(sid.view(np.int64)[row]), pa.array(size[row])],
-                    names=["sig", "sid", "n"],
-                )
+                row, sig, own, rare = signatures(owner, value, end - first, numbers, counts, bits, levels, percent)
+                longs = [sig.view(np.int64), sid.view(np.int64)[row], size[row].astype(np.int32), rare[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, longs), pa.array(own)], names=["sig", "sid", "n", "rare", "own"])
 
-    entries = rows.mapInArrow(scan, "sig long, sid long, n int")
+    entry = "sig long, sid long, n int, rare int, own boolean"
+    entries = rows.mapInArrow(scan, entry)
     sorted_entries = entries.repartitionByRange("sig", "sid").sortWithinPartitions("sig", "sid")
-    return sorted_entries.mapInArrow(_shared, "sig long, sid long, n int")
+    return sorted_entries.mapInArrow(_shared, entry)
 
 
 def _can_link(percent: int) -> tuple[str, str]:
-    """Two conditions on a pair's sizes n and hub_n, and with its count ``rare`` of shared single shingles.
+    """Two conditions on a pair: on the sizes n >= hub_n, and on ``both``, its shared single shingles.
 
-    Sets as large as these must share ``least`` shingles. Of the two all-rare prefixes the
-    one that ends first lies wholly before the end of the other, so that all it shares with
-    the other set is counted; what it lacks must leave enough.
+    Sets as large as these must share ``least`` shingles. Of the single shingles in the long
+    prefix of the larger and the short one of the smaller, those of the prefix that ends
+    first lie wholly before the end of the other, so all that the sets share of them is
+    counted, and what they lack must leave enough. A prefix that reaches into the frequent
+    class holds all single shingles of its set and ends last.
     """
-    least = f"(({percent} * (abs(n) + abs(hub_n)) + {99 + percent}) div {100 + percent})"
-    lacking = lambda n: (
-        f"(abs({n}) - ({percent} * abs({n}) + 99) div 100 + 1 - rare <= abs({n}) - {least})"
-    )
-    sizes = f"100 * least(abs(n), abs(hub_n)) >= {percent} * greatest(abs(n), abs(hub_n))"
+    least = f"(({percent} * (n + hub_n) + {99 + percent}) div {100 + percent})"
+    needed = f"(n - ({percent} * n + 99) div 100 + 1)"
+    needed_own = f"(hub_n - ({2 * percent} * hub_n + {99 + percent}) div {100 + percent} + 1)"
+    larger = f"(rare - both <= n - {least})"
+    smaller = f"(least(hub_rare, {needed_own}) - both <= hub_n - {least})"
     shared = (
-        f"case when n < 0 and hub_n < 0 then true when n < 0 then {lacking('hub_n')}"
-        f" when hub_n < 0 then {lacking('n')} else {lacking('n')} or {lacking('hub_n')} end"
+        f"case when rare < {needed} and hub_rare < {needed_own} then {larger} and {smaller}"
+        f" when rare < {needed} then {smaller} when hub_rare < {needed_own} then {larger}"
+        f" else {larger} or {smaller} end"
     )
-    return sizes, shared
+    return f"100 * hub_n >= {percent} * n", shared
 
 
 def _counted(pairs: DataFrame, percent: int) -> DataFrame:
     sizes, shared = _can_link(percent)
     counts = pairs.where(sizes).groupBy("sid", "hub").agg(
         F.count("*").alias("together"),
-        F.count_if(F.col("sig") % 2 == 0).alias("rare"),
-        F.first("n").alias("n"),
-        F.first("hub_n").alias("hub_n"),
+        F.count_if(F.col("sig") % 2 == 0).alias("both"),
+        *[F.first(c).alias(c) for c in ("n", "hub_n", "rare", "hub_rare")],
     )
     return counts.where(shared)
 
 
+def _hub(name: str):
+    return F.col(name).alias(f"hub_{name}" if name != "sid" else "hub")
+
+
 def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
-    """For each set the one hub, of its signatures' hubs in other components, with which it shares most."""
-    hub = F.min(F.struct(F.xxhash64("comp", F.lit(seed)), F.xxhash64("sid", F.lit(seed)), "sid", "n", "comp"))
-    hubs = shared.groupBy("sig").agg(hub.alias("hub"))
-    hubs = hubs.select("sig", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
-    pairs = _counted(shared.join(hubs, "sig").where("comp <> hub_comp"), percent)
-    best = pairs.groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
+    """For each set the one hub, of its signatures' hubs in other components, with which it shares most.
+
+    Two of three rounds take hubs from the largest component, which gathers what is left
+    of large groups; the others from any. Rounds save tests, they need not find all links.
+    """
+    first = F.xxhash64("comp", F.lit(seed)) if seed % 3 == 0 else -F.col("members")
+    hub = F.min(F.struct(first.alias("first"), F.xxhash64("sid", F.lit(seed)).alias("then"), "sid", "n", "rare", "comp"))
+    hubs = shared.groupBy("sig").agg(hub.alias("h")).select("sig", "h.*").select("sig", *map(_hub, ("sid", "n", "rare", "comp")))
+    pairs = shared.join(hubs, "sig").where("comp <> hub_comp")
+    turned = F.col("n") < F.col("hub_n")
+    sizes = {c: F.when(turned, F.col(f"hub_{c}")).otherwise(F.col(c)) for c in ("n", "rare")}
+    sizes |= {f"hub_{c}": F.when(turned, F.col(c)).otherwise(F.col(f"hub_{c}")) for c in ("n", "rare")}
+    best = _counted(pairs.withColumns(sizes), percent).groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
     return best.select("sid", F.col("best.hub").alias("hub"))
 
 
 def _all_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets in different components that can link by the signatures they share."""
-    other = shared.select("sig", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    pairs = shared.join(other, "sig").where("hub < sid and comp <> hub_comp")
-    return _counted(pairs, percent).select("sid", "hub")
+    other = shared.where("own").select("sig", *map(_hub, ("sid", "n", "rare", "comp")))
+    order = "(hub_n < n or hub_n = n and hub < sid) and comp <> hub_comp"
+    return _counted(shared.join(other, "sig").where(order), percent).select("sid", "hub")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame:
@@ -401,19 +423,24 @@ def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame
     rows = _rows(docs).join(skipped, "doc", "left_anti")
     shared = stage(shared_signatures(rows, frequent_shingles(rows, total, k), k, percent))
 
-    links: DataFrame | None = None
     labels: DataFrame | None = None
-    open_rows = shared.withColumn("comp", F.col("sid"))
-    for seed in range(STAR_ROUNDS + 1):
-        pairs = stage(_star_pairs(open_rows, seed, percent) if seed < STAR_ROUNDS else _all_pairs(open_rows, percent))
-        new = stage(verified(docs, pairs, kinds, k, percent, join_bytes).select(F.col("sid").alias("a"), F.col("hub").alias("b")))
-        links = new if links is None else labels.unionByName(new)
-        labels = components(links)
-        if seed == STAR_ROUNDS:
+    open_rows = shared.withColumns({"comp": F.col("sid"), "members": F.lit(1).cast("long")})
+    seed, progress = 0, True
+    while True:
+        last = seed == STAR_ROUNDS or not progress
+        pairs = stage(_all_pairs(open_rows, percent) if last else _star_pairs(open_rows, seed, percent))
+        found = verified(docs, pairs, kinds, k, percent, join_bytes)
+        new = stage(found.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+        progress = seed < 2 or not new.isEmpty()
+        labels = components(new if labels is None else labels.unionByName(new))
+        if last:
             break
-        known = shared.join(labels, F.col("sid") == F.col("a"), "left").select("sig", "sid", "n", F.coalesce("b", "sid").alias("comp"))
+        seed += 1
+        sizes = labels.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("members"))
+        known = shared.join(labels, F.col("sid") == F.col("a"), "left").select("sig", "sid", "n", "rare", "own", F.coalesce("b", "sid").alias("comp"))
         mixed = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-        open_rows = stage(known.join(mixed, "sig", "left_semi"))
+        left = known.join(mixed, "sig", "left_semi").join(sizes, "comp", "left")
+        open_rows = stage(left.withColumn("members", F.coalesce("members", F.lit(1))))
     named = kinds.join(labels, F.col("sid") == F.col("a"), "left").select("sid", "least", F.coalesce("b", "sid").alias("comp"))
     named = stage(named)
     first = named.groupBy("comp").agg(F.min("least").alias("component"))
