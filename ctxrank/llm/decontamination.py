@@ -125,6 +125,8 @@ def search(block: Block, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
 
 def longest(doc, place, length, item, item_at) -> tuple[np.ndarray, ...]:
     """Join windows that go on on the same diagonal of a document and an item."""
+    if not len(doc):
+        return doc, place, length, item, item_at
     order = np.lexsort((place, place - item_at, item, doc))
     doc, place, length, item, item_at = (c[order] for c in (doc, place, length, item, item_at))
     new = np.ones(len(doc), bool)

@@ -412,7 +412,11 @@ def verified(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, percen
 
 
 def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame:
-    """(doc, text_key, n, component) of every row; ``NO_ID`` stands for a null id."""
+    """(doc, text_key, n, group, component) of every row; ``NO_ID`` stands for a null id.
+
+    ``group`` tells components apart, also where they share their smallest id; it is null
+    for a row without a set.
+    """
     sets = stage(set_sizes(docs, k))
     kinds = stage(sets.where("n > 0").groupBy("sid").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
     total = kinds.agg(F.sum("n")).first()[0] or 0
@@ -444,9 +448,9 @@ def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame
     named = kinds.join(labels, F.col("sid") == F.col("a"), "left").select("sid", "least", F.coalesce("b", "sid").alias("comp"))
     named = stage(named)
     first = named.groupBy("comp").agg(F.min("least").alias("component"))
-    by_set = joinable(stage(named.join(first, "comp").select("sid", "component")), join_bytes)
+    by_set = joinable(stage(named.join(first, "comp").select("sid", F.col("comp").alias("group"), "component")), join_bytes)
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    return sets.join(by_set, "sid", "left").select("doc", "text_key", "n", own.alias("component"))
+    return sets.join(by_set, "sid", "left").select("doc", "text_key", "n", "group", own.alias("component"))
 
 
 def near_duplicates(
@@ -465,8 +469,8 @@ def first_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, join_
     """
     judged = stage(grouped(docs, k, percent, join_bytes).where("n > 0"))
     key = ["doc", "text_key"]
-    least = judged.groupBy("component").agg(F.min(F.struct(*key)).alias("least"))
-    gone = judged.join(least, "component").where("doc <> least.doc or text_key <> least.text_key").select(*key).distinct()
+    least = judged.groupBy("group").agg(F.min(F.struct(*key)).alias("least"))
+    gone = judged.join(least, "group").where("doc <> least.doc or text_key <> least.text_key").select(*key).distinct()
     again = judged.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key)
     own = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])]
     on = lambda side: (own[0] == side["doc"]) & (own[1] == side["text_key"])
