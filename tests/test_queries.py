@@ -8,6 +8,7 @@ import pytest
 from check import differences, oracle_connection
 
 import __spark_entry__ as entry
+from workload import registry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -27,7 +28,7 @@ def test_query(spark, oracle, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
