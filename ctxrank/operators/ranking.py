@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINGERPRINT_BLOCK = 1000
 
 
 def best_first(score: str = "score", *ties: str) -> list[Column]:
@@ -93,22 +92,11 @@ def score_range(hits: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(hits: DataFrame, block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """Digest of each query's ordered candidate list.
+def fingerprint(hits: DataFrame) -> DataFrame:
+    """SHA-256 of each query's candidate ids, joined in the order of their rank.
 
-    Up to ``block`` candidates it is the SHA-256 of the joined ids. A longer
-    list is digested block by block, and the block digests again, so that no
-    task gathers more than one block of ids.
+    A list is as long as the retrieval is deep, so a query's ids are gathered whole.
     """
-
-    def ordered(place: str, text: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.struct(place, text)))
-        return F.sha2(F.array_join(F.transform(parts, lambda p: p[text]), ""), 256)
-
-    blocks = (
-        hits.withColumn("_id", F.col("docid").cast("string"))
-        .groupBy("qid", F.floor((F.col("rank") - 1) / block).alias("_block"))
-        .agg(ordered("rank", "_id").alias("_digest"))
-    )
-    whole = F.when(F.count("*") == 1, F.max("_digest")).otherwise(ordered("_block", "_digest"))
-    return blocks.groupBy("qid").agg(whole.alias("fingerprint"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("docid").cast("string").alias("_id"))))
+    joined = F.array_join(F.transform(ordered, lambda place: place["_id"]), "")
+    return hits.groupBy("qid").agg(F.sha2(joined, 256).alias("fingerprint"))

@@ -83,7 +83,8 @@ def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataF
     """Read one run, or all runs under ``path`` with their ``run_id``."""
     if run_id is not None:
         return parse_run(spark.read.text(f"{path}/run_id={run_id}"))
-    lines = spark.read.text(path)
+    # With its type given, a run id such as 007 stays as it is written.
+    lines = spark.read.schema("value string, run_id string").text(path)
     parts = parse_run(lines.select("value")).columns
     split = F.split(F.trim("value"), r"\s+")
     return lines.select(

@@ -133,20 +133,14 @@ def test_rank_all_matches_a_sort(spark):
     assert as_lists(ranked) == expected
 
 
-def test_fingerprint_of_short_and_long_lists(spark):
+def test_fingerprint_is_the_same_digest_at_every_size(spark):
     import hashlib
 
-    rows = [(1, d, d + 1, 0.0) for d in range(25)] + [(2, 5, 1, 0.0)]
-    hits = spark.createDataFrame(rows, PAIR)
-    whole = {r["qid"]: r["fingerprint"] for r in fingerprint(hits).collect()}
-    text = "".join(str(d) for d in range(25))
-    assert whole == {
-        1: hashlib.sha256(text.encode()).hexdigest(), 2: hashlib.sha256(b"5").hexdigest(),
-    }
-    blocks = {r["qid"]: r["fingerprint"] for r in fingerprint(hits, block=10).collect()}
-    swapped = [(1, d, {3: 4, 4: 3}.get(d, d) + 1, 0.0) for d in range(25)]
-    other = fingerprint(spark.createDataFrame(swapped, PAIR), block=10).first()["fingerprint"]
-    assert blocks[2] == whole[2] and blocks[1] != other
+    sizes = [1, 999, 1000, 1001, 1500]
+    rows = [(n, d, d + 1, 0.0) for n in sizes for d in range(n)]
+    found = {r["qid"]: r["fingerprint"] for r in fingerprint(spark.createDataFrame(rows, PAIR)).collect()}
+    plain = lambda n: hashlib.sha256("".join(str(d) for d in range(n)).encode()).hexdigest()
+    assert found == {n: plain(n) for n in sizes}
 
 
 def hits_fixture(spark, queries=3, documents=12):

@@ -304,3 +304,20 @@ def test_whole_ranking_on_each_branch(spark, tmp_path, encoder, base):
     again = go()
     assert len(open(calls).readlines()) == written
     assert sorted(again.reranked.collect()) == sorted(runs.reranked.collect())
+
+
+def test_a_conversation_is_one_prompt_at_every_size(spark):
+    sizes = [999, 1000, 1001, 1500]
+    rows = [(n, t, "user", str(t)) for n in sizes for t in range(n)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r["prompt"] for r in conversation_prompts(table).collect()}
+    assert found == {n: "\n".join([*(f"user: {t}" for t in range(n)), "assistant: "]) for n in sizes}
+    assert conversation_prompts(table).count() == len(sizes)
+
+
+def test_run_ids_stay_as_written(spark, tmp_path):
+    from ctxrank.sources.trec import read_run
+
+    (tmp_path / "run_id=007").mkdir()
+    (tmp_path / "run_id=007" / "part.txt").write_text("1 Q0 d 1 0.5 x\n")
+    assert [r["run_id"] for r in read_run(spark, str(tmp_path)).collect()] == ["007"]

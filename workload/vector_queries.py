@@ -112,7 +112,10 @@ def f13_cosine(spark, sf):
 )
 def f14_flatten_vector(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    nested = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    nested = F.array(
+        F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, F.size("embedding") - half)
+    )
     return rows.select("vec_id", flatten_vector(nested).alias("vec"))
 
 
