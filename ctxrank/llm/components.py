@@ -24,17 +24,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b`` and none is the ``b`` of another; stars change no more."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node of ``edges`` (a, b) that is not the smallest of its component, and that smallest.
 
-    Alternates large and small stars until nothing changes; a hub of any size is
+    Alternates large and small stars until only stars are left; a hub of any size is
     only ever one side of a join and of a minimum.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
-            return now
-        before = mark
+    while not _are_stars(now):
         now = stage(_stars(_stars(now, True), False))
+    return now
