@@ -46,15 +46,19 @@ def collapse_whitespace(text: Column) -> Column:
 def document_text(raw: Column) -> Column:
     """Text of a raw JSON document; a missing document has the text ``''``.
 
-    The JSON is parsed once. A ``title`` wins over ``contents``, which wins
-    over ``passage``.
+    A ``title`` wins over ``contents``, which wins over ``passage``. The JSON
+    is parsed once: the parsed document is bound to a lambda's argument,
+    because the optimizer would give each field used a parse of its own.
     """
-    doc = F.from_json(raw, RAW_DOCUMENT)
-    titled = F.concat(
-        F.lit("Title: "), doc["title"], F.lit(" Content: "), F.coalesce(doc["text"], F.lit(""))
-    )
-    text = F.coalesce(titled, doc["contents"], doc["passage"], F.lit(""))
-    return collapse_whitespace(text)
+
+    def content(doc: Column) -> Column:
+        titled = F.concat(
+            F.lit("Title: "), doc["title"], F.lit(" Content: "), F.coalesce(doc["text"], F.lit(""))
+        )
+        return F.coalesce(titled, doc["contents"], doc["passage"], F.lit(""))
+
+    parsed = F.array(F.from_json(raw, RAW_DOCUMENT))
+    return collapse_whitespace(F.transform(parsed, content)[0])
 
 
 def split_lines(text: Column) -> Column:
@@ -125,9 +129,17 @@ def terms(text: Column) -> Column:
 
 
 def word_windows(text: Column, size: int, step: int) -> Column:
-    """Overlapping windows of words; a text of at most ``size`` words is one window."""
-    words = F.split(text, " ")
-    last = F.greatest(F.ceil((F.size(words) - size) / F.lit(step)), F.lit(0)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, size), " ")
-    )
+    """Overlapping windows of words; a text of at most ``size`` words is one window.
+
+    A null text has one null window, as a short text has one. The words are bound to a lambda's argument, so that the text is split once
+    and not again for every window.
+    """
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - size) / F.lit(step)), F.lit(0)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(words, i * step + 1, size), " "),
+        )
+
+    return F.transform(F.array(F.split(text, " ")), windows)[0]

@@ -71,9 +71,16 @@ def spread(m: Column) -> Column:
 
 
 def as_matrix(column, unit: bool = False):
-    """Arrow list column, inside a task, as rows of doubles, or of unit vectors."""
+    """Arrow list column, inside a task, as rows of doubles, or of unit vectors.
+
+    Vectors of different lengths are an error.
+    """
     import numpy as np
+    import pyarrow.compute as pc
 
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} to {lengths['max']} dimensions in one column")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
     if unit:

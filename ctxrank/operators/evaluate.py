@@ -51,14 +51,14 @@ def ndcg_per_query(run: DataFrame, qrels: DataFrame, cut: int = CUT) -> DataFram
 def mean_ndcg(
     run: DataFrame, qrels: DataFrame, cut: int = CUT, keys: tuple[str, ...] = ("run_id",)
 ) -> DataFrame:
-    """Mean nDCG over all judged queries, per run."""
+    """Mean nDCG over all judged queries, per run; a run that answers none of them scores 0."""
     ideal = ideal_dcg(qrels, cut)
     judged = ideal.agg(F.count("*")).scalar()
     ratio = F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)
     return (
         run_dcg(run, qrels, cut, keys)
-        .join(ideal, "qid")
+        .join(ideal, "qid", "left")
         .groupBy(*keys)
         .agg(F.sum(ratio).alias("_total"))
-        .select(*keys, (F.col("_total") / judged).alias("ndcg"))
+        .select(*keys, F.try_divide(F.col("_total"), judged).alias("ndcg"))
     )

@@ -33,11 +33,12 @@ def retrying(
     wait: float = WAIT_AFTER_RETRY_HINT,
     hints: Sequence[str] | None = RETRY_HINTS,
     default=None,
+    raises: bool = False,
 ) -> Callable:
     """Repeat a failing call, and give ``default`` when the attempts run out.
 
     With ``hints`` only errors that mention one are retried; ``retries=None``
-    repeats until success.
+    repeats until success; with ``raises`` the last error is raised instead.
     """
 
     def attempt(*args):
@@ -48,6 +49,8 @@ def retrying(
             except Exception as error:
                 hinted = hints is None or any(h in str(error) for h in hints)
                 if not hinted or (retries is not None and done >= retries):
+                    if raises:
+                        raise
                     return default
                 done += 1
                 time.sleep(wait)
@@ -93,10 +96,17 @@ def generate(
     n: int = 1,
     temperature: float = 0.1,
     tasks: int | None = None,
+    retries: int | None = 0,
+    wait: float = WAIT_AFTER_RETRY_HINT,
+    hints: Sequence[str] | None = RETRY_HINTS,
+    raises: bool = True,
 ) -> DataFrame:
     """``(prompt_key, prompt)`` -> ``(prompt_key, choice, text)`` through a generator.
 
-    A failed choice has a null text, which parsing drops.
+    The prompts of a failed batch are asked again one by one, each with the
+    ``retries``, ``wait`` and ``hints`` of ``retrying``. One that still fails
+    raises, or without ``raises`` gets a null text, which parsing drops; so
+    does every prompt of a batch that the generator answers with ``None``.
     """
     if tasks is not None:
         prompts = prompts.repartition(tasks, "prompt_key")
@@ -105,10 +115,20 @@ def generate(
         import pandas as pd
 
         generator = make_generator()
+
+        def ask(prompts: list[str]) -> Sequence:
+            answers = generator(prompts, n, temperature)
+            return [None] * len(prompts) if answers is None else answers
+
+        one = retrying(ask, retries, wait, hints, [None], raises)
         for batch in batches:
             keys, choices, texts = [], [], []
-            answers = generator(batch["prompt"].tolist(), n, temperature)
-            for key, answer in zip(batch["prompt_key"], answers):
+            prompts = batch["prompt"].tolist()
+            try:
+                answers = ask(prompts)
+            except Exception:
+                answers = [one([prompt])[0] for prompt in prompts]
+            for key, answer in zip(batch["prompt_key"], answers, strict=True):
                 answer = list(answer or [None])
                 keys += [key] * len(answer)
                 choices += range(len(answer))

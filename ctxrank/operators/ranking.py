@@ -35,10 +35,13 @@ def score_bucket(score: Column) -> Column:
     """A coarse integer that never falls as the score falls.
 
     Logarithmic in the score's size, so it separates small and large scores
-    alike and takes a bounded number of values.
+    alike and takes a bounded number of values. As in a falling sort, NaN comes
+    first, with infinity, and null last.
     """
-    size = F.floor(F.log2(1 + F.abs(score) * F.lit(2.0**20)) * 1024)
-    return F.when(score < 0, size + 1).otherwise(-size)
+    end = 1 << 40
+    size = F.floor(F.least(F.log2(1 + F.abs(score) * F.lit(2.0**20)) * 1024, F.lit(float(end))))
+    known = F.when(score < 0, size + 1).otherwise(-size)
+    return F.when(score.isNull(), F.lit(end + 2)).otherwise(known)
 
 
 def rank_all(
@@ -50,7 +53,7 @@ def rank_all(
 ) -> DataFrame:
     """Exact 1-based rank of every row, for keys of any size.
 
-    ``bucket`` never falls along ``order``. Rows are counted per bucket with
+    ``bucket`` never falls along ``order`` and is never null. Rows are counted per bucket with
     map-side combining; a row's rank is the count of the lower buckets plus
     its place in its own, so no task sorts a whole key. The rows are read
     twice, so an order that rests on computed scores wants them staged.

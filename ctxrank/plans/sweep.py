@@ -92,6 +92,7 @@ def sweep_runs(
     ``first_n`` and the evaluation cut cannot reach the cut and are left out.
     """
     fields = (*SETTING, "encoder")
+    cells = list(cells)
     values = [
         F.struct(*[F.lit(getattr(c, f)).cast(CELL_TYPES[f]).alias(f) for f in fields]) for c in cells
     ]
@@ -99,7 +100,8 @@ def sweep_runs(
     if "encoder" in keys:
         own = F.col("encoder")
         chosen = F.filter(chosen, lambda c: c["encoder"].isNull() | (c["encoder"] == own))
-    scored = hits.join(statistics, [*keys, "qid", "docid"], "left")
+    deepest = max([cut, *(c.first_n for c in cells)])
+    scored = hits.where(F.col("rank") <= deepest).join(statistics, [*keys, "qid", "docid"], "left")
     each = scored.withColumn("_cell", F.explode(chosen))
     each = each.select("*", *[F.col(f"_cell.{f}").alias(f) for f in SETTING])
     reached = each.where(F.col("rank") <= F.greatest("first_n", F.lit(cut)))

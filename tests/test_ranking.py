@@ -334,3 +334,25 @@ def test_cosine_of_a_zero_vector_leaves_the_score(spark, budget):
     docs = vectors(spark, "docid INT", [(1, [0, 0]), (2, [2, 2])])
     found = rerank_by_vector(hits, queries, docs, 2, "cos", budget).collect()
     assert {r["docid"]: round(r["score"], 9) for r in found} == {1: 0.9, 2: 1.0}
+
+
+def test_undefined_scores_keep_their_place(spark):
+    scores = [1.0, None, float("nan"), -1.0, float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "qid int, docid int, score double")
+    ranked = rank_all(rows, best_first("score", "docid"), score_bucket(F.col("score")))
+    assert [r.docid for r in ranked.orderBy("rank").collect()] == [2, 4, 0, 3, 5, 1]
+
+
+def test_a_run_without_judged_queries_scores_zero(spark):
+    run = spark.createDataFrame(
+        [("a", 1, 1, 1.0), ("b", 9, 1, 1.0)], "run_id string, qid int, docid int, score double"
+    )
+    qrels = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "qid int, docid int, rel int")
+    assert {r.run_id: r.ndcg for r in mean_ndcg(run, qrels).collect()} == {"a": 0.5, "b": 0.0}
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    docs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0] * 6)], "docid int, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0] * 4)], "qid int, vec array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        dense_topk(queries, docs.coalesce(1), 3).collect()

@@ -321,3 +321,36 @@ def test_run_ids_stay_as_written(spark, tmp_path):
     (tmp_path / "run_id=007").mkdir()
     (tmp_path / "run_id=007" / "part.txt").write_text("1 Q0 d 1 0.5 x\n")
     assert [r["run_id"] for r in read_run(spark, str(tmp_path)).collect()] == ["007"]
+
+
+def _failing_generator(gives_up):
+    def make():
+        def complete(prompts, n, temperature):
+            if any("bad" in p for p in prompts):
+                if gives_up:
+                    return None
+                raise ValueError("please retry")
+            return [[p.upper()] * n for p in prompts]
+
+        return complete
+
+    return make
+
+
+def _completions(spark, gives_up, **options):
+    prompts = spark.createDataFrame([("1", "good"), ("2", "bad")], "prompt_key string, prompt string")
+    rows = generate(prompts.coalesce(1), _failing_generator(gives_up), wait=0.0, **options).collect()
+    return {r.prompt_key: r.text for r in rows}
+
+
+def test_a_failed_prompt_does_not_take_its_batch_along(spark):
+    assert _completions(spark, False, retries=2, raises=False) == {"1": "GOOD", "2": None}
+
+
+def test_a_failed_prompt_raises_unless_told_otherwise(spark):
+    with pytest.raises(Exception, match="please retry"):
+        _completions(spark, False, retries=1)
+
+
+def test_a_batch_given_up_is_null_per_prompt(spark):
+    assert _completions(spark, True) == {"1": None, "2": None}

@@ -171,3 +171,17 @@ def test_word_windows_cover_the_text(spark, words, expected):
     assert len(windows) == expected
     assert {w for window in windows for w in window.split()} == set(text.split())
     assert all(len(w.split()) <= 10 for w in windows)
+
+
+def test_documents_are_parsed_once(spark):
+    raw = ['{"title": "a", "text": "b  c"}', '{"contents": "x"}', '{"passage": "y"}', "no json", None]
+    df = spark.createDataFrame([(r,) for r in raw], "raw string")
+    parsed = df.select(X.document_text(F.col("raw")).alias("text"))
+    assert [r.text for r in parsed.collect()] == ["Title: a Content: b c", "x", "y", "", ""]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_windows_of_empty_and_null_texts(spark):
+    df = spark.createDataFrame([("a b c d e",), ("",), (None,)], "t string")
+    found = [r[0] for r in df.select(X.word_windows(F.col("t"), 3, 2)).collect()]
+    assert found == [["a b c", "c d e"], [""], [None]]

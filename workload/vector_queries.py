@@ -311,7 +311,7 @@ def c4_rerank_other_method(spark, sf):
     FROM stats""",
 )
 def a4_question_similarity(spark, sf):
-    hits = vector_hits(spark, sf, 1_000_000)
+    hits = vector_hits(spark, sf, spark.read.parquet(f"{sf}/embeddings.parquet").count())
     stats = statistics(spark, sf, hits, with_spread=False)
     return rounded(stats.drop("spread"), "max_sim", "mean_sim")
 
