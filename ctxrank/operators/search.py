@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from ctxrank.functions.vectors import as_matrix
 from ctxrank.operators.ranking import top_k
-from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, table_bytes
+from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, stage, table_bytes
 
 TERM_SALTS = 32
 
@@ -20,56 +21,82 @@ def judged(topics: DataFrame, qrels: DataFrame) -> DataFrame:
     return topics.join(qrels.select("qid").distinct(), "qid", "left_semi")
 
 
-def _running_top_k(k: int, entries: int = 4_000_000) -> Callable:
+def _running_top_k(k: int, entries: int = 4_000_000, tile: int = 1024) -> Callable:
     """Kernel: the k best documents per query over Arrow batches.
 
-    A block product finds the candidates, with a margin for its rounding; the
-    candidates are scored again in a fixed summation order, so a document's
-    score does not depend on the batch it came in.
+    Queries and documents are multiplied in blocks of ``tile`` queries and about
+    ``entries`` products. What passes a query's floor, its k-th best so far with a
+    margin for the product's rounding, is scored again in a fixed order, so a
+    document's score does not depend on the batch it came in, and put in the block's
+    buffer. Only a buffer larger than the block's best is merged into them, so the
+    best are not sorted at every step. Returns parts of (query, score, document).
     """
     import numpy as np
 
-    def rescore(queries, docs, cols, rows):
+    def rescore(queries, docs, cols, rows, step=2048):
         scores = np.empty(len(rows))
-        step = max(entries // docs.shape[1], 1)
         for i in range(0, len(rows), step):
             part = slice(i, i + step)
             scores[part] = (queries[cols[part]] * docs[rows[part]]).sum(axis=1)
         return scores
 
+    def merge(kept, floor):
+        """The k best of each query among ``kept``; ties by document."""
+        col, score, doc = (np.concatenate(parts) for parts in zip(*kept))
+        counts = np.bincount(col, minlength=len(floor))
+        lowest = np.full(len(floor), np.inf)
+        np.minimum.at(lowest, col, score)
+        floor[counts == k] = lowest[counts == k]
+        full = counts[col] > k
+        done = [(col[~full], score[~full], doc[~full])]
+        col, score, doc = col[full], score[full], doc[full]
+        if len(col):
+            order = np.lexsort((doc, -score, col))
+            col, score, doc = col[order], score[order], doc[order]
+            place = np.arange(len(col)) - np.searchsorted(col, np.arange(len(floor)))[col]
+            floor[col[place == k - 1]] = score[place == k - 1]
+            best = place < k
+            done.append((col[best], score[best], doc[best]))
+        return done
+
+    def hopeful(product, floor, margin):
+        """The products that may be among the k best, as queries and rows."""
+        chosen = product >= (floor - margin)[:, None]
+        rows = product.shape[1]
+        if rows > k and np.count_nonzero(chosen) > 2 * k * len(product):
+            kth = np.partition(product, rows - k, axis=1)[:, rows - k]
+            chosen &= product >= (kth - margin)[:, None]
+        return np.nonzero(chosen)
+
     def search(queries, batches):
-        count = len(queries)
+        tiles = [slice(i, i + tile) for i in range(0, len(queries), tile)]
         lengths = np.sqrt((queries * queries).sum(axis=1))
-        rows_per_step = max(entries // max(count, 1), 1)
-        floor = np.full(count, -np.inf)
-        best = None
+        step = max(entries // max(min(tile, len(queries)), 1), 1)
+        floors = np.full(len(queries), -np.inf)
+        kept = [[] for _ in tiles]
+        held = [0 for _ in tiles]
         for all_ids, all_docs in batches:
             if all_ids.dtype == object:
                 all_ids = all_ids.astype(str)
-            for start in range(0, len(all_ids), rows_per_step):
-                docs = all_docs[start : start + rows_per_step]
-                ids = all_ids[start : start + rows_per_step]
-                product = queries @ docs.T
-                reach = np.sqrt((docs * docs).sum(axis=1).max()) * lengths
-                margin = 8 * docs.shape[1] * np.finfo(np.float64).eps * reach
-                hopeful = product >= (floor - margin)[:, None]
-                if len(ids) > k and np.count_nonzero(hopeful) > 2 * k * count:
-                    kth = np.partition(product, len(ids) - k, axis=1)[:, len(ids) - k]
-                    hopeful &= product >= (kth - margin)[:, None]
-                col, row = np.nonzero(hopeful)
-                score = rescore(queries, docs, col, row)
-                doc = ids[row]
-                if best is not None:
-                    col = np.concatenate([best[0], col])
-                    score = np.concatenate([best[1], score])
-                    doc = np.concatenate([best[2], doc])
-                order = np.lexsort((doc, -score, col))
-                col, score, doc = col[order], score[order], doc[order]
-                place = np.arange(len(col)) - np.searchsorted(col, np.arange(count))[col]
-                floor[col[place == k - 1]] = score[place == k - 1]
-                kept = place < k
-                best = col[kept], score[kept], doc[kept]
-        return best
+            for start in range(0, len(all_ids), step):
+                docs, ids = all_docs[start : start + step], all_ids[start : start + step]
+                reach = np.sqrt((docs * docs).sum(axis=1).max())
+                margins = 8 * docs.shape[1] * np.finfo(np.float64).eps * reach * lengths
+                for i, part in enumerate(tiles):
+                    floor = floors[part]
+                    col, row = hopeful(queries[part] @ docs.T, floor, margins[part])
+                    if not len(col):
+                        continue
+                    kept[i].append((col, rescore(queries[part], docs, col, row), ids[row]))
+                    held[i] += len(col)
+                    # The first block sets the floors; later ones wait in the buffer.
+                    if held[i] > 2 * k * len(floor) or np.isneginf(floor).any():
+                        kept[i] = merge(kept[i], floor)
+                        held[i] = sum(len(part_kept[0]) for part_kept in kept[i])
+        for i, part in enumerate(tiles):
+            for col, score, doc in merge(kept[i], floors[part]) if kept[i] else []:
+                if len(col):
+                    yield col + part.start, score, doc
 
     return search
 
@@ -89,26 +116,30 @@ def dense_topk(
     docs: DataFrame,
     k: int = 100,
     broadcast_bytes: int = BROADCAST_BYTES,
+    scan_tasks: int | None = None,
 ) -> DataFrame:
     """The k documents with the largest dot product, per query.
 
     ``queries(qid, vec)``, ``docs(docid, vec)`` -> ``(qid, docid, score, rank)``,
-    ties by docid. Query vectors within ``broadcast_bytes`` go to every task,
-    and each task passes on only its own k best per query, so the documents
-    are scanned in place. Beyond that size both sides are cut into cells of
-    about ``broadcast_bytes`` of documents and of queries, each searched on its
-    own.
+    ties by docid. Blocks of queries of about ``broadcast_bytes`` go to every
+    task, one scan of the documents a block, and each task passes on only its own
+    k best per query, so the documents are scanned in place and never shuffled.
+    As the last shuffle holds k rows per query and task, splits are read
+    together in at most ``scan_tasks`` tasks, by default four a core.
     """
     queries = queries.select("qid", "vec").where("vec is not null")
     docs = docs.select("docid", "vec").where("vec is not null")
-    size = table_bytes(queries)
-    if size <= broadcast_bytes:
-        best = _scan_search(queries, docs, k)
-    else:
-        blocks = -(-size // broadcast_bytes)
-        chunks = -(-docs.count() * size // (queries.count() * broadcast_bytes))
-        best = _cell_search(queries, docs, k, blocks, max(chunks, 1))
-    return top_k(best, k)
+    if scan_tasks is None:
+        spark = docs.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        scan_tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.coalesce(scan_tasks)
+    blocks = max(1, -(-table_bytes(queries) // broadcast_bytes))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    if blocks > 1:
+        queries = stage(queries)
+    scans = [_scan_search(queries.where(block == i), docs, k) for i in range(blocks)]
+    return top_k(reduce(DataFrame.unionByName, scans), k)
 
 
 def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -128,45 +159,13 @@ def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             for b in batches
             if b.num_rows
         )
-        best = search(queries, parts)
-        if best is not None:
-            col, score, ids = best
+        for col, score, ids in search(queries, parts):
             columns = [qids.take(pa.array(col)).combine_chunks(), pa.array(ids), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=["qid", "docid", "score"])
 
     return docs.mapInArrow(scan, _hit_schema(queries, docs))
 
 
-def _cell_search(
-    queries: DataFrame, docs: DataFrame, k: int, blocks: int, chunks: int
-) -> DataFrame:
-    def spread(column: str, parts: int):
-        return F.pmod(F.xxhash64(column), F.lit(parts))
-
-    def every(parts: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))
-
-    left = docs.select("*", spread("docid", chunks).alias("_chunk"), every(blocks).alias("_block"))
-    right = queries.select("*", every(chunks).alias("_chunk"), spread("qid", blocks).alias("_block"))
-    search = _running_top_k(k)
-
-    def cell(doc_table, query_table):
-        import pyarrow as pa
-
-        names = ["qid", "docid", "score"]
-        qids, docids = query_table.column("qid"), doc_table.column("docid")
-        if not len(qids) or not len(docids):
-            nothing = [qids.slice(0, 0), docids.slice(0, 0), pa.array([], pa.float64())]
-            return pa.Table.from_arrays(nothing, names=names)
-        queries = as_matrix(query_table.column("vec").combine_chunks())
-        documents = as_matrix(doc_table.column("vec").combine_chunks())
-        col, score, ids = search(queries, [(docids.to_numpy(), documents)])
-        return pa.Table.from_arrays([qids.take(pa.array(col)), pa.array(ids), pa.array(score)], names=names)
-
-    cells = left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block"))
-    return cells.applyInArrow(cell, _hit_schema(queries, docs))
-
-
 def frequent_enough(
     query_terms: DataFrame, postings: DataFrame, documents: int, min_idf: float
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from ctxrank.operators.rerank import (
     rerank_by_vector,
     score_candidates,
 )
-from ctxrank.operators.search import dense_topk, sparse_topk
+from ctxrank.operators.search import _running_top_k, dense_topk, sparse_topk
 from ctxrank.operators.similarity import similarities
 from ctxrank.plans.sweep import grid, sweep
 
@@ -50,6 +50,20 @@ def as_lists(hits):
     return found
 
 
+@pytest.mark.parametrize("batch, tile, entries", [(500, 1024, 4_000_000), (7, 4, 50), (100, 1, 30)])
+def test_kernel_gives_the_same_best_in_any_blocks(batch, tile, entries):
+    r = np.random.default_rng(5)
+    queries, docs = r.integers(0, 3, (30, 3)).astype(float), r.integers(0, 3, (500, 3)).astype(float)
+    ids = np.array([f"d{i:03}" for i in r.permutation(500)], object)
+    batches = ((ids[i : i + batch], docs[i : i + batch]) for i in range(0, 500, batch))
+    found = [set() for _ in queries]
+    for col, score, doc in _running_top_k(10, entries, tile)(queries, batches):
+        for c, s, d in zip(col, score, doc):
+            found[c].add((-s, d))
+    for query, best in zip(queries, found):
+        assert sorted(best) == sorted(zip(-(docs @ query), ids))[:10]
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 300}])
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_dense_topk_is_exact(spark, options, k):
@@ -63,7 +77,7 @@ def test_dense_topk_is_exact(spark, options, k):
 
 @pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 150}])
 def test_dense_topk_when_a_third_are_copies(spark, options):
-    """Copies tie at the top; the ties go by docid, across partitions and cells."""
+    """Copies tie at the top; the ties go by docid, across partitions and blocks."""
     rng = np.random.default_rng(3)
     copy = rng.normal(size=6)
     docs = [(f"d{i:04d}", copy if i % 3 == 0 else rng.normal(size=6) * 0.1) for i in range(300)]

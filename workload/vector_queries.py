@@ -180,7 +180,7 @@ def c2_dense_topk(spark, sf):
     SELECT qid, docid, rank, round(score, 6) AS score FROM hits""",
 )
 def c2_dense_topk_cells(spark, sf):
-    """The same search in cells, as for query sides too large to broadcast."""
+    """The same search in blocks of queries, as for query sides too large to broadcast."""
     queries, contexts = query_vectors(spark, sf), context_vectors(spark, sf)
     hits = dense_topk(queries, contexts, K, broadcast_bytes=8192)
     return rounded(hits, "score")
