@@ -36,7 +36,9 @@ from ctxrank.operators.rerank import (
 from ctxrank.operators.search import dense_topk, judged, sparse_topk
 from ctxrank.plans.sweep import compare
 from ctxrank.session import stage
+from ctxrank.sources.experiments import append_experiments
 from ctxrank.sources.store import Store
+from ctxrank.sources.trec import write_run
 
 DEPTH = 100
 
@@ -75,10 +77,44 @@ class Runs:
     base: DataFrame
     reranked: DataFrame
 
+    def named(self) -> dict[str, DataFrame]:
+        return {"first": self.first, "base": self.base, "reranked": self.reranked}
+
     def compare(self, qrels: DataFrame) -> DataFrame:
         """Mean nDCG of the three, one row per ``run_id``."""
-        runs = {"first": self.first, "base": self.base, "reranked": self.reranked}
-        return compare(runs, qrels)
+        return compare(self.named(), qrels)
+
+    def log_row(self, qrels: DataFrame, setting: Setting, model: str = "") -> DataFrame:
+        """The log's row for these runs: the setting, the time and the three means."""
+        ndcg = {
+            f"{column}_ndcg": F.max(F.when(F.col("run_id") == name, F.col("ndcg")))
+            for name, column in (("first", "indexer"), ("base", "encoder"), ("reranked", "reranked"))
+        }
+        values = {
+            "model_name": model,
+            "method": setting.method,
+            "task": setting.task,
+            "topic": setting.topic,
+            "question_coef": setting.question_coef,
+            "spread_coef": setting.spread_coef,
+            "downsample": setting.downsample,
+            "temperature": setting.temperature,
+            "n": setting.n,
+            "indexer_name": setting.indexer,
+            "first_n": setting.first_n,
+            "encoder_name": setting.encoder,
+        }
+        means = self.compare(qrels).agg(*[value.alias(c) for c, value in ndcg.items()])
+        named = {c: F.lit(value) for c, value in values.items()}
+        return means.withColumns({"datetime": F.current_timestamp().cast("string"), **named})
+
+    def write(
+        self, qrels: DataFrame, setting: Setting, run_folder: str, log: str, model: str = ""
+    ) -> None:
+        """Write the three as run files, cut at their depth, and append their row to the log."""
+        for name, run in self.named().items():
+            write_run(run, run_folder, name)
+        append_experiments(qrels.sparkSession, self.log_row(qrels, setting, model), log)
 
 
 def first_stage(

@@ -424,12 +424,15 @@ END_TO_END = f"""WITH {TOPICS}, {TEXT_QRELS}, {CONTEXTS}, {PROMPTS}, {ONE_COMPLE
 """
 
 
+SETTING = Setting(topic="documents", indexer="terms", encoder="counts")
+
+
 def _whole_ranking(spark, sf):
     wanted = topics(spark, sf)
     texts = document_contexts(spark, sf)
     folder = new_folder(spark, "stores")
     return end_to_end(
-        Setting(topic="documents", indexer="terms", encoder="counts"),
+        SETTING,
         wanted,
         text_qrels(spark, sf),
         corpus(spark, sf),
@@ -453,3 +456,47 @@ def c14_end_to_end(spark, sf):
     """Term search, rerank by vectors, questions for the first 30, question rerank."""
     run = _whole_ranking(spark, sf).reranked
     return rounded(run.select("qid", "docid", "rank", "base_rank", "score"), "score")
+
+
+ALL_RUNS = """
+    all_runs AS (SELECT 'first' AS run_id, qid, docid, place::INTEGER AS rank, score
+                 FROM hits JOIN sums USING (qid, docid)
+                 UNION ALL SELECT 'base', qid, docid, base_rank, score FROM base
+                 UNION ALL SELECT 'reranked', qid, docid, rank, score FROM reranked)
+"""
+
+
+def _written(spark, sf):
+    folder = new_folder(spark, "ranking")
+    _whole_ranking(spark, sf).write(text_qrels(spark, sf), SETTING, f"{folder}/runs", f"{folder}/log")
+    return folder
+
+
+@query(
+    "c14_run_files",
+    f"""{END_TO_END}, {ALL_RUNS} SELECT run_id, qid::VARCHAR AS qid, docid::VARCHAR AS docid, rank,
+    round(score, 6) AS score FROM all_runs WHERE rank <= 100""",
+)
+def c14_run_files(spark, sf):
+    """The whole ranking's three runs, read back from their files."""
+    return rounded(read_run(spark, f"{_written(spark, sf)}/runs"), "score")
+
+
+@query(
+    "c14_experiment_log",
+    f"""{END_TO_END}, {ALL_RUNS}, {ndcg_sql("all_runs", "run_id,")},
+    means AS (SELECT run_id, sum(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END)
+                             / (SELECT count(*) FROM ideal) AS ndcg
+              FROM dcgs JOIN ideal USING (qid) GROUP BY run_id)
+    SELECT 'documents' AS topic, 'terms' AS indexer_name, 'counts' AS encoder_name,
+           'max' AS method, 30::INTEGER AS first_n, 0.4::DOUBLE AS question_coef,
+           round(max(ndcg) FILTER (run_id = 'first'), 6) AS indexer_ndcg,
+           round(max(ndcg) FILTER (run_id = 'base'), 6) AS encoder_ndcg,
+           round(max(ndcg) FILTER (run_id = 'reranked'), 6) AS reranked_ndcg FROM means""",
+)
+def c14_experiment_log(spark, sf):
+    """The whole ranking's row of the log, read back from its file."""
+    rows = read_experiments(spark, f"{_written(spark, sf)}/log")
+    names = ["topic", "indexer_name", "encoder_name", "method", "first_n", "question_coef"]
+    scores = ["indexer_ndcg", "encoder_ndcg", "reranked_ndcg"]
+    return rows.select(*names, *[F.round(c, 6).alias(c) for c in scores])
