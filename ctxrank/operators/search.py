@@ -11,9 +11,7 @@ from pyspark.sql import types as T
 
 from ctxrank.functions.vectors import as_matrix
 from ctxrank.operators.ranking import top_k
-from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, stage, table_bytes
-
-TERM_SALTS = 32
+from ctxrank.session import BROADCAST_BYTES, matching, stage, table_bytes
 
 
 def judged(topics: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -21,6 +19,33 @@ def judged(topics: DataFrame, qrels: DataFrame) -> DataFrame:
     return topics.join(qrels.select("qid").distinct(), "qid", "left_semi")
 
 
+def _merge(kept: list, floor, k: int) -> list:
+    """The k best of each query among parts of (query, score, document), ties by document.
+
+    Raises ``floor``, the k-th best score per query, in place.
+    """
+    import numpy as np
+
+    if not kept:
+        return []
+    col, score, doc = (np.concatenate(parts) for parts in zip(*kept))
+    counts = np.bincount(col, minlength=len(floor))
+    lowest = np.full(len(floor), np.inf)
+    np.minimum.at(lowest, col, score)
+    floor[counts == k] = lowest[counts == k]
+    full = counts[col] > k
+    done = [(col[~full], score[~full], doc[~full])]
+    col, score, doc = col[full], score[full], doc[full]
+    if len(col):
+        order = np.lexsort((doc, -score, col))
+        col, score, doc = col[order], score[order], doc[order]
+        place = np.arange(len(col)) - np.searchsorted(col, np.arange(len(floor)))[col]
+        floor[col[place == k - 1]] = score[place == k - 1]
+        best = place < k
+        done.append((col[best], score[best], doc[best]))
+    return done
+
+
 def _running_top_k(k: int, entries: int = 4_000_000, tile: int = 1024) -> Callable:
     """Kernel: the k best documents per query over Arrow batches.
 
@@ -40,25 +65,6 @@ def _running_top_k(k: int, entries: int = 4_000_000, tile: int = 1024) -> Callab
             scores[part] = (queries[cols[part]] * docs[rows[part]]).sum(axis=1)
         return scores
 
-    def merge(kept, floor):
-        """The k best of each query among ``kept``; ties by document."""
-        col, score, doc = (np.concatenate(parts) for parts in zip(*kept))
-        counts = np.bincount(col, minlength=len(floor))
-        lowest = np.full(len(floor), np.inf)
-        np.minimum.at(lowest, col, score)
-        floor[counts == k] = lowest[counts == k]
-        full = counts[col] > k
-        done = [(col[~full], score[~full], doc[~full])]
-        col, score, doc = col[full], score[full], doc[full]
-        if len(col):
-            order = np.lexsort((doc, -score, col))
-            col, score, doc = col[order], score[order], doc[order]
-            place = np.arange(len(col)) - np.searchsorted(col, np.arange(len(floor)))[col]
-            floor[col[place == k - 1]] = score[place == k - 1]
-            best = place < k
-            done.append((col[best], score[best], doc[best]))
-        return done
-
     def hopeful(product, floor, margin):
         """The products that may be among the k best, as queries and rows."""
         chosen = product >= (floor - margin)[:, None]
@@ -91,10 +97,10 @@ def _running_top_k(k: int, entries: int = 4_000_000, tile: int = 1024) -> Callab
                     held[i] += len(col)
                     # The first block sets the floors; later ones wait in the buffer.
                     if held[i] > 2 * k * len(floor) or np.isneginf(floor).any():
-                        kept[i] = merge(kept[i], floor)
+                        kept[i] = _merge(kept[i], floor, k)
                         held[i] = sum(len(part_kept[0]) for part_kept in kept[i])
         for i, part in enumerate(tiles):
-            for col, score, doc in merge(kept[i], floors[part]) if kept[i] else []:
+            for col, score, doc in _merge(kept[i], floors[part], k):
                 if len(col):
                     yield col + part.start, score, doc
 
@@ -129,17 +135,26 @@ def dense_topk(
     """
     queries = queries.select("qid", "vec").where("vec is not null")
     docs = docs.select("docid", "vec").where("vec is not null")
-    if scan_tasks is None:
+    docs = _in_few_tasks(docs, scan_tasks)
+    scans = [_scan_search(block, docs, k) for block in _blocks(queries, broadcast_bytes)]
+    return top_k(reduce(DataFrame.unionByName, scans), k)
+
+
+def _in_few_tasks(docs: DataFrame, tasks: int | None) -> DataFrame:
+    if tasks is None:
         spark = docs.sparkSession
         cores = spark.sparkContext.defaultParallelism
-        scan_tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.coalesce(scan_tasks)
-    blocks = max(1, -(-table_bytes(queries) // broadcast_bytes))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    if blocks > 1:
-        queries = stage(queries)
-    scans = [_scan_search(queries.where(block == i), docs, k) for i in range(blocks)]
-    return top_k(reduce(DataFrame.unionByName, scans), k)
+        tasks = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.coalesce(tasks)
+
+
+def _blocks(queries: DataFrame, bytes_each: int) -> list[DataFrame]:
+    """The queries in blocks of about ``bytes_each``."""
+    blocks = max(1, -(-table_bytes(queries) // bytes_each))
+    if blocks == 1:
+        return [queries]
+    block, queries = F.pmod(F.xxhash64("qid"), F.lit(blocks)), stage(queries)
+    return [queries.where(block == i) for i in range(blocks)]
 
 
 def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -179,6 +194,13 @@ def frequent_enough(
     return query_terms.join(rare.select("term"), "term", "left_semi")
 
 
+def term_index(postings: DataFrame) -> DataFrame:
+    """``(docid, terms, weights)``: the postings of a document as one row of arrays."""
+    entry = F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight")))
+    rows = postings.where("weight is not null").groupBy("docid").agg(entry.alias("entries"))
+    return rows.select("docid", F.col("entries.term").alias("terms"), F.col("entries.weight").alias("weights"))
+
+
 def sparse_topk(
     query_terms: DataFrame,
     postings: DataFrame,
@@ -186,31 +208,92 @@ def sparse_topk(
     min_idf: float = 0.0,
     documents: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    scan_tasks: int | None = None,
 ) -> DataFrame:
     """The k documents with the largest sum of weight products over shared terms.
 
-    ``query_terms(qid, term, weight)``, ``postings(docid, term, weight)`` with
-    one row per document and term -> ``(qid, docid, score, rank)``. Small query
-    sides are broadcast, only the postings of query terms are shuffled, and
-    because those are spread by document the sums and the first k per query
-    are found without moving pairs again. Larger query sides are joined on
-    term and salt, so that a term found in most documents is shared out.
-    ``min_idf`` above 0 needs the number of ``documents``; an idf is never
-    below 0, so the default keeps every term.
+    ``query_terms(qid, term, weight)`` and a ``term_index`` of the documents ->
+    ``(qid, docid, score, rank)``. Blocks of queries of about ``broadcast_bytes``
+    go to every task, one scan of the index a block: it is never shuffled, no
+    row is made for a pair, and each task passes on its own k best per query.
+    Postings ``(docid, term, weight)``, one row per document and term, are
+    accepted as well; those of query terms are then first gathered by document.
+    Rows without a weight take no part. ``min_idf`` above 0 needs the number of
+    ``documents``; an idf is never below 0, so the default keeps every term.
     """
+    gathered = "terms" in postings.columns
     if min_idf > 0:
         if documents is None:
             raise ValueError("min_idf needs the number of documents")
-        query_terms = frequent_enough(query_terms, postings, documents, min_idf)
-    terms = query_terms.select("qid", "term", F.col("weight").alias("_query_weight"))
-    product = F.sum(F.col("_query_weight") * F.col("weight")).cast("double").alias("score")
-    small = broadcast_within(terms, broadcast_bytes)
-    if small is not None:
-        vocabulary = F.broadcast(terms.select("term").distinct())
-        found = postings.join(vocabulary, "term", "left_semi").repartition("docid")
-        pairs = found.join(small, "term")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)).cast("array<bigint>"))
-        salted = postings.withColumn("_salt", F.pmod(F.xxhash64("docid"), F.lit(TERM_SALTS)))
-        pairs = salted.join(terms.withColumn("_salt", salts), ["term", "_salt"])
-    return top_k(pairs.groupBy("qid", "docid").agg(product), k)
+        each = postings.select("docid", F.explode("terms").alias("term")) if gathered else postings
+        query_terms = frequent_enough(query_terms, each, documents, min_idf)
+    weight = F.col("weight").cast("double").alias("weight")
+    queries = query_terms.select("qid", "term", weight).where("term is not null and weight is not null")
+    if not gathered:
+        postings = term_index(matching(postings, queries, "term", broadcast_bytes))
+    index = _in_few_tasks(postings.select("docid", "terms", "weights"), scan_tasks)
+    scans = [_scan_terms(block, index, k) for block in _blocks(queries, broadcast_bytes)]
+    return top_k(reduce(DataFrame.unionByName, scans), k)
+
+
+def _scan_terms(queries: DataFrame, index: DataFrame, k: int, entries: int = 4_000_000) -> DataFrame:
+    import numpy as np
+
+    schema = _hit_schema(queries, index)
+    table = queries.toArrow().combine_chunks().sort_by("term")
+    if not table.num_rows:
+        return index.sparkSession.createDataFrame([], schema)
+    qids = table.column("qid").unique()
+    place = {qid: i for i, qid in enumerate(qids.to_pylist())}
+    query = np.array([place[qid] for qid in table.column("qid").to_pylist()])
+    terms = table.column("term").value_counts().flatten()
+    first = np.concatenate([[0], np.cumsum(terms[1].to_numpy())]) if len(terms) else np.zeros(1, int)
+    weights = table.column("weight").to_numpy()
+    shared = index.sparkSession.sparkContext.broadcast((qids, terms[0], first, query, weights))
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        qids, terms, first, query, weights = shared.value
+        count = len(qids)
+        floor, kept, held = np.full(count, -np.inf), [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
+            found = pc.index_in(batch.column(1).flatten(), value_set=terms)
+            known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            term = found.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            doc = np.repeat(np.arange(len(ids)), lengths)[known]
+            weight = batch.column(2).flatten().to_numpy(zero_copy_only=False)[known]
+            fan = first[term + 1] - first[term]
+            # A step is a run of documents with a bounded number of products.
+            made = np.concatenate([[0], np.cumsum(np.bincount(doc, fan, minlength=len(ids)))])
+            rows, low = max(entries // count, 1), 0
+            while low < len(ids):
+                high = int(np.searchsorted(made, made[low] + entries, "right")) - 1
+                high = min(max(high, low + 1), low + rows, len(ids))
+                mine = slice(*np.searchsorted(doc, [low, high]))
+                each = np.repeat(np.arange(mine.start, mine.stop), fan[mine])
+                ends = np.cumsum(fan[mine])
+                at = first[term[each]] + np.arange(len(each)) - (ends - fan[mine])[each - mine.start]
+                cell = query[at] * (high - low) + doc[each] - low
+                size = count * (high - low)
+                scores = np.bincount(cell, weight[each] * weights[at], minlength=size)
+                chosen = np.bincount(cell, minlength=size) > 0
+                chosen &= scores >= np.repeat(floor, high - low)
+                cells = np.flatnonzero(chosen)
+                if len(cells):
+                    col = cells // (high - low)
+                    kept.append((col, scores[cells], ids[low + cells % (high - low)]))
+                    held += len(cells)
+                if held > 2 * k * count or held > entries:
+                    kept = _merge(kept, floor, k)
+                    held = sum(len(part[0]) for part in kept)
+                low = high
+        for col, score, docs in _merge(kept, floor, k):
+            columns = [qids.take(pa.array(col)), pa.array(docs), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "docid", "score"])
+
+    return index.mapInArrow(scan, schema)

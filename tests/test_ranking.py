@@ -18,7 +18,7 @@ from ctxrank.operators.rerank import (
     rerank_by_vector,
     score_candidates,
 )
-from ctxrank.operators.search import _running_top_k, dense_topk, sparse_topk
+from ctxrank.operators.search import _running_top_k, dense_topk, sparse_topk, term_index
 from ctxrank.operators.similarity import similarities
 from ctxrank.plans.sweep import grid, sweep
 
@@ -103,8 +103,9 @@ def test_dense_topk_without_queries_or_documents(spark):
     assert dense_topk(queries, docs.limit(0), 3).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
-def test_sparse_topk_with_a_term_in_most_documents(spark, options):
+@pytest.mark.parametrize("gathered", [False, True])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 300}])
+def test_sparse_topk_with_a_term_in_most_documents(spark, options, gathered):
     rng = random.Random(4)
     queries = [(q, t, rng.randint(1, 3)) for q in range(6) for t in {"the", f"t{q}", "t0"}]
     postings = [(d, "the", rng.randint(1, 5)) for d in range(200)]
@@ -117,9 +118,10 @@ def test_sparse_topk_with_a_term_in_most_documents(spark, options):
     expected = {
         q: [d for _, d in sorted((-s, d) for (p, d), s in scores.items() if p == q)[:15]] for q in range(6)
     }
+    index = spark.createDataFrame(postings, "docid INT, term STRING, weight INT")
     hits = sparse_topk(
         spark.createDataFrame(queries, "qid INT, term STRING, weight INT"),
-        spark.createDataFrame(postings, "docid INT, term STRING, weight INT"),
+        term_index(index) if gathered else index,
         15,
         **options,
     )
