@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrank.llm import chat, decision_list, decontamination, lines, neighbours, ngram_join, packing, repeats, secrets, urls
+from ctxrank.llm import (
+    chat,
+    decision_list,
+    decontamination,
+    filter_audit,
+    lines,
+    neighbours,
+    ngram_join,
+    packing,
+    repeats,
+    secrets,
+    urls,
+)
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -197,3 +209,57 @@ def op3_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query(
+    "op12_filter_audit",
+    """
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    copies AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+    known AS (
+        SELECT doc_id, max(coalesce(CAST(quality = 1 AS INT), 0)) AS good, max(coalesce(CAST(toxic = 1 AS INT), 0)) AS toxic
+        FROM labels GROUP BY doc_id),
+    sized AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+    judged AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+            len(w) < 200,
+            100 * len(list_distinct(w)) < 50 * len(w),
+            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+            regexp_matches(text, '[#$%&*|]'),
+            coalesce(doc_id > first_id, false)] AS fails
+        FROM sized JOIN copies USING (text) LEFT JOIN known USING (doc_id)),
+    kinds AS (SELECT part, good, toxic, fails, count(*) AS n FROM judged GROUP BY ALL),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    permuted AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS o
+        FROM letter a, letter b, letter c, letter d, letter e
+        WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+    placed AS (
+        SELECT *, CASE
+            WHEN fails[strpos('ABCDE', substr(o, 1, 1))] THEN 1
+            WHEN fails[strpos('ABCDE', substr(o, 2, 1))] THEN 2
+            WHEN fails[strpos('ABCDE', substr(o, 3, 1))] THEN 3
+            WHEN fails[strpos('ABCDE', substr(o, 4, 1))] THEN 4
+            WHEN fails[strpos('ABCDE', substr(o, 5, 1))] THEN 5 ELSE 6 END AS gone
+        FROM kinds, permuted),
+    stepped AS (
+        SELECT p.*, step, substr(o, step, 1) AS x, fails[strpos('ABCDE', substr(o, step, 1))] AS failed,
+               len(list_filter(fails, lambda f: f)) AS n_fails
+        FROM placed p, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+    summed AS (
+        SELECT part, o AS filter_order, step, x,
+            sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN failed AND gone < step THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN failed AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN gone = step THEN n * good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN gone = step THEN n * toxic ELSE 0 END) AS toxic_lost
+        FROM stepped GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+    FROM summed""",
+)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
