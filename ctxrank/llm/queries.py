@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxrank.llm import (
+    alignment,
     chat,
     decision_list,
     decontamination,
@@ -263,3 +264,13 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    groups = F.col("groups")
+    aligned = alignment.align(table(spark, sf, "documents"), *paths).withColumn(
+        "groups_sha256", F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    )
+    return alignment.with_pair_counts(aligned.drop("groups"), alignment.vocabulary_size(paths[1])).drop("row")
