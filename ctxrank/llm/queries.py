@@ -18,6 +18,7 @@ from ctxrank.llm import (
     packing,
     repeats,
     secrets,
+    toxicity,
     urls,
 )
 from ctxrank.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
@@ -274,3 +275,16 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
         "groups_sha256", F.when(groups == "", "").otherwise(F.sha2(groups, 256))
     )
     return alignment.with_pair_counts(aligned.drop("groups"), alignment.vocabulary_size(paths[1])).drop("row")
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model, counted = toxicity.fit(docs, labels.where(~neighbours.held_out(F.col("doc_id"))))
+    return toxicity.score(counted, model).select(
+        "doc_id",
+        neighbours.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"),
+    )
