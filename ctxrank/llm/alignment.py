@@ -20,7 +20,6 @@ are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +45,13 @@ JOIN_BYTES = 32 << 20
 # Both tokenizers start anew at a space behind one of these: A's pretokens never hold white
 # space behind another character, and no piece of B holds its space mark behind one. A
 # space at the end of a text is none: B gives no space before nothing.
-BREAK = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) (?!\Z)")
+SOLID = "[!-~À-ÖØ-öø-ɏ]"
+BREAK = re.compile(f"(?<={SOLID}) (?!\\Z)")
+SOLID_END = re.compile(f"{SOLID}\\Z")
+# Fixed value: the pretokens of byte-level BPE vocabularies of this family.
+PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+# Segments encoded as one text.
+JOINED = 64
 
 RESULT = "row long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
 FRAGMENT = "row long, chunk long, ok boolean, a binary, b binary, cut_a binary, cut_b binary"
@@ -94,24 +99,28 @@ def fragment(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
 
 
 class Pair:
-    """Two tokenizer files: ids of segments between breaks, and the bytes of each id."""
+    """Two tokenizer files: ids of segments between breaks, and the bytes of each id.
+
+    Ids of A come from its vocabulary as ranks, which gives those of the tokenizer file.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path_a)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"]
+        special = {token["content"] for token in content["added_tokens"]}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
             self.bytes_a[number] = bytes(byte_of[c] for c in entry)
+        ranks = {self.bytes_a[n]: n for entry, n in vocabulary.items() if entry not in special}
+        self.tokenizer = tiktoken.Encoding("a", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_b = [self._piece_bytes(i) for i in range(self.pieces.get_piece_size())]
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
@@ -125,16 +134,37 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of each segment with a space before it, None where they do not give its bytes."""
-        batch = self.tokenizer.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of each text with a space before it, None where they do not give its bytes."""
         made = []
-        for segment, of_a, of_b in zip(segments, batch, self.pieces.encode(segments, num_threads=1)):
-            of_a, want = of_a.ids, (" " + segment).encode()
+        for text, of_b in zip(texts, self.pieces.encode(texts, num_threads=1)):
+            of_a, want = self.tokenizer.encode_ordinary(" " + text), (" " + text).encode()
             whole = b"".join([self.bytes_a[i] for i in of_a]) == want == b"".join([self.bytes_b[i] for i in of_b])
-            made.append((np.array(of_a, np.int64), np.array(of_b, np.int64)) if whole else None)
+            made.append((of_a, of_b) if whole else None)
         return made
 
+    def encode_segments(self, segments: list[str]) -> tuple[list[str], Fragment, np.ndarray, np.ndarray]:
+        """Segments that have tokens, one fragment of all of them, and where each ends in its a and b.
+
+        Segments with a solid end break from what follows, so many are encoded as one text.
+        """
+        solid = [s for s in segments if SOLID_END.search(s)]
+        batches = [solid[i : i + JOINED] for i in range(0, len(solid), JOINED)]
+        batches += [[s] for s in segments if not SOLID_END.search(s)]
+        found = []
+        for batch, ids in zip(batches, self.encode([" ".join(b) for b in batches])):
+            if ids is not None:
+                found.append((batch, *ids))
+            elif len(batch) > 1:
+                each = zip(batch, self.encode(batch))
+                found += [([s], *i) for s, i in each if i is not None]
+        done = [s for f in found for s in f[0]]
+        a, b = (np.array([i for f in found for i in f[j]], np.int64) for j in (1, 2))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        stops = np.cumsum([len(s.encode()) + 1 for s in done])
+        whole = fragment(a, b, ends_a, ends_b)
+        return done, whole, np.searchsorted(ends_a, stops) + 1, np.searchsorted(ends_b, stops) + 1
+
     def keys(self, whole: Fragment) -> np.ndarray:
         """The id pair of each link."""
         return (whole.a[whole.cut_a - 1] * len(self.bytes_b) + whole.b[whole.cut_b - 1]).astype(self.kind)
@@ -153,46 +183,49 @@ class Pair:
 
 
 class Segments:
-    """What is known of the segments met so far, bounded by ``CACHED_SEGMENTS``."""
+    """What is known of the segments met so far, bounded by ``CACHED_SEGMENTS``.
+
+    Of a segment the sum n_a + n_b * 2**32, its link keys and its written groups; those
+    in ``bad`` have no tokens.
+    """
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self.known: dict[str, tuple[int, int, bytes, str] | None] = {}
+        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.bad: set[str] = set()
 
     def learn(self, new: list[str]) -> None:
         pair = self.pair
-        ids = pair.encode(new)
-        self.known.update((s, None) for s, found in zip(new, ids) if found is None)
-        named = [(s, *found) for s, found in zip(new, ids) if found is not None]
-        if not named:
-            return
-        a, b = np.concatenate([n[1] for n in named]), np.concatenate([n[2] for n in named])
-        whole = fragment(a, b, np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]))
+        done, whole, of_a, of_b = pair.encode_segments(new)
+        self.bad.update(set(new).difference(done))
+        self.known.update((s, (0, b"", "")) for s in self.bad)
         text, keys = pair.written(whole), pair.keys(whole).tobytes()
-        of_a, of_b = np.cumsum([len(n[1]) for n in named]), np.cumsum([len(n[2]) for n in named])
         # Every segment ends at a common end.
-        ends = (np.searchsorted(whole.cut_a, of_a) + 1) * pair.kind.itemsize
-        at = at_key = last_a = last_b = 0
-        for (segment, *_), end_a, end_b, end_key in zip(named, of_a.tolist(), of_b.tolist(), ends.tolist()):
-            end = end_a + end_b
-            self.known[segment] = (end_a - last_a, end_b - last_b, keys[at_key:end_key], "".join(text[at:end]))
-            at, at_key, last_a, last_b = end, end_key, end_a, end_b
-
-    def align(self, text: str) -> tuple | None:
-        """(n_a, n_b, link keys, written groups) of a text, None if it has no tokens."""
-        parts = BREAK.split(text)
-        new = list({p for p in parts if p not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHED_SEGMENTS:
-                self.known.clear()
-                new = list(set(parts))
-            self.learn(new)
-        known = self.known
-        found = [known[p] for p in parts]
-        if not text or None in found:
-            return None
-        keys = np.frombuffer(b"".join([f[2] for f in found]), self.pair.kind)
-        return sum([f[0] for f in found]), sum([f[1] for f in found]), keys, "".join([f[3] for f in found])[:-1]
+        ends = ((np.searchsorted(whole.cut_a, of_a) + 1) * pair.kind.itemsize).tolist()
+        counts = (np.diff(of_a, prepend=0) + (np.diff(of_b, prepend=0) << 32)).tolist()
+        at = at_key = 0
+        for segment, n, end, end_key in zip(done, counts, (of_a + of_b).tolist(), ends):
+            self.known[segment] = (n, keys[at_key:end_key], "".join(text[at:end]))
+            at, at_key = end, end_key
+
+    def align(self, texts: list[str]) -> Iterator[tuple | None]:
+        """(n_a, n_b, link keys, written groups) of each text, None if it has no tokens."""
+        split = [BREAK.split(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > CACHED_SEGMENTS:
+            self.known.clear()
+            self.bad.clear()
+            new = set().union(*split)
+        self.learn(list(new))
+        known, bad, kind = self.known, self.bad, self.pair.kind
+        for text, parts in zip(texts, split):
+            if not text or (bad and not bad.isdisjoint(parts)):
+                yield None
+                continue
+            found = [known[p] for p in parts]
+            n_b, n_a = divmod(sum([f[0] for f in found]), 1 << 32)
+            keys = np.frombuffer(b"".join([f[1] for f in found]), kind)
+            yield n_a, n_b, keys, "".join([f[2] for f in found])[:-1]
 
 
 class Results:
@@ -238,8 +271,8 @@ def _align_short(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             segments = segments or Segments(Pair(path_a, path_b))
             for first, end, *_ in slices(batch.column(2)):
                 part = batch.slice(first, end - first)
-                for row, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found = segments.align(text or "")
+                texts = [text or "" for text in part.column(2).to_pylist()]
+                for row, found in zip(part.column(1).to_pylist(), segments.align(texts)):
                     results.add(row, *(found or ()))
                 yield results.batch(part.column(0))
 
@@ -288,21 +321,15 @@ def _align_long(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int) ->
     ranges = stage(ranges.mapInArrow(cut, kind).repartition("row", "chunk"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = None, {}
+        pair = None
         for batch in batches:
             pair = pair or Pair(path_a, path_b)
             for row, chunk, piece, at, low, high in zip(*[c.to_pylist() for c in batch.columns]):
-                parts = BREAK.split(piece)
-                new = list({p for p in parts if p not in known})
-                if len(known) + len(new) > CACHED_SEGMENTS:
-                    known.clear()
-                    new = list(set(parts))
-                known.update(zip(new, pair.encode(new)))
-                found = [known[p] for p in parts]
-                if None in found:
+                (ids,) = pair.encode([piece])
+                if ids is None:
                     yield _packed(row, chunk, False, EMPTY)
                     continue
-                a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                a, b = (np.array(i, np.int64) for i in ids)
                 ends_a, ends_b = at + np.cumsum(pair.size_a[a]), at + np.cumsum(pair.size_b[b])
                 in_a, in_b = (ends_a > low) & (ends_a <= high), (ends_b > low) & (ends_b <= high)
                 yield _packed(row, chunk, True, fragment(a[in_a], b[in_b], ends_a[in_a], ends_b[in_b]))

@@ -7,6 +7,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from .conftest import SCHEMA, edge_texts
@@ -88,7 +89,7 @@ def test_alignment(spark, chunk, frequent):
 def test_fragments_compose_associatively():
     pair = alignment.Pair(*PATHS)
     text = "Unglaubliche Zusammenhänge, das ist heute sehr erfreulich: encyclopaedias!"
-    (a, b), = pair.encode([text])
+    a, b = (np.array(ids) for ids in pair.encode([text])[0])
     ends_a, ends_b = pair.size_a[a].cumsum(), pair.size_b[b].cumsum()
     whole = alignment.fragment(a, b, ends_a, ends_b)
 
