@@ -70,10 +70,10 @@ def spread(m: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
 
 
-def as_matrix(column, unit: bool = False):
+def as_matrix(column, unit: bool = False, width: int | None = None):
     """Arrow list column, inside a task, as rows of doubles, or of unit vectors.
 
-    Vectors of different lengths are an error.
+    Vectors of different lengths are an error, or of another than ``width``.
     """
     import numpy as np
     import pyarrow.compute as pc
@@ -81,8 +81,10 @@ def as_matrix(column, unit: bool = False):
     lengths = pc.min_max(pc.list_value_length(column)).as_py()
     if lengths["min"] != lengths["max"]:
         raise ValueError(f"vectors of {lengths['min']} to {lengths['max']} dimensions in one column")
+    if width is not None and lengths["min"] not in (None, width):
+        raise ValueError(f"vectors of {lengths['min']} dimensions, queries of {width} dimensions")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), -1 if len(column) else width or 0)
     if unit:
         with np.errstate(invalid="ignore"):
             rows = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]

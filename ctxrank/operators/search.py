@@ -170,7 +170,7 @@ def _scan_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
         qids, queries = shared.value
         parts = (
-            (b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1)))
+            (b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1), width=queries.shape[1]))
             for b in batches
             if b.num_rows
         )

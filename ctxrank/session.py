@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,17 +74,46 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+def _fixed_bytes(kind: T.DataType) -> int | None:
+    """Bytes of a value whose size its type tells, else None."""
+    if isinstance(kind, T.StructType):
+        sizes = [_fixed_bytes(f.dataType) for f in kind.fields]
+        return None if None in sizes else 16 + sum(sizes)
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType)):
+        return None
+    return 16 if isinstance(kind, T.DecimalType) else 8
+
+
+def value_bytes(column: Column, kind: T.DataType) -> Column:
+    """Size of a value in bytes, of every element and field of a nested one."""
+    fixed = _fixed_bytes(kind)
+    if fixed is not None:
+        return F.lit(fixed).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.MapType):
+        keys = value_bytes(F.map_keys(column), T.ArrayType(kind.keyType))
+        return keys + value_bytes(F.map_values(column), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        element = _fixed_bytes(kind.elementType)
+        if element is not None:
+            size = F.size(column) * F.lit(element)
+        else:
+            size = F.aggregate(
+                column, F.lit(0).cast("long"), lambda s, x: s + value_bytes(x, kind.elementType)
+            )
+        return F.coalesce(size, F.lit(0)) + F.lit(24).cast("long")
+    text = F.to_json(column) if isinstance(kind, T.VariantType) else column
+    return F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(24).cast("long")
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a table in bytes, by a sum over its rows; the check before a broadcast."""
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
-        column = F.col(field.name)
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.octet_length(column), F.lit(0)) + 24
-        elif isinstance(field.dataType, T.ArrayType):
-            size = size + F.coalesce(F.size(column), F.lit(0)) * 8 + 24
-        else:
-            size = size + 16
+        fixed = _fixed_bytes(field.dataType)
+        column = F.col(f"`{field.name}`")
+        size = size + (value_bytes(column, field.dataType) if fixed is None else max(fixed, 16))
     return df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
 
 
