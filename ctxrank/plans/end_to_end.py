@@ -152,14 +152,24 @@ def ask(
 def embed(
     texts: DataFrame,
     store: Store,
-    make_encoder: Callable[[], Encoder],
+    make_encoder: Callable[[], Encoder] | None,
     text: str = "text",
     tasks: int | None = None,
+    mode: str = "fill",
 ) -> DataFrame:
-    """``(text_key, vec)`` of the texts, encoding only what the store lacks."""
-    return store.fill(
-        distinct_texts(texts, text), lambda missing: encode_texts(missing, make_encoder, tasks)
-    )
+    """``(text_key, vec)`` of the texts, encoding only what the store lacks.
+
+    ``mode="overwrite"`` encodes all of them again and replaces what is stored;
+    ``mode="stored"`` encodes nothing and fails if a text is not stored.
+    """
+    wanted = distinct_texts(texts, text)
+    if mode == "fill":
+        return store.fill(wanted, lambda missing: encode_texts(missing, make_encoder, tasks))
+    if mode == "overwrite":
+        return store.refill(wanted, lambda all_: encode_texts(all_, make_encoder, tasks))
+    if mode == "stored":
+        return store.require(wanted)
+    raise ValueError(f"mode must be 'fill', 'overwrite' or 'stored', got {mode!r}")
 
 
 def passage_search(

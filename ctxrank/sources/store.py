@@ -1,19 +1,28 @@
-"""Content-keyed stores of generated text and vectors, as partitioned parquet.
+"""Content-keyed stores of generated text and vectors: immutable parquet files and versions of their list.
 
-A store only ever gains rows that it lacks, so a repeated run pays for no
-model call twice, and a lookup is an ordinary join.
+A partition of a store is a folder. Every change writes new files, clustered by key, and a
+table with each file's key range and Bloom filter; then one small text file, the next
+version, names all files that are now live. A reader takes one version, so it never sees
+half a change, and a lookup opens only the files that may hold its keys. A writer that
+finds its version number taken looks at what the other one added and tries again, so
+that of overlapping fills each key keeps the rows of the first to finish.
+
+Repeated runs pay for no model call twice: a fill computes only what the store lacks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ctxrank.session import broadcast_within, matching, stage
+from ctxrank.session import broadcast_within, matching, stage, table_bytes
 
 GENERATED = (
     "prompt_key STRING, pos INT, text STRING,"
@@ -21,6 +30,15 @@ GENERATED = (
 )
 VECTORS = "text_key STRING, vec ARRAY<DOUBLE>, encoder STRING, topic STRING"
 
+# A lookup of more keys than this reads every file.
+LOOKUP_BYTES = 32 << 20
+# Fewer files than this are read without looking at their filters.
+FEW_FILES = 8
+BLOOM_HASHES = 3
+BLOOM_BITS_PER_KEY = 10
+# Fixed value: the bits of one bitmap of ``bitmap_construct_agg``.
+BITMAP = 32768
+
 
 def overlay(winner: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """All of ``winner``, and of ``other`` the rows whose key it lacks."""
@@ -57,11 +75,58 @@ def store_name(model: str, topic: str, temperature: float, n: int) -> str:
     return name if (temperature, n) == (0.1, 1) else f"{name}_temperature_{temperature}_n_{n}"
 
 
-def store_sizes(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Number of distinct keys in each partition of a store."""
-    rows = spark.read.schema(schema).parquet(path)
-    partition = [c for c in rows.columns if c not in (key, "pos", "text", "vec")]
-    return rows.groupBy(*partition).agg(F.count_distinct(key).alias("items"))
+class _Files:
+    """The few file system calls a version needs, by the session's own Hadoop client."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
+        self._hadoop = self._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        path = self._hadoop.Path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def matching(self, pattern: str) -> list[str]:
+        return [s.getPath().toString() for s in self._fs.globStatus(self._hadoop.Path(pattern)) or []]
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._hadoop.Path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, path: str, text: str) -> bool:
+        """Write a file whole, by renaming it into place; False if the name is taken."""
+        draft = f"{path}-{uuid.uuid4().hex}.draft"
+        stream = self._fs.create(self._hadoop.Path(draft), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        source, target = (self._fs.makeQualified(self._hadoop.Path(p)) for p in (draft, path))
+        context = self._hadoop.FileContext.getFileContext(source.toUri(), self._fs.getConf())
+        try:
+            context.rename(source, target, self._gateway.new_array(self._hadoop.Options.Rename, 0))
+        except Exception as error:
+            self.remove(draft)
+            if "FileAlreadyExists" in str(error):
+                return False
+            raise
+        return True
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._hadoop.Path(path), True)
+
+
+@dataclass(frozen=True)
+class Version:
+    """One state of a partition: its number and its live files, as ``folder/file``."""
+
+    number: int
+    files: frozenset[str]
+
+    def folders(self) -> list[str]:
+        return sorted({f.split("/")[0] for f in self.files})
 
 
 @dataclass(frozen=True)
@@ -72,47 +137,279 @@ class Store:
     schema: str
     key: str
     partition: dict[str, str | float | int]
+    rows_per_file: int = 1_000_000
+
+    @property
+    def folder(self) -> str:
+        return "/".join([self.path, *(f"{c}={quote(str(v), safe='')}" for c, v in self.partition.items())])
+
+    # --- versions ----------------------------------------------------------
+
+    def version(self, spark: SparkSession, number: int | None = None) -> Version:
+        """The newest version, or the one with that number; version 0 is the empty store."""
+        files = _Files(spark, self.path)
+        if number is None:
+            numbers = [int(n) for n in files.names(f"{self.folder}/versions") if n.isdigit()]
+            number = max(numbers, default=0)
+        if number == 0:
+            return Version(0, frozenset())
+        lines = files.read(f"{self.folder}/versions/{number:09d}").split("\n")
+        return Version(number, frozenset(line for line in lines if line))
+
+    def _publish(self, spark: SparkSession, base: Version, files: Iterable[str]) -> bool:
+        path = f"{self.folder}/versions/{base.number + 1:09d}"
+        return _Files(spark, self.path).publish(path, "\n".join(sorted(files)))
+
+    def _schema(self, spark: SparkSession) -> T.StructType:
+        return spark.createDataFrame([], self.schema).drop(*self.partition).schema
+
+    def _rows(self, spark: SparkSession, files: Iterable[str]) -> DataFrame:
+        schema, paths = self._schema(spark), [f"{self.folder}/data/{f}" for f in sorted(files)]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame) -> list[str]:
+        """Write staged rows as files clustered by key, and the table of their ranges and filters."""
+        spark, folder = rows.sparkSession, uuid.uuid4().hex
+        path = f"{self.folder}/data/{folder}"
+        clustered = rows.select(*self._schema(spark).names).repartitionByRange(self.key)
+        clustered.sortWithinPartitions(self.key).write.option("maxRecordsPerFile", self.rows_per_file).parquet(path)
+        files = f"{self.folder}/files/{folder}"
+        described(spark.read.schema(self._schema(spark)).parquet(path), self.key).write.parquet(files)
+        return [f"{folder}/{r['file']}" for r in spark.read.parquet(files).select("file").collect()]
+
+    # --- reading -----------------------------------------------------------
+
+    def read(self, spark: SparkSession, version: Version | None = None) -> DataFrame:
+        """The stored rows of the newest or a given version, without the partition columns."""
+        return self._rows(spark, (version or self.version(spark)).files)
+
+    def files_with(self, keys: DataFrame, version: Version) -> frozenset[str]:
+        """The live files that may hold one of the keys, by their ranges and Bloom filters."""
+        if len(version.files) <= FEW_FILES:
+            return version.files
+        wanted = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        hashes = F.array(*_hashes(self.key)).alias("hashes")
+        if table_bytes(wanted) > LOOKUP_BYTES:
+            return version.files
+        table = wanted.select(self.key, hashes).orderBy(self.key).toArrow().combine_chunks()
+        spark = keys.sparkSession
+        shared = spark.sparkContext.broadcast((table.column(0).to_pylist(), table.column(1).to_pylist()))
+        found = _described(spark, self.folder, version).mapInArrow(_may_hold(shared), "path STRING")
+        return version.files & {r["path"] for r in found.collect()}
+
+    def lookup(self, wanted: DataFrame, version: Version | None = None) -> DataFrame:
+        """The stored rows of the wanted keys."""
+        spark = wanted.sparkSession
+        version = version or self.version(spark)
+        return lookup(wanted, self._rows(spark, self.files_with(wanted, version)), self.key)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The stored rows, without the partition columns; none if there is no folder."""
-        try:
-            rows = spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            rows = spark.createDataFrame([], self.schema)
-        for column, value in self.partition.items():
-            rows = rows.where(F.col(column) == F.lit(value))
-        return rows.drop(*self.partition)
+    def require(self, wanted: DataFrame) -> DataFrame:
+        """The rows of the wanted keys; fails if one is not stored."""
+        wanted = stage(wanted)
+        found = self.lookup(wanted)
+        if not missing(wanted, found, self.key).isEmpty():
+            raise LookupError(f"keys without a row in {self.path}")
+        return found
+
+    def count(self, spark: SparkSession) -> int:
+        """Number of stored rows, by the tables of files alone."""
+        return _described(spark, self.folder, self.version(spark)).agg(F.sum("n_rows")).first()[0] or 0
+
+    # --- writing -----------------------------------------------------------
 
     def append(self, rows: DataFrame) -> None:
-        """Add rows to the partition."""
-        labelled = rows
-        for column, value in self.partition.items():
-            labelled = labelled.withColumn(column, F.lit(value))
-        labelled.write.mode("append").partitionBy(*self.partition).parquet(self.path)
+        """Add the rows whose key the store lacks; stored rows win."""
+        rows, base = stage(rows), self.version(rows.sparkSession)
+        self._insert(missing(rows, self.lookup(rows, base), self.key) if base.files else rows, base)
 
     def fill(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Compute and store what the wanted keys lack; return all their rows.
 
         The wanted rows are staged, since they are compared with the store
-        before and after.
+        before and after, and the computed ones, so that none is computed twice.
         """
-        spark = wanted.sparkSession
         wanted = stage(wanted)
-        self.append(compute(missing(wanted, self.read(spark), self.key)))
-        return lookup(wanted, self.read(spark), self.key)
+        base = self.version(wanted.sparkSession)
+        lacking = missing(wanted, self.lookup(wanted, base), self.key) if base.files else wanted
+        self._insert(stage(compute(lacking)), base)
+        return self.lookup(wanted)
+
+    def _insert(self, rows: DataFrame, base: Version) -> None:
+        """Publish rows of keys that ``base`` lacks, without those that other writers have added since."""
+        spark = rows.sparkSession
+        while True:
+            now = self.version(spark)
+            added = now.files - base.files
+            if added:
+                rows = stage(missing(rows, self._rows(spark, added), self.key))
+            files = self._write(rows)
+            if not files or self._publish(spark, now, now.files | set(files)):
+                return
+            base = now
+
+    def _replace(self, spark: SparkSession, change: Callable[[Version], tuple[Iterable[str], DataFrame | None]]) -> None:
+        """Publish a change of files, made again if another writer was faster.
+
+        ``change`` gives for a version the files that go and the rows that come.
+        """
+        while True:
+            now = self.version(spark)
+            gone, rows = change(now)
+            files = self._write(stage(rows)) if rows is not None else []
+            if not files and not set(gone):
+                return
+            if self._publish(spark, now, (now.files - set(gone)) | set(files)):
+                return
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Replace the rows of these keys; only files that may hold one are written again."""
+        rows = stage(rows)
+
+        def change(now: Version) -> tuple[Iterable[str], DataFrame]:
+            touched = self.files_with(rows, now)
+            old = self._rows(rows.sparkSession, touched)
+            return touched, overlay(rows.select(*old.columns), old, self.key)
+
+        self._replace(rows.sparkSession, change)
+
+    def refill(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Compute all wanted keys again, replace what is stored of them, return all their rows."""
+        wanted = stage(wanted)
+        self.upsert(compute(wanted))
+        return self.lookup(wanted)
+
+    def prune(self, keys: DataFrame) -> None:
+        """Keep the rows of these keys only; files that lose nothing stay as they are."""
+        keys = stage(keys.select(self.key).distinct())
+        spark = keys.sparkSession
+
+        def change(now: Version) -> tuple[Iterable[str], DataFrame | None]:
+            if not now.files:
+                return (), None
+            rows = self._rows(spark, now.files).select(self.key, _file_path().alias("path"))
+            kept = lookup(keys, rows, self.key).groupBy("path").agg(F.count("*").alias("kept"))
+            sizes = _described(spark, self.folder, now).select("path", "n_rows")
+            losing = sizes.join(kept, "path", "left").where("coalesce(kept, 0) < n_rows").collect()
+            partly = [r["path"] for r in losing if r["kept"]]
+            rest = lookup(keys, self._rows(spark, partly), self.key) if partly else None
+            return [r["path"] for r in losing], rest
+
+        self._replace(spark, change)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Write all rows again in files clustered by key, as after many small fills."""
+        self._replace(spark, lambda now: (now.files, self._rows(spark, now.files)) if now.files else ((), None))
+
+    def expire(self, spark: SparkSession, keep: int = 1) -> None:
+        """Forget all but the newest versions, and the files that none of those names.
+
+        For when nobody reads an older version or writes a new one.
+        """
+        files = _Files(spark, self.path)
+        numbers = sorted(int(n) for n in files.names(f"{self.folder}/versions") if n.isdigit())
+        live = {f for n in numbers[-keep:] for f in self.version(spark, n).folders()}
+        for number in numbers[:-keep]:
+            files.remove(f"{self.folder}/versions/{number:09d}")
+        for folder in set(files.names(f"{self.folder}/data")) - live:
+            files.remove(f"{self.folder}/data/{folder}")
+            files.remove(f"{self.folder}/files/{folder}")
 
-    def require(self, wanted: DataFrame) -> DataFrame:
-        """The rows of the wanted keys; fails if one is not stored."""
-        stored = self.read(wanted.sparkSession)
-        if not missing(wanted, stored, self.key).isEmpty():
-            raise LookupError(f"keys without a row in {self.path}")
-        return lookup(wanted, stored, self.key)
 
-    def count(self, spark: SparkSession) -> int:
-        """Number of stored rows."""
-        return self.read(spark).count()
+def _hashes(key: str) -> list:
+    return [F.xxhash64(F.col(key), F.lit(seed)) for seed in range(BLOOM_HASHES)]
+
+
+def _file_path():
+    """``folder/file`` of the data file a row comes from."""
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
+
+
+def described(rows: DataFrame, key: str) -> DataFrame:
+    """Per file its key range, numbers of rows and keys, and a Bloom filter of its keys.
+
+    The filter is a list of bitmaps, ``BLOOM_BITS_PER_KEY`` bits a key and at least one bitmap.
+    """
+    keys = rows.select(F.col("_metadata.file_name").alias("file"), key)
+    sizes = keys.groupBy("file").agg(
+        F.min(key).alias("low"),
+        F.max(key).alias("high"),
+        F.count("*").alias("n_rows"),
+        F.count_distinct(key).alias("n_keys"),
+    )
+    sizes = sizes.withColumn("n_maps", F.ceil(F.greatest("n_keys", F.lit(1)) * BLOOM_BITS_PER_KEY / BITMAP))
+    once = keys.where(F.col(key).isNotNull()).distinct().join(F.broadcast(sizes.select("file", "n_maps")), "file")
+    places = F.array(*[F.pmod(h, F.col("n_maps") * BITMAP) for h in _hashes(key)])
+    bits = once.select("file", F.explode(places).alias("bit"))
+    maps = bits.groupBy("file", F.floor(F.col("bit") / BITMAP).cast("int").alias("nth")).agg(
+        F.bitmap_construct_agg((F.col("bit") % BITMAP).cast("int")).alias("bits")
+    )
+    filters = maps.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("nth", "bits"))).alias("bloom"))
+    return sizes.join(filters, "file", "left")
+
+
+def _described(spark: SparkSession, folder: str, version: Version) -> DataFrame:
+    """The live files of a version with their description, and ``path`` as ``folder/file``."""
+    if not version.files:
+        return spark.createDataFrame([], "path STRING, low STRING, high STRING, n_rows LONG, n_keys LONG")
+    tables = spark.read.parquet(*[f"{folder}/files/{f}" for f in version.folders()])
+    own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    live = spark.createDataFrame([(f,) for f in sorted(version.files)], "path STRING")
+    return tables.withColumn("path", F.concat_ws("/", own, "file")).join(F.broadcast(live), "path", "left_semi")
+
+
+def _may_hold(shared):
+    """Arrow step: the paths of described files that may hold one of the shared sorted keys."""
+
+    def holds(bloom, n_maps: int, hashes: list) -> bool:
+        maps = {m["nth"]: m["bits"] for m in bloom or []}
+        for bits in ((h % (n_maps * BITMAP) for h in of_key) for of_key in hashes):
+            if all((maps.get(b // BITMAP, bytes(BITMAP // 8))[b % BITMAP // 8] >> (b % 8)) & 1 for b in bits):
+                return True
+        return False
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        keys, hashes = shared.value
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("path", "low", "high", "n_maps", "bloom")]
+            found = []
+            for path, low, high, n_maps, bloom in zip(*columns):
+                if low is not None:
+                    first, last = bisect_left(keys, low), bisect_right(keys, high)
+                    if holds(bloom, n_maps, hashes[first:last]):
+                        found.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    return run
+
+
+def store_sizes(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Number of distinct keys in each partition of a store, by the tables of files alone.
+
+    Files of one write follow each other by key, so a key that two of them share
+    is the last of one and the first of the next.
+    """
+    whole = spark.createDataFrame([], schema)
+    columns = [f for f in whole.schema.fields if f.name not in (key, "pos", "text", "vec")]
+    rows = []
+    for folder in _Files(spark, path).matching(f"{path}{'/*=*' * len(columns)}"):
+        values = [unquote(part.split("=", 1)[1]) for part in folder.split("/")[-len(columns) :]]
+        store = Store(path, schema, key, dict(zip((c.name for c in columns), values)))
+        rows += [(folder, *values, f) for f in store.version(spark).files]
+    named = ", ".join(f"`{c.name}` STRING" for c in columns)
+    live = spark.createDataFrame(rows, f"folder STRING, {named}, path STRING")
+    partition = [F.col(c.name).cast(c.dataType).alias(c.name) for c in columns]
+    if not rows:
+        return live.select(*partition, F.lit(0).cast("long").alias("items"))
+    tables = spark.read.parquet(*sorted({f"{r[0]}/files/{r[-1].split('/')[0]}" for r in rows}))
+    place = F.split(F.col("_metadata.file_path"), "/")
+    tables = tables.select("file", "low", "high", "n_keys", F.element_at(place, -2).alias("write"))
+    tables = tables.withColumn("path", F.concat_ws("/", "write", "file"))
+    before = F.lag("high").over(Window.partitionBy("write").orderBy("low", "high"))
+    shared = F.when(before == F.col("low"), 1).otherwise(0)
+    found = tables.withColumn("shared", shared).join(F.broadcast(live), "path")
+    return found.groupBy(*partition).agg((F.sum("n_keys") - F.sum("shared")).alias("items"))
 
 
 def read_precomputed(spark: SparkSession, path: str) -> DataFrame:
