@@ -42,10 +42,12 @@ LEVELS = ((1, 1 << 40), (2, 200), (3, 100))
 TOXIC_ROWS = 4096
 CLEAN_ROWS = 8192
 CALIBRATION = 4
-# The vocabulary: terms of at least MIN_TOXIC toxic examples and this chi-square, the best ones.
+# The vocabulary: terms of at least MIN_TOXIC different toxic texts and this chi-square, the best ones.
 MIN_TOXIC = 3
 CANDIDATES = 1 << 16
 CHI_SQUARE = 25.0
+# A term's share among toxic texts is at least so many times that among others.
+MIN_LIFT = 4.0
 VOCABULARY = 2048
 NEIGHBOURS = 15
 EVIDENCE = 3
@@ -299,7 +301,10 @@ def _sample(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
 
 
 def _distinct_terms(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(toxic, terms) of the sample's texts that are to be examples."""
+    """(toxic, terms) of the sample's texts that are to be examples, copies once.
+
+    Otherwise a text with many copies would fill the vocabulary with its own words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +317,7 @@ def _distinct_terms(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.where("not calibrates")), "doc_id")
-    return stage(rows.select("toxic", "text").mapInArrow(run, "toxic int, terms binary"))
+    return stage(rows.select("toxic", "text").mapInArrow(run, "toxic int, terms binary").distinct())
 
 
 def _vocabulary(found: DataFrame) -> np.ndarray:
@@ -346,7 +351,7 @@ def _vocabulary(found: DataFrame) -> np.ndarray:
     in_clean[np.searchsorted(term, clean.column("term").to_numpy())] = clean.column("n").to_numpy()
     a, b, c, d = (x.astype(float) for x in (in_toxic, in_clean, n1 - in_toxic, n0 - in_clean))
     chi = (n1 + n0) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1.0)
-    bound = np.flatnonzero((a * n0 > b * n1) & (chi >= CHI_SQUARE))
+    bound = np.flatnonzero((a * n0 >= MIN_LIFT * b * n1) & (chi >= CHI_SQUARE))
     best = bound[np.lexsort((term[bound], -chi[bound]))][:VOCABULARY]
     return np.sort(term[best].view(np.uint64))
 
