@@ -182,6 +182,19 @@ def make_test_encoder(dimensions: int = TEST_DIMENSIONS) -> Encoder:
     return encode
 
 
+def make_hash_encoder(dimensions: int = 16, salt: str = "") -> Encoder:
+    """A stand-in encoder whose vectors are hashes of the whole text, so that no two scores tie."""
+    import hashlib
+
+    import numpy as np
+
+    def number(text: str, d: int) -> float:
+        digest = hashlib.md5(f"{salt}{text}:{d}".encode()).hexdigest()
+        return int(digest[:8], 16) / 2.0**32 - 0.5
+
+    return lambda texts: np.array([[number(t, d) for d in range(dimensions)] for t in texts])
+
+
 def make_test_generator() -> Generator:
     """The stand-in generator as a callable; it reads the passage out of the prompt."""
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ctxrank.functions.prompts import build_prompt
 from ctxrank.functions.text import (
@@ -17,11 +21,11 @@ from ctxrank.functions.text import (
     parse_questions,
     word_windows,
 )
-from ctxrank.functions.vectors import text_key
+from ctxrank.functions.vectors import as_matrix, text_key
 from ctxrank.operators.ranking import rank_all
-from ctxrank.operators.rerank import SPREAD_COEF, document_statistics, question_score
+from ctxrank.operators.rerank import SPREAD_COEF, question_score
 from ctxrank.operators.similarity import similarities
-from ctxrank.session import matching
+from ctxrank.session import broadcast_within, matching, stage
 
 DRAWS = 10
 
@@ -50,37 +54,32 @@ def distinct_prompts(prompts: DataFrame) -> DataFrame:
     return prompts.where(~F.col("empty")).select("prompt_key", "prompt").distinct()
 
 
-def _in_order(completions: DataFrame, items: str, item: str) -> DataFrame:
-    """Unpack each completion's array; positions run on over a prompt's choices."""
-    earlier = (
-        Window.partitionBy("prompt_key")
-        .orderBy("choice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    start = F.coalesce(F.sum(F.size(items)).over(earlier), F.lit(0))
-    return (
-        completions.withColumn("_start", start)
-        .select("prompt_key", "_start", F.posexplode(items).alias("_place", item))
-        .select("prompt_key", (F.col("_start") + F.col("_place")).cast("int").alias("pos"), item)
-    )
+def _in_order(completions: DataFrame, parse: Callable[[Column], Column], item: str) -> DataFrame:
+    """The items of each completion; positions run on over a prompt's choices.
+
+    The few completions of a prompt meet as texts and are parsed in their order,
+    so no array of items is shuffled or sorted.
+    """
+    choices = F.array_sort(F.collect_list(F.struct("choice", "text"))).alias("_choices")
+    whole = completions.where("text is not null").groupBy("prompt_key").agg(choices)
+    items = F.flatten(F.transform("_choices", lambda c: parse(cut_completion(c["text"]))))
+    return whole.select("prompt_key", F.posexplode(items).alias("pos", item))
 
 
 def parse(completions: DataFrame, literal_strip: bool = False) -> DataFrame:
     """``completions(prompt_key, choice, text)`` -> ``(prompt_key, pos, question)``."""
-    parsed = completions.where("text is not null").select(
-        "prompt_key",
-        "choice",
-        parse_questions(cut_completion(F.col("text")), literal_strip).alias("_items"),
-    )
-    return _in_order(parsed, "_items", "question")
+    return _in_order(completions, lambda text: parse_questions(text, literal_strip), "question")
 
 
 def parse_documents(completions: DataFrame) -> DataFrame:
     """``completions(prompt_key, choice, text)`` -> ``(prompt_key, pos, passage)``."""
-    parsed = completions.where("text is not null").select(
-        "prompt_key", "choice", parse_passages(cut_completion(F.col("text"))).alias("_items")
-    )
-    return _in_order(parsed, "_items", "passage")
+    return _in_order(completions, parse_passages, "passage")
+
+
+def whole_completions(completions: DataFrame) -> DataFrame:
+    """``completions(prompt_key, choice, text)`` -> ``(prompt_key, pos, passage)``, each in one piece."""
+    told = completions.where("text is not null")
+    return told.select("prompt_key", F.col("choice").alias("pos"), F.col("text").alias("passage"))
 
 
 def order_completions(completions: DataFrame) -> DataFrame:
@@ -130,6 +129,81 @@ def question_vectors(questions: DataFrame, embeddings: DataFrame) -> DataFrame:
     return keyed.join(embeddings.select("text_key", "vec"), "text_key")
 
 
+def _draw_hash(seed: int, draw: Column, docid: Column, pos: Column) -> Column:
+    return F.md5(F.concat_ws(",", F.lit(seed), draw, docid, pos).cast("binary"))
+
+
+def _hash_bucket(hash_: Column) -> Column:
+    return F.conv(F.substring(hash_, 1, 3), 16, 10).cast("int")
+
+
+def _share(count: Column, ratio: float) -> Column:
+    return F.ceil(count * F.lit(ratio))
+
+
+def _bottom_of_draws(ids: DataFrame, keys: list[str], draws: int, seed: int, held: int = 1_000_000) -> DataFrame:
+    """``(*keys, pos, _share, draw, _hash)``: the rows that may be among a draw's ``_share`` smallest hashes.
+
+    Each task keeps the smallest of its own rows, for each draw of a document, so
+    what is shuffled follows the share and not the number of questions.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(draws - 1))
+    hashes = F.transform(numbers, lambda d: _draw_hash(seed, d, F.col("docid"), F.col("pos")))
+    hashed = ids.select(*keys, "pos", "_share", hashes.alias("_hashes"))
+    kind = ids.select(*keys, "pos", "_share").schema.add("draw", T.IntegerType()).add("_hash", T.StringType())
+    names = kind.names
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def smallest(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in (*keys, "draw", "_hash", "pos")])
+            same = np.ones(max(table.num_rows - 1, 0), bool)
+            for column in (*keys, "draw"):
+                values = table.column(column).combine_chunks().dictionary_encode()
+                codes = values.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                same &= codes[1:] == codes[:-1]
+            start = np.zeros(table.num_rows, np.int64)
+            fresh = np.flatnonzero(~same) + 1
+            start[fresh] = fresh
+            place = np.arange(table.num_rows) - np.maximum.accumulate(start)
+            return table.filter(pa.array(place < table.column("_share").to_numpy()))
+
+        kept, rows = [], 0
+        for batch in batches:
+            n = batch.num_rows
+            each = pa.array(np.repeat(np.arange(n), draws))
+            plain = [batch.column(c).take(each) for c in names[:-2]]
+            draw = pa.array(np.tile(np.arange(draws, dtype=np.int32), n))
+            table = pa.Table.from_arrays([*plain, draw, batch.column("_hashes").flatten()], names=names)
+            kept.append(smallest(table))
+            rows += kept[-1].num_rows
+            if rows > held:
+                whole = smallest(pa.concat_tables(kept))
+                if whole.num_rows > held // 2:
+                    yield from whole.to_batches()
+                    whole = whole.slice(0, 0)
+                kept, rows = [whole], whole.num_rows
+        if kept:
+            yield from smallest(pa.concat_tables(kept)).to_batches()
+
+    return hashed.mapInArrow(run, kind)
+
+
+def _placed(questions: DataFrame, keys: list[str], ratio: float, draws: int, seed: int) -> DataFrame:
+    """``(*keys, pos, _count, draw, _place)``: the first ``ceil(n * ratio)`` questions of each draw, in hash order."""
+    ids = questions.select(*keys, "pos")
+    sizes = ids.groupBy(*keys).agg(F.count("*").alias("_count"))
+    sizes = stage(sizes.withColumn("_share", _share(F.col("_count"), ratio)))
+    shared = ids.join(broadcast_within(sizes.drop("_count")) or sizes.drop("_count"), keys)
+    drawn = stage(_bottom_of_draws(shared, keys, draws, seed))
+    order = [F.col("_hash"), F.col("pos")]
+    ranked = rank_all(drawn, order, _hash_bucket(F.col("_hash")), [*keys, "draw"], "_place")
+    kept = ranked.where(F.col("_place") <= F.col("_share")).drop("_hash", "_share")
+    return kept.join(broadcast_within(sizes.drop("_share")) or sizes.drop("_share"), keys)
+
+
 def sample_questions(
     questions: DataFrame, ratio: float, draws: int | None = None, seed: int = 0
 ) -> DataFrame:
@@ -144,19 +218,79 @@ def sample_questions(
     if not 0 < ratio <= 1:
         raise ValueError(f"ratio must be in (0, 1], got {ratio}")
     draws = draws or (DRAWS if ratio < 1 else 1)
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
     if ratio == 1:
-        return questions.withColumn("draw", numbers)
-    ids = questions.select("docid", "pos")
-    sizes = ids.groupBy("docid").agg(F.ceil(F.count("*") * F.lit(ratio)).alias("_share"))
-    label = F.concat_ws(",", F.lit(seed), F.col("draw"), F.col("docid"), F.col("pos"))
-    drawn = ids.withColumn("draw", numbers).withColumn("_hash", F.md5(label.cast("binary")))
-    bucket = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
-    ranked = rank_all(drawn, [F.col("_hash"), F.col("pos")], bucket, ["docid", "draw"], "_place")
-    kept = ranked.join(sizes, "docid").where(F.col("_place") <= F.col("_share"))
+        return questions.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    kept = _placed(questions, ["docid"], ratio, draws, seed)
     return questions.join(kept.select("docid", "pos", "draw"), ["docid", "pos"])
 
 
+def draw_spreads(vectors: DataFrame, members: DataFrame, keys: list[str], item: str, levels: int = 1) -> DataFrame:
+    """``(*keys, cell, spread)``: the spread of each document's questions in every draw at once.
+
+    ``members(*keys, item, cells)`` lists for a question the cells, draw times ``levels``
+    plus level, that hold it; a cell also holds what the lower levels of its draw do.
+    Tasks multiply the 0/1 matrix of cells by questions with the vectors and with
+    their squared lengths, so a vector crosses once however many draws it is in;
+    only sums by cell are shuffled.
+    """
+    joined = vectors.join(members, [*keys, item]).select(*keys, "cells", "vec")
+    kind = joined.select(*keys).schema
+    kind = kind.add("cell", T.IntegerType()).add("_count", T.LongType())
+    kind = kind.add("_squares", T.DoubleType()).add("_sums", T.ArrayType(T.DoubleType()))
+    names = kind.names
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, codes = as_matrix(batch.column("vec")), np.zeros(batch.num_rows, np.int64)
+            for key in keys:
+                column = batch.column(key).dictionary_encode()
+                codes = codes * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy()
+            owner = np.unique(codes, return_inverse=True)[1]
+            order = np.argsort(owner, kind="stable")
+            lists = batch.column("cells")
+            cells, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            lengths = (values * values).sum(axis=1)
+            found = [[], [], [], [], []]
+            for rows in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+                at = np.concatenate([np.arange(starts[r], starts[r] + sizes[r]) for r in rows])
+                if not len(at):
+                    continue
+                draws = cells[at].max() // levels + 1
+                held = np.zeros((draws * levels, len(rows)))
+                np.add.at(held, (cells[at], np.repeat(np.arange(len(rows)), sizes[rows])), 1.0)
+                held = held.reshape(draws, levels, -1).cumsum(axis=1).reshape(draws * levels, -1)
+                count = held.sum(axis=1)
+                used = np.flatnonzero(count)
+                sums = held[used] @ values[rows]
+                for column, value in zip(found, (np.full(len(used), rows[0]), used, count[used], held[used] @ lengths[rows], sums)):
+                    column.append(value)
+            if not found[0]:
+                continue
+            row, cell, count, squares, sums = (np.concatenate(f) for f in found)
+            offsets = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+            plain = [batch.column(k).take(pa.array(row)) for k in keys]
+            made = [cell.astype(np.int32), count.astype(np.int64), squares]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*plain, *map(pa.array, made), lists], names=names)
+
+    sums = joined.mapInArrow(run, kind).groupBy(*keys, "cell").agg(
+        F.sum("_count").alias("_count"),
+        F.sum("_squares").alias("_squares"),
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("_sums")))).alias("_sums"),
+    )
+    count = F.col("_count")
+    mean_length = F.aggregate(F.col("_sums"), F.lit(0.0), lambda s, x: s + x * x) / (count * count)
+    # Nearly equal vectors may leave a rounding below zero.
+    spread = F.greatest((F.col("_squares") / count - mean_length) / F.size("_sums"), F.lit(0.0))
+    return sums.select(*keys, "cell", spread.alias("spread"))
+
+
 def sampled_scores(
     pairs: DataFrame,
     query_vecs: DataFrame,
@@ -173,23 +307,81 @@ def sampled_scores(
     is computed once and shared by the draws; the spread is one per document
     and draw.
     """
-    drawn = drawn.select("docid", "draw", item)
+    drawn = drawn.groupBy("docid", item).agg(F.collect_list("draw").alias("cells"))
+    members = stage(drawn) if spread_coef else drawn
     sims = similarities(pairs, query_vecs, vectors, (item,))
     stats = (
-        sims.join(drawn, ["docid", item])
+        sims.join(members, ["docid", item])
+        .select("qid", "docid", "sim", F.explode("cells").alias("draw"))
         .groupBy("qid", "docid", "draw")
         .agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("mean_sim"))
     )
     if spread_coef:
         wanted = matching(vectors, pairs, "docid").select("docid", item, "vec")
-        spreads = document_statistics(wanted.join(drawn, ["docid", item]), ("docid", "draw"))
-        stats = stats.join(spreads.select("docid", "draw", "spread"), ["docid", "draw"])
+        spreads = draw_spreads(wanted, members, ["docid"], item).withColumnRenamed("cell", "draw")
+        stats = stats.join(spreads, ["docid", "draw"])
     else:
         stats = stats.withColumn("spread", F.lit(0.0))
     scored = stats.withColumn("_score", question_score(method, spread_coef))
     return scored.groupBy("qid", "docid").agg(F.avg("_score").alias("question_score"))
 
 
+def sampling_statistics(
+    pairs: DataFrame,
+    query_vecs: DataFrame,
+    questions: DataFrame,
+    ratios: Sequence[float],
+    draws: int = DRAWS,
+    seed: int = 0,
+    keys: tuple[str, ...] = (),
+    with_spread: bool = True,
+) -> DataFrame:
+    """``(*keys, downsample, qid, docid, max_sim, mean_sim, spread)`` for every ratio from one pass.
+
+    ``questions(*keys, docid, pos, vec)``; ``keys`` tell sets of questions apart, such as the
+    number of completions and the temperature that made them. A draw orders a
+    document's questions once; a smaller ratio takes a shorter beginning. So a
+    question counts from the first ratio that reaches it on, similarities are
+    computed once, and best, sum and moments run on over the ratios. All are
+    averaged over the draws; scores are linear in them.
+    """
+    ratios = sorted(ratios)
+    if not ratios or not 0 < ratios[0] <= ratios[-1] <= 1:
+        raise ValueError(f"ratios must be in (0, 1], got {ratios}")
+    own, n = [*keys, "docid"], len(ratios)
+    placed = _placed(questions, own, ratios[-1], draws, seed)
+    # The first ratio whose share reaches a question.
+    level = sum((F.when(F.col("_place") > _share(F.col("_count"), r), 1).otherwise(0) for r in ratios), F.lit(0))
+    cell = (F.col("draw") * n + level).cast("int")
+    members = stage(placed.groupBy(*own, "pos").agg(F.collect_list(cell).alias("cells")))
+    sims = similarities(pairs, query_vecs, questions, (*keys, "pos"))
+    counted = (
+        sims.join(members, [*own, "pos"])
+        .select(*keys, "qid", "docid", "sim", F.explode("cells").alias("cell"))
+        .groupBy(*keys, "qid", "docid", "cell")
+        .agg(F.max("sim").alias("_best"), F.sum("sim").alias("_total"), F.count("*").alias("_count"))
+    )
+    onwards = F.explode(F.sequence(F.col("cell") % n, F.lit(n - 1))).alias("ratio")
+    stats = (
+        counted.select("*", F.floor(F.col("cell") / n).alias("draw"), onwards)
+        .groupBy(*keys, "qid", "docid", "draw", "ratio")
+        .agg(F.max("_best").alias("max_sim"), (F.sum("_total") / F.sum("_count")).alias("mean_sim"))
+    )
+    if with_spread:
+        wanted = matching(questions, pairs, "docid").select(*own, "pos", "vec")
+        spreads = draw_spreads(wanted, members, own, "pos", n).select(
+            *own, F.floor(F.col("cell") / n).alias("draw"), (F.col("cell") % n).alias("ratio"), "spread"
+        )
+        stats = stats.join(spreads, [*own, "draw", "ratio"])
+    else:
+        stats = stats.withColumn("spread", F.lit(0.0))
+    named = F.element_at(F.array(*[F.lit(float(r)) for r in ratios]), F.col("ratio") + 1)
+    return (
+        stats.groupBy(*keys, named.alias("downsample"), "qid", "docid")
+        .agg(*[F.avg(c).alias(c) for c in ("max_sim", "mean_sim", "spread")])
+    )
+
+
 def chunk_documents(docs: DataFrame, size: int, step: int | None = None) -> DataFrame:
     """``(docid, chunk, context)``: overlapping windows of ``size`` words."""
     step = step or math.ceil(size / 2)

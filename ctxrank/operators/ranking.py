@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxrank.session import broadcast_within, stage
 
 
 def best_first(score: str = "score", *ties: str) -> list[Column]:
@@ -23,8 +24,13 @@ def top_k(
 
     Spark limits each task to k rows per key before the shuffle, so a key with
     any number of rows costs the final sort at most k rows per task. It does so
-    up to ``spark.sql.optimizer.windowGroupLimitThreshold``, by default 1000.
+    up to ``spark.sql.optimizer.windowGroupLimitThreshold``, by default 1000; a larger k of
+    scores is selected by their counts, without a task that holds a key.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit and order is None:
+        bucket = score_bucket(F.col("score"))
+        return select_top(stage(df), k, best_first("score", "docid"), bucket, keys, rank)
     window = Window.partitionBy(*(keys or ["qid"])).orderBy(
         *(order or best_first("score", "docid"))
     )
@@ -44,19 +50,22 @@ def score_bucket(score: Column) -> Column:
     return F.when(score.isNull(), F.lit(end + 2)).otherwise(known)
 
 
-def rank_all(
+def select_top(
     df: DataFrame,
+    k: int | None,
     order: list[Column],
     bucket: Column,
     keys: list[str] | None = None,
     rank: str = "rank",
 ) -> DataFrame:
-    """Exact 1-based rank of every row, for keys of any size.
-
-    ``bucket`` never falls along ``order`` and is never null. Rows are counted per bucket with
-    map-side combining; a row's rank is the count of the lower buckets plus
-    its place in its own, so no task sorts a whole key. The rows are read
-    twice, so an order that rests on computed scores wants them staged.
+    """The k first rows per key, or all, with their exact 1-based rank, for k and keys of any size.
+
+    ``bucket`` never falls along ``order`` and is never null. Rows are counted per
+    bucket with map-side combining; the counts tell the last bucket that can reach k,
+    and rows of later ones are dropped before they are shuffled. A row's rank is the
+    count of the lower buckets plus its place in its own, so no task sorts a whole
+    key. The rows are read twice, so an order that rests on computed scores wants
+    them staged.
     """
     keys = keys or ["qid"]
     binned = df.withColumn("_bucket", bucket)
@@ -71,12 +80,28 @@ def rank_all(
         .withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
         .drop("_n")
     )
+    if k is not None:
+        # The bounds of all keys, where they fit, drop rows where they are scanned.
+        offsets = stage(offsets.where(F.col("_before") < k))
+        offsets = broadcast_within(offsets) or offsets
     place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    return (
+    ranked = (
         binned.join(offsets, [*keys, "_bucket"])
         .withColumn(rank, (F.col("_before") + place).cast("int"))
         .drop("_bucket", "_before")
     )
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
+
+
+def rank_all(
+    df: DataFrame,
+    order: list[Column],
+    bucket: Column,
+    keys: list[str] | None = None,
+    rank: str = "rank",
+) -> DataFrame:
+    """Exact 1-based rank of every row, for keys of any size; see ``select_top``."""
+    return select_top(df, None, order, bucket, keys, rank)
 
 
 def rank_shift(base: DataFrame, reranked: DataFrame) -> DataFrame:

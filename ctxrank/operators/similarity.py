@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxrank.functions.vectors import as_matrix, cosine, dot
-from ctxrank.session import BROADCAST_BYTES, matching, table_bytes
+from ctxrank.functions.vectors import as_matrix
+from ctxrank.session import BROADCAST_BYTES, broadcast_within, matching, stage, table_bytes
 
-BLOCK = 1000
-METHODS = {None: dot, "cos": cosine}
+# Bytes of vectors and products in a block, and vectors or queries of a document in a piece.
+BLOCK_BYTES = 64 << 20
+PIECE = 512
+METHODS = (None, "cos")
 
 
 def similarities(
@@ -22,7 +24,8 @@ def similarities(
     items: tuple[str, ...] = (),
     method: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block: int = BLOCK,
+    block: int = PIECE,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``sim`` of every pair and vector of its document.
 
@@ -31,14 +34,15 @@ def similarities(
     the cosine for ``"cos"``. Pairs and query vectors that fit are broadcast:
     the vectors are filtered and multiplied where they are scanned, each
     crossing to Python once however many queries share its document. Larger
-    sides are joined.
+    sides are multiplied in cogrouped blocks. Both add a product's terms in the same
+    order, so they give the same numbers.
     """
     pairs = pairs.select("qid", "docid")
     queries = query_vecs.select("qid", "vec")
     vectors = vectors.where("vec is not null")
     if max(table_bytes(pairs), table_bytes(queries)) <= broadcast_bytes:
         return _scan(pairs, queries, vectors, items, method)
-    return _join(pairs, queries, vectors, items, method, block)
+    return _join(pairs, queries, vectors, items, method, block, block_bytes)
 
 
 def _scan(
@@ -52,13 +56,7 @@ def _scan(
     import numpy as np
 
     wanted = matching(vectors, pairs, "docid").select("docid", *items, "vec")
-    schema = T.StructType(
-        [
-            T.StructField("qid", queries.schema["qid"].dataType),
-            *wanted.schema.fields[:-1],
-            T.StructField("sim", T.DoubleType()),
-        ]
-    )
+    schema = _sim_schema(queries, wanted.drop("vec"))
     table = queries.toArrow().combine_chunks()
     place = {qid: i for i, qid in enumerate(table.column("qid").to_pylist())}
     known = pairs.toPandas()
@@ -81,9 +79,8 @@ def _scan(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("docid").to_numpy(zero_copy_only=False)
-            ids = ids.astype(str) if ids.dtype == object else ids
-            values = as_matrix(batch.column("vec"), unit)
+            ids = _ids(batch.column("docid"))
+            values = as_matrix(batch.column("vec"), unit, matrix.shape[1])
             first = np.searchsorted(docids, ids, "left")
             counts = np.searchsorted(docids, ids, "right") - first
             ends = np.cumsum(counts)
@@ -108,25 +105,123 @@ def _join(
     vectors: DataFrame,
     items: tuple[str, ...],
     method: str | None,
-    block: int,
+    piece: int,
+    block_bytes: int,
 ) -> DataFrame:
-    """Join on docid, for sides too large to broadcast.
+    """Multiply cogrouped blocks of document and query vectors, for sides too large to broadcast.
 
-    Where vectors have a position, those of a document are joined in blocks,
-    and only a document with more than one block repeats its pairs. So
-    neither a document with very many vectors nor one that many queries share
-    ends up in one task: the first is spread over its blocks, and the second
-    is a skew that AQE splits, as the next step shuffles by other keys.
+    A document's vectors and its queries are dealt into pieces of about ``piece`` each, and
+    every pair of pieces into one of as many blocks as the bytes of both sides and of
+    the results ask for. So a document with very many vectors or queries is spread over
+    blocks, small ones share them, and a query's vector crosses once to each block that
+    has one of its documents.
     """
-    pairs = pairs.join(queries.withColumnRenamed("vec", "_query"), "qid")
-    keys = ["docid"]
-    if "pos" in vectors.columns:
-        number = F.floor(F.col("pos") / block)
-        long = vectors.where(F.col("pos") >= block).groupBy("docid")
-        long = long.agg(F.max(number).alias("_last"))
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last", F.lit(0))))
-        pairs = pairs.join(long, "docid", "left").withColumn("_block", copies)
-        vectors = vectors.withColumn("_block", number)
-        keys.append("_block")
-    sim = METHODS[method](F.col("_query"), F.col("vec"))
-    return vectors.join(pairs, keys).select("qid", "docid", *items, sim.alias("sim"))
+    spark = vectors.sparkSession
+    pairs = stage(pairs.join(queries.select("qid"), "qid", "left_semi"))
+    wanted = vectors.join(pairs.select("docid").distinct(), "docid", "left_semi")
+    dims = queries.select(F.size("vec").alias("n")).agg(F.max("n")).first()[0] or 1
+    counts = (
+        wanted.groupBy("docid").agg(F.count("*").alias("n_vec"))
+        .join(pairs.groupBy("docid").agg(F.count("*").alias("n_qid")), "docid")
+    )
+    counts = stage(
+        counts.withColumn("v_parts", F.ceil(F.col("n_vec") / piece)).withColumn("q_parts", F.ceil(F.col("n_qid") / piece))
+    )
+    # Each piece crosses once for each piece of the other side.
+    crossing = F.col("n_vec") * F.col("q_parts") + F.col("n_qid") * F.col("v_parts")
+    size = F.sum(crossing * (8 * dims + 32) + F.col("n_vec") * F.col("n_qid") * 32)
+    blocks = max(1, -(-int(counts.agg(size).first()[0] or 0) // block_bytes))
+    large = counts.where("v_parts > 1 or q_parts > 1").select("docid", "v_parts", "q_parts")
+    large = stage(large)
+    large = broadcast_within(large) or large
+
+    def dealt(side: DataFrame, own: str, other: str, spread: Column) -> DataFrame:
+        """``side`` with its own piece, a copy for each piece of the other side, and their block."""
+        parts = side.join(large, "docid", "left")
+        mine = F.coalesce(F.pmod(spread, F.col(f"{own}_parts")), F.lit(0))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(f"{other}_parts"), F.lit(1)) - 1))
+        parts = parts.withColumn(f"_{own}", mine.cast("long")).withColumn(f"_{other}", each)
+        block = F.pmod(F.xxhash64("docid", "_v", "_q"), F.lit(blocks)).cast("int")
+        return parts.withColumn("_block", block).drop("v_parts", "q_parts")
+
+    left = dealt(wanted.select("docid", *items, "vec"), "v", "q", F.xxhash64("docid", *items))
+    left = left.select("_block", "docid", "_v", "_q", *items, "vec")
+    cells = dealt(pairs, "q", "v", F.xxhash64("qid"))
+    right = cells.groupBy("_block", "qid").agg(F.collect_list(F.struct("docid", "_v", "_q")).alias("cells"))
+    right = right.join(queries, "qid").select("_block", "qid", "cells", "vec")
+    schema = _sim_schema(queries, left.select("docid", *items))
+    kernel = _multiply_block(schema, items, method == "cos")
+    return left.groupBy("_block").cogroup(right.groupBy("_block")).applyInArrow(kernel, schema)
+
+
+def _multiply_block(schema: T.StructType, items: tuple[str, ...], unit: bool, entries: int = 4_000_000):
+    """Cogroup step: the products of a block's vectors with the queries of their document."""
+
+    def multiply(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def codes(docid, v, q, known):
+            place = np.searchsorted(known, _ids(docid))
+            return place, v.to_numpy(), q.to_numpy()
+
+        right, left = right.combine_chunks(), left.combine_chunks()
+        empty = pa.Table.from_batches([], schema=_arrow_schema(schema))
+        if not right.num_rows or not left.num_rows:
+            return empty
+        lists = right.column("cells").chunk(0)
+        cells = lists.flatten()
+        owner = np.repeat(np.arange(right.num_rows), lists.value_lengths().to_numpy())
+        asked = [cells.field(f) for f in ("docid", "_v", "_q")]
+        held = [left.column(f).chunk(0) for f in ("docid", "_v", "_q")]
+        known = np.unique(np.concatenate([_ids(asked[0]), _ids(held[0])]))
+        asked, held = np.stack(codes(*asked, known)), np.stack(codes(*held, known))
+        both = np.unique(np.concatenate([asked, held], axis=1), axis=1, return_inverse=True)[1].ravel()
+        asked, held = both[: asked.shape[1]], both[asked.shape[1] :]
+        order = np.argsort(asked, kind="stable")
+        asked, owner = asked[order], owner[order]
+        matrix = as_matrix(right.column("vec").chunk(0), unit)
+        values = as_matrix(left.column("vec").chunk(0), unit, matrix.shape[1])
+        first = np.searchsorted(asked, held, "left")
+        sizes = np.searchsorted(asked, held, "right") - first
+        ends = np.cumsum(sizes)
+        step = max(entries // max(matrix.shape[1], 1), 1)
+        rows, queries, sims = [], [], []
+        for start in range(0, int(ends[-1]), step):
+            flat = np.arange(start, min(start + step, int(ends[-1])))
+            row = np.searchsorted(ends, flat, "right")
+            query = owner[first[row] + flat - (ends[row] - sizes[row])]
+            rows.append(row)
+            queries.append(query)
+            sims.append((values[row] * matrix[query]).sum(axis=1))
+        if not rows:
+            return empty
+        row, query, sim = (np.concatenate(x) for x in (rows, queries, sims))
+        taken = left.select(["docid", *items]).take(pa.array(row)).columns
+        qid = right.column("qid").take(pa.array(query))
+        return pa.Table.from_arrays([qid, *taken, pa.array(sim, from_pandas=True)], names=schema.names)
+
+    return multiply
+
+
+def _ids(column):
+    """Ids of an Arrow column as NumPy values that sort."""
+    ids = column.to_numpy(zero_copy_only=False)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def _arrow_schema(schema: T.StructType):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def _sim_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
+    """qid, the fields of ``rows`` and sim."""
+    return T.StructType(
+        [
+            T.StructField("qid", queries.schema["qid"].dataType),
+            *rows.schema.fields,
+            T.StructField("sim", T.DoubleType()),
+        ]
+    )

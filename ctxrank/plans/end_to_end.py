@@ -23,6 +23,7 @@ from ctxrank.operators.questions import (
     question_vectors,
     sample_questions,
     sampled_scores,
+    whole_completions,
 )
 from ctxrank.operators.rerank import (
     FIRST_N,
@@ -182,20 +183,26 @@ def passage_search(
     make_generator: Callable[[], Generator],
     make_encoder: Callable[[], Encoder],
     tasks: int | None = None,
+    whole: bool = False,
+    k: int = DEPTH,
 ) -> DataFrame:
-    """Search with the averaged vectors of each topic and its written passages."""
+    """Search with the averaged vectors of each topic and its written passages.
+
+    A passage is a line of a completion, or with ``whole`` a completion.
+    """
+    read = whole_completions if whole else parse_documents
     asked = topics.withColumn("prompt", build_prompt(F.col("title"), setting.task))
     asked = asked.select("qid", text_key(F.col("prompt")).alias("prompt_key"), "prompt")
     wanted = asked.select("prompt_key", "prompt").distinct()
 
     def answers(missing: DataFrame) -> DataFrame:
         written = generate(missing, make_generator, setting.passages, setting.temperature, tasks)
-        return parse_documents(written).withColumnRenamed("passage", "text")
+        return read(written).withColumnRenamed("passage", "text")
 
     passages = passage_store.fill(wanted, answers)
     vectors = embed(passages, text_store, make_encoder, "text", tasks)
     written = passage_vectors(asked, passages.withColumnRenamed("text", "passage"), vectors)
-    return search_with_passages(query_vecs, written, docs, DEPTH)
+    return search_with_passages(query_vecs, written, docs, k)
 
 
 def rank(

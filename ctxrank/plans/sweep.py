@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,21 +39,32 @@ CELL_TYPES = {
     "question_coef": "double",
     "spread_coef": "double",
     "encoder": "string",
+    "downsample": "double",
+    "n": "int",
+    "temperature": "double",
 }
 
 
 @dataclass(frozen=True)
 class Cell:
-    """One setting of the rerank; with an encoder it applies to that encoder's runs only."""
+    """One setting of the rerank; with an encoder it applies to that encoder's runs only.
+
+    Share of questions drawn, completions a prompt and temperature choose among the
+    statistics, where those tell them apart.
+    """
 
     method: str = "max"
     first_n: int = FIRST_N
     question_coef: float = QUESTION_COEF
     spread_coef: float = SPREAD_COEF
     encoder: str | None = None
+    downsample: float | None = None
+    n: int | None = None
+    temperature: float | None = None
 
 
 SETTING = ("method", "first_n", "question_coef", "spread_coef")
+SAMPLING = ("downsample", "n", "temperature")
 
 
 def grid(
@@ -77,6 +90,16 @@ def encoder_grid(
     ]
 
 
+def sampling_grid(
+    cells: Iterable[Cell], downsample: Iterable[float], completions: Iterable[tuple[int, float]]
+) -> list[Cell]:
+    """All combinations of cells, shares of drawn questions, and pairs of n and temperature."""
+    return [
+        replace(cell, downsample=share, n=n, temperature=temperature)
+        for cell, share, (n, temperature) in product(cells, downsample, completions)
+    ]
+
+
 def sweep_runs(
     hits: DataFrame,
     statistics: DataFrame,
@@ -90,8 +113,11 @@ def sweep_runs(
     ``first_n``. ``keys`` name further columns of both tables, such as model,
     indexer or encoder, that tell runs apart. Candidates below both a cell's
     ``first_n`` and the evaluation cut cannot reach the cut and are left out.
+    Statistics with columns of ``SAMPLING``, as ``sampling_statistics`` gives them, are
+    matched with the cells' own values of those.
     """
-    fields = (*SETTING, "encoder")
+    sampled = [c for c in SAMPLING if c in statistics.columns]
+    fields = (*SETTING, "encoder", *sampled)
     cells = list(cells)
     values = [
         F.struct(*[F.lit(getattr(c, f)).cast(CELL_TYPES[f]).alias(f) for f in fields]) for c in cells
@@ -101,13 +127,25 @@ def sweep_runs(
         own = F.col("encoder")
         chosen = F.filter(chosen, lambda c: c["encoder"].isNull() | (c["encoder"] == own))
     deepest = max([cut, *(c.first_n for c in cells)])
-    scored = hits.where(F.col("rank") <= deepest).join(statistics, [*keys, "qid", "docid"], "left")
+    first = hits.where(F.col("rank") <= deepest)
+    if sampled:
+        settings = {tuple(getattr(c, f) for f in sampled) for c in cells}
+        each = [
+            F.struct(*[F.lit(v).cast(CELL_TYPES[f]).alias(f) for f, v in zip(sampled, setting)])
+            for setting in sorted(settings)
+        ]
+        first = first.select("*", F.inline(F.array(*each)))
+        chosen = F.filter(
+            chosen, lambda c: reduce(and_, [c[f].eqNullSafe(F.col(f)) for f in sampled], F.lit(True))
+        )
+    scored = first.join(statistics, [*keys, *sampled, "qid", "docid"], "left")
     each = scored.withColumn("_cell", F.explode(chosen))
     each = each.select("*", *[F.col(f"_cell.{f}").alias(f) for f in SETTING])
     reached = each.where(F.col("rank") <= F.greatest("first_n", F.lit(cut)))
     value = question_score(F.col("method"), F.col("spread_coef"))
     return reached.withColumn("question_score", value).select(
         *keys,
+        *sampled,
         *SETTING,
         "qid",
         "docid",
@@ -127,7 +165,8 @@ def sweep(
 ) -> DataFrame:
     """Mean nDCG of every cell."""
     runs = sweep_runs(hits, statistics, cells, cut, keys)
-    return mean_ndcg(runs, qrels, cut, (*keys, *SETTING))
+    sampled = [c for c in SAMPLING if c in statistics.columns]
+    return mean_ndcg(runs, qrels, cut, (*keys, *sampled, *SETTING))
 
 
 def compare(runs: dict[str, DataFrame], qrels: DataFrame, cut: int = CUT) -> DataFrame:

@@ -18,6 +18,9 @@ BEIR_TOPICS = (
 )
 DENSE_INDEXES = ("contriever", "bge-base-en-v1.5")
 SPARSE_INDEXES = ("SPLADE++_EnsembleDistil_ONNX",)
+# What an index name may begin with, and the index that any name with it means.
+PASSAGE_PREFIXES = ("hyde_", "hyde-", "hyd-")
+BEIR_FAMILY = "contriever"
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,21 @@ class Dataset:
         return {name: spark.read.parquet(path) for name, path in {**paths, "index": self.index}.items()}
 
 
+def index_name(topic: str, indexer: str) -> str:
+    """The index that ``indexer`` means for a topic set.
+
+    The passages prefix of a name says how the index is searched and not which it
+    is. For the BEIR sets any name with ``contriever`` in it means that index.
+    """
+    for prefix in PASSAGE_PREFIXES:
+        indexer = indexer.removeprefix(prefix)
+    if topic in BEIR_TOPICS and BEIR_FAMILY in indexer:
+        return BEIR_FAMILY
+    if indexer not in DENSE_INDEXES + SPARSE_INDEXES:
+        raise ValueError(f"unknown index {indexer!r}")
+    return indexer
+
+
 def resolve(root: str, topic: str, indexer: str) -> Dataset:
     """Where the tables of a topic set and index lie; unknown names are an error."""
     if topic in PASSAGE_TOPICS:
@@ -44,8 +62,7 @@ def resolve(root: str, topic: str, indexer: str) -> Dataset:
         corpus = topic.removesuffix("-test")
     else:
         raise ValueError(f"unknown topic set {topic!r}")
-    if indexer not in DENSE_INDEXES + SPARSE_INDEXES:
-        raise ValueError(f"unknown index {indexer!r}")
+    indexer = index_name(topic, indexer)
     return Dataset(
         topics=f"{root}/topics/{topic}",
         qrels=f"{root}/qrels/{topic}",

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 # The columns of the log, in order.
 COLUMNS = (
     "datetime STRING, model_name STRING, method STRING, task STRING, topic STRING,"
-    " question_coef DOUBLE, spread_coef DOUBLE, downsample DOUBLE, temperature DOUBLE,"
-    " n INT, indexer_name STRING, first_n INT, encoder_name STRING,"
-    " indexer_ndcg DOUBLE, encoder_ndcg DOUBLE, reranked_ndcg DOUBLE"
+    " question_coef DOUBLE, second_question_coef DOUBLE, spread_coef DOUBLE, downsample DOUBLE,"
+    " temperature DOUBLE, n INT, indexer_name STRING, first_n INT, encoder_name STRING,"
+    " indexer_ndcg DOUBLE, encoder_ndcg DOUBLE, reranked_ndcg DOUBLE,"
+    " second_reranked_ndcg DOUBLE, third_reranked_ndcg DOUBLE"
 )
 
 

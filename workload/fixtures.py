@@ -52,6 +52,11 @@ def context_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("g").alias("docid"), "label", "vec")
 
 
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of ``embeddings`` as a document."""
+    return vectors(spark, sf).select(F.col("vec_id").alias("docid"), "label", "vec")
+
+
 def question_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf).where("g % 10 <> 0 and p > 0")
     return rows.select(F.col("g").alias("docid"), (F.col("p") - 1).alias("pos"), "vec")
@@ -82,7 +87,8 @@ emb AS (SELECT vec_id, vec_id // 5 AS g, vec_id % 5 AS p, label, embedding::DOUB
         FROM embeddings),
 qv AS (SELECT vec_id AS qid, label, vec FROM emb WHERE g % 10 = 0),
 cv AS (SELECT g AS docid, label, vec FROM emb WHERE g % 10 <> 0 AND p = 0),
-hv AS (SELECT g AS docid, (p - 1)::INTEGER AS pos, vec FROM emb WHERE g % 10 <> 0 AND p > 0)
+hv AS (SELECT g AS docid, (p - 1)::INTEGER AS pos, vec FROM emb WHERE g % 10 <> 0 AND p > 0),
+dv AS (SELECT vec_id AS docid, label, vec FROM emb)
 """
 
 VECTOR_QRELS = f"""
@@ -94,9 +100,9 @@ qrels AS (SELECT qid, docid,
 """
 
 
-def vector_hits_sql(k: int = 50) -> str:
+def vector_hits_sql(k: int = 50, docs: str = "cv") -> str:
     return f"""
-sims AS (SELECT qid, docid, list_dot_product(qv.vec, cv.vec) AS score FROM qv, cv),
+sims AS (SELECT qid, docid, list_dot_product(qv.vec, {docs}.vec) AS score FROM qv, {docs}),
 hits AS (SELECT qid, docid, score,
                 row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid)::INTEGER AS rank
          FROM sims QUALIFY rank <= {k})
@@ -143,6 +149,14 @@ dcgs AS (SELECT {keys} p.qid, sum(coalesce(rel, 0) / log2(place + 1)) AS dcg
 """
 
 
+# The context of group g is row 5 g of the table, where all rows are documents.
+DOCUMENT_QRELS = VECTOR_QRELS.replace("qrels AS (SELECT qid, docid,", "qrels AS (SELECT qid, 5 * docid AS docid,")
+
+
+def document_qrels(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_qrels(spark, sf).withColumn("docid", 5 * F.col("docid"))
+
+
 # --- texts ---------------------------------------------------------------
 
 
@@ -332,6 +346,12 @@ def text_counts_sql(name: str, source: str, key: str, text: str) -> str:
 """
 
 
+def hash_vector_sql(text: str, salt: str = "") -> str:
+    """The vector of the stand-in encoder of hashes."""
+    return f"""list_transform(range(16), lambda d:
+        ('0x' || substr(md5('{salt}' || {text} || ':' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5)"""
+
+
 def text_hits_sql(k: int) -> str:
     """Table ``hits`` of judged topics over the stand-in vectors of the contexts."""
     return f"""

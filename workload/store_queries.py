@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ctxrank.functions.prompts import build_prompt
@@ -11,6 +14,7 @@ from ctxrank.operators.models import (
     distinct_texts,
     encode_texts,
     generate,
+    make_hash_encoder,
     make_test_encoder,
     make_test_generator,
     test_completion,
@@ -25,15 +29,15 @@ from ctxrank.operators.questions import (
 from ctxrank.operators.evaluate import mean_ndcg
 from ctxrank.operators.rerank import document_statistics
 from ctxrank.operators.search import dense_topk, judged
-from ctxrank.plans.end_to_end import Setting, ask, end_to_end
+from ctxrank.plans.end_to_end import Setting, ask, embed, end_to_end, passage_search
 from ctxrank.session import new_folder, stage
 from ctxrank.sources.catalog import resolve
 from ctxrank.sources.experiments import append_experiments, read_experiments
 from ctxrank.sources.store import (
     VECTORS as VECTOR_SCHEMA,
+    Store,
     generated_store,
     overlay,
-    prune,
     read_precomputed,
     store_sizes,
     vector_store,
@@ -43,17 +47,19 @@ from workload.fixtures import (
     ASKED_QUESTIONS,
     COMPLETIONS,
     CONTEXTS,
+    DOCUMENT_QRELS,
     PROMPTS,
     TEXT_QRELS,
     TOPICS,
-    VECTOR_QRELS,
     VECTORS,
     completions,
-    context_vectors,
     corpus,
     document_contexts,
     document_prompts,
+    document_qrels,
+    document_vectors,
     documents,
+    hash_vector_sql,
     looked_up_sql,
     looked_up_vectors,
     ndcg_sql,
@@ -67,7 +73,6 @@ from workload.fixtures import (
     text_qrels,
     topics,
     vector_hits_sql,
-    vector_qrels,
     vectors,
 )
 from workload.registry import query
@@ -105,6 +110,12 @@ def u2_embedding_merge(spark, sf):
     return overlay(held, rows.select("vec_id", negated), "vec_id")
 
 
+def _vector_table(spark) -> Store:
+    """A store of vectors by row, with their label."""
+    schema = "vec_id LONG, label INT, vec ARRAY<DOUBLE>, encoder STRING"
+    return Store(new_folder(spark, "vectors"), schema, "vec_id", {"encoder": "test"})
+
+
 @query(
     "u3_upsert",
     f"""WITH {VECTORS} SELECT vec_id, CASE WHEN label = 0
@@ -112,10 +123,11 @@ def u2_embedding_merge(spark, sf):
     vector="vec",
 )
 def u3_upsert(spark, sf):
-    """New vectors replace the old ones of their keys."""
-    rows = vectors(spark, sf)
-    new = rows.where("label = 0").select("vec_id", F.transform("vec", lambda x: 2 * x).alias("vec"))
-    return overlay(new, rows.select("vec_id", "vec"), "vec_id")
+    """New vectors replace the stored ones of their keys; the store is read back."""
+    rows, store = vectors(spark, sf), _vector_table(spark)
+    store.append(rows)
+    store.upsert(rows.where("label = 0").withColumn("vec", F.transform("vec", lambda x: 2 * x)))
+    return store.read(spark).select("vec_id", "vec")
 
 
 @query(
@@ -123,8 +135,24 @@ def u3_upsert(spark, sf):
     "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
 )
 def p9_prune(spark, sf):
-    keys = table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"))
-    return prune(vectors(spark, sf).select("vec_id", "label"), keys, "vec_id")
+    """Vectors whose key is no longer referenced leave the store; it is read back."""
+    keys, store = table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id")), _vector_table(spark)
+    store.append(vectors(spark, sf))
+    store.prune(keys)
+    return store.read(spark).select("vec_id", "label")
+
+
+@query(
+    "j4_store_lookup",
+    f"WITH {VECTORS} SELECT vec_id, label, vec FROM emb WHERE label = 4",
+    vector="vec",
+)
+def j4_store_lookup(spark, sf):
+    """Keys of one of ten fills, looked up through the filters of many small files."""
+    rows, store = vectors(spark, sf), replace(_vector_table(spark), rows_per_file=64)
+    for label in range(10):
+        store.append(rows.where(F.col("label") == label))
+    return store.lookup(rows.where("label = 4").select("vec_id"))
 
 
 # --- stores --------------------------------------------------------------
@@ -190,13 +218,10 @@ def s9_vector_store(spark, sf):
 def a15_store_count(spark, sf):
     """Number of vectors in each partition of a store."""
     folder = new_folder(spark, "vectors")
-    rows = vectors(spark, sf).select(
-        F.sha2(F.col("vec_id").cast("string"), 256).alias("text_key"),
-        "vec",
-        F.lit("test").alias("encoder"),
-        F.col("label").cast("string").alias("topic"),
-    )
-    rows.write.partitionBy("encoder", "topic").parquet(folder)
+    key = F.sha2(F.col("vec_id").cast("string"), 256).alias("text_key")
+    rows = stage(vectors(spark, sf).select(key, "label", "vec"))
+    for label in [r["label"] for r in rows.select("label").distinct().collect()]:
+        vector_store(folder, "test", str(label)).append(rows.where(F.col("label") == label))
     return store_sizes(spark, folder, VECTOR_SCHEMA, "text_key")
 
 
@@ -221,14 +246,14 @@ def s12_precomputed_questions(spark, sf):
 
 @query(
     "s6_run_file",
-    f"""WITH {VECTORS}, {vector_hits_sql(50)}
+    f"""WITH {VECTORS}, {vector_hits_sql(50, "dv")}
     SELECT 'first' AS run_id, qid::VARCHAR AS qid, docid::VARCHAR AS docid, rank,
            round(score, 6) AS score FROM hits""",
 )
 def s6_run_file(spark, sf):
     """Hits written as a run file, twice, and read back."""
     folder = new_folder(spark, "runs")
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), 50)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), 50)
     for _ in range(2):
         write_run(hits, folder, "first")
     return rounded(read_run(spark, folder), "score")
@@ -236,25 +261,29 @@ def s6_run_file(spark, sf):
 
 @query(
     "s10_experiment_log",
-    f"""WITH {VECTORS}, {VECTOR_QRELS}, {vector_hits_sql(50)}, {ndcg_sql("hits")},
+    f"""WITH {VECTORS}, {DOCUMENT_QRELS}, {vector_hits_sql(50, "dv")}, {ndcg_sql("hits")},
     result AS (SELECT round(sum(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END)
                             / count(*), 6) AS ndcg FROM ideal LEFT JOIN dcgs USING (qid))
     SELECT 'embeddings' AS topic, 30::INTEGER AS first_n, NULL::DOUBLE AS question_coef,
-           ndcg AS indexer_ndcg FROM result""",
+           0.5::DOUBLE AS second_question_coef, ndcg AS indexer_ndcg,
+           NULL::DOUBLE AS second_reranked_ndcg, ndcg / 2 AS third_reranked_ndcg FROM result""",
 )
 def s10_experiment_log(spark, sf):
     """A result appended to the log by name; what it lacks is null."""
     folder = new_folder(spark, "log")
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), 50)
-    result = mean_ndcg(hits.withColumn("run_id", F.lit("first")), vector_qrels(spark, sf))
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), 50)
+    result = mean_ndcg(hits.withColumn("run_id", F.lit("first")), document_qrels(spark, sf))
     row = result.select(
         F.lit("embeddings").alias("topic"),
         F.lit(30).alias("first_n"),
+        F.lit(0.5).alias("second_question_coef"),
         F.round("ndcg", 6).alias("indexer_ndcg"),
+        (F.round("ndcg", 6) / 2).alias("third_reranked_ndcg"),
     )
     append_experiments(spark, row, folder)
     return read_experiments(spark, folder).select(
-        "topic", "first_n", "question_coef", "indexer_ndcg"
+        "topic", "first_n", "question_coef", "second_question_coef", "indexer_ndcg",
+        "second_reranked_ndcg", "third_reranked_ndcg",
     )
 
 
@@ -263,13 +292,17 @@ def s10_experiment_log(spark, sf):
     f"WITH {TOPICS}, {TEXT_QRELS} SELECT qid, title FROM topics WHERE qid IN (SELECT qid FROM qrels)",
 )
 def s11_dataset_tables(spark, sf):
-    """The judged topics of a dataset, read from where the registry says it lies."""
-    dataset = resolve(new_folder(spark, "datasets"), "dl19-passage", "contriever")
+    """The judged topics of a dataset, read from where the registry says it lies.
+
+    An index that is to be searched with passages is the same index.
+    """
+    root = new_folder(spark, "datasets")
+    dataset = resolve(root, "dl19-passage", "contriever")
     topics(spark, sf).write.parquet(dataset.topics)
     text_qrels(spark, sf).write.parquet(dataset.qrels)
     corpus(spark, sf).write.parquet(dataset.corpus)
-    context_vectors(spark, sf).write.parquet(dataset.index)
-    tables = dataset.tables(spark)
+    document_vectors(spark, sf).write.parquet(dataset.index)
+    tables = resolve(root, "dl19-passage", "hyde_contriever").tables(spark)
     return judged(tables["topics"], tables["qrels"])
 
 
@@ -321,6 +354,66 @@ def m2_generate(spark, sf):
     return generate(prompts, make_test_generator, n=2, tasks=8)
 
 
+M1_SQL = f"""WITH texts AS (SELECT DISTINCT sha256(text) AS text_key, text FROM documents),
+    {text_counts_sql("tv", "texts", "text_key", "text")}
+    SELECT text_key, list(coalesce(c, 0)::DOUBLE ORDER BY i) AS vec
+    FROM (SELECT text_key, i FROM texts, range(32) r(i))
+    LEFT JOIN (SELECT text_key, d AS i, c FROM tv) USING (text_key, i) GROUP BY text_key"""
+
+
+@query("m1_overwrite", M1_SQL, vector="vec")
+def m1_overwrite(spark, sf):
+    """Texts of which some have a stale vector in the store, all encoded again and replaced."""
+    store = vector_store(new_folder(spark, "vectors"), "counts", "documents")
+    texts = documents(spark, sf)
+    stale = distinct_texts(texts).where("text_key < '8'")
+    store.append(stale.select("text_key", F.array(F.lit(-1.0)).alias("vec")))
+    return embed(texts, store, make_test_encoder, tasks=8, mode="overwrite")
+
+
+@query("m1_stored_only", M1_SQL, vector="vec")
+def m1_stored_only(spark, sf):
+    """Vectors of texts that are all stored; nothing is encoded."""
+    store = vector_store(new_folder(spark, "vectors"), "counts", "documents")
+    texts = documents(spark, sf)
+    embed(texts, store, make_test_encoder, tasks=8)
+    return embed(texts, store, None, mode="stored")
+
+
+def make_unsteady_generator():
+    """The stand-in generator; some prompts always fail, some the first time they are asked alone."""
+    import hashlib
+
+    inner, asked = make_test_generator(), set()
+
+    def complete(prompts, n, temperature):
+        marks = {p: hashlib.md5(p.encode()).hexdigest()[0] for p in prompts}
+        if any(m in "01" for m in marks.values()):
+            raise RuntimeError("broken prompt")
+        if any(m in "2345" for m in marks.values()):
+            if len(prompts) > 1 or prompts[0] not in asked:
+                asked.update(prompts if len(prompts) == 1 else ())
+                raise RuntimeError("busy, please try again")
+        return inner(prompts, n, temperature)
+
+    return complete
+
+
+@query(
+    "m3_retry",
+    """SELECT sha256(text) AS prompt_key, choice::INTEGER AS choice,
+        CASE WHEN substr(md5(text), 1, 1) >= '2' THEN 'Questions:' || chr(10) || '1. '
+            || replace(text, '. ', '?' || chr(10) || '2. ') || '####tail' END AS text
+       FROM (SELECT DISTINCT text FROM documents), range(2) r(choice)
+       WHERE substr(md5(text), 1, 1) >= '2' OR choice = 0""",
+)
+def m3_retry(spark, sf):
+    """Prompts that fail for good get a null, those that fail once are asked again."""
+    rows = distinct_texts(documents(spark, sf))
+    prompts = rows.select(F.col("text_key").alias("prompt_key"), F.col("text").alias("prompt"))
+    return generate(prompts, make_unsteady_generator, n=2, tasks=8, retries=1, wait=0.0, raises=False)
+
+
 ONE_COMPLETION = """
 completions AS (SELECT DISTINCT prompt_key, 0 AS choice, 'Questions:' || chr(10) || '1. '
                 || replace(context, '. ', '?' || chr(10) || '2. ') || '####tail' AS text FROM asked)
@@ -368,7 +461,7 @@ def c6_question_statistics(spark, sf):
     means AS (SELECT qid, i, avg(vec[i]) AS m FROM placed JOIN emb USING (vec_id),
               range(1, 65) r(i) GROUP BY qid, i),
     averaged AS (SELECT qid, list(m ORDER BY i) AS vec FROM means GROUP BY qid),
-    sims AS (SELECT qid, docid, list_dot_product(averaged.vec, cv.vec) AS score FROM averaged, cv)
+    sims AS (SELECT qid, docid, list_dot_product(averaged.vec, dv.vec) AS score FROM averaged, dv)
     SELECT qid, docid, round(score, 6) AS score,
            row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid)::INTEGER AS rank
     FROM sims QUALIFY rank <= 20""",
@@ -382,7 +475,7 @@ def c9_passage_search(spark, sf):
     titles = looked_up_vectors(spark, sf, asked, "title")
     own = asked.withColumn("text_key", text_key(F.col("title"))).join(titles, "text_key")
     vecs = passage_vectors(asked, passages, looked_up_vectors(spark, sf, passages, "passage"))
-    hits = search_with_passages(own, vecs, context_vectors(spark, sf), 20)
+    hits = search_with_passages(own, vecs, document_vectors(spark, sf), 20)
     return rounded(hits, "score")
 
 
@@ -500,3 +593,147 @@ def c14_experiment_log(spark, sf):
     names = ["topic", "indexer_name", "encoder_name", "method", "first_n", "question_coef"]
     scores = ["indexer_ndcg", "encoder_ndcg", "reranked_ndcg"]
     return rows.select(*names, *[F.round(c, 6).alias(c) for c in scores])
+
+
+# --- the other branches, with an encoder whose scores never tie -----------
+
+PASSAGE_HEAD, PASSAGE_TAIL = (
+    "Please write a passage to answer the question.\nQuestion: ",
+    "\nEnd your passage with ####\nPassage:",
+)
+
+
+def dense_ranking_sql(base: str) -> str:
+    """Tables of a whole dense ranking: ``first``, ``base`` by the given SQL, ``reranked``."""
+    return f"""WITH {TOPICS}, {TEXT_QRELS}, {CONTEXTS}, {PROMPTS}, {ONE_COMPLETION},
+    {questions_sql()}, {ASKED_QUESTIONS},
+    wanted AS (SELECT qid, title, {hash_vector_sql("title")} AS vec, {hash_vector_sql("title", "i")} AS ivec
+               FROM topics WHERE qid IN (SELECT qid FROM qrels)),
+    held AS (SELECT docid, prompt_key, {hash_vector_sql("context")} AS vec,
+                    {hash_vector_sql("context", "i")} AS ivec FROM asked),
+    {base},
+    heads AS (SELECT qid, docid FROM base WHERE rank <= 30),
+    asked_vecs AS (SELECT question, {hash_vector_sql("question")} AS qvec FROM (
+        SELECT DISTINCT question FROM cut_questions WHERE docid IN (SELECT docid FROM heads))),
+    best AS (SELECT qid, docid, max(list_dot_product(vec, qvec)) AS question_score
+             FROM heads JOIN cut_questions USING (docid) JOIN asked_vecs USING (question)
+             JOIN wanted USING (qid) GROUP BY ALL),
+    scored AS (SELECT qid, docid, rank AS base_rank,
+                 CASE WHEN rank <= 30 THEN score + coalesce(0.4::DOUBLE * question_score, 0)
+                      ELSE score - 1e6 END AS score
+               FROM base LEFT JOIN best USING (qid, docid))
+    SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY base_rank > 30,
+        CASE WHEN base_rank <= 30 THEN score END DESC, base_rank)::INTEGER AS rank, base_rank,
+        round(score, 6) AS score FROM scored"""
+
+
+def first_sql(name: str, vec: str) -> str:
+    return f"""{name} AS (SELECT qid, docid, list_dot_product(wanted.{vec}, held.{vec}) AS score,
+        row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(wanted.{vec}, held.{vec}) DESC, docid)::INTEGER
+        AS rank FROM wanted, held QUALIFY rank <= 100)"""
+
+
+def _hash_vectors(df, key, text, salt=""):
+    """Vectors of the stand-in encoder of hashes, for an index."""
+    keyed = df.select(F.col(key), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"))
+    found = encode_texts(distinct_texts(keyed), partial(make_hash_encoder, 16, salt), tasks=8)
+    return keyed.join(found, "text_key").select(key, "vec")
+
+
+def _dense_ranking(spark, sf, indexer, encoder, salt):
+    wanted, texts = topics(spark, sf), document_contexts(spark, sf)
+    folder = new_folder(spark, "stores")
+    runs = end_to_end(
+        Setting(topic="documents", indexer=indexer, encoder=encoder),
+        wanted,
+        text_qrels(spark, sf),
+        corpus(spark, sf),
+        _hash_vectors(wanted, "qid", "title", salt),
+        stage(_hash_vectors(texts, "docid", "context", salt)),
+        generated_store(f"{folder}/generated", "questions", "test", "documents"),
+        generated_store(f"{folder}/generated", "passages", "test", "documents", n=8),
+        vector_store(f"{folder}/vectors", "hashes", "documents"),
+        make_test_generator,
+        partial(make_hash_encoder, 16),
+        tasks=8,
+    )
+    return rounded(runs.reranked.select("qid", "docid", "rank", "base_rank", "score"), "score")
+
+
+@query("c14_dense_first", dense_ranking_sql(first_sql("base", "vec")))
+def c14_dense_first(spark, sf):
+    """The encoder is that of the index: its hits go to the question rerank as they are."""
+    return _dense_ranking(spark, sf, "hashes", "hashes", "")
+
+
+@query(
+    "c14_dense_vectors",
+    dense_ranking_sql(
+        first_sql("hits", "ivec")
+        + """, again AS (SELECT qid, docid, hits.rank AS place, list_dot_product(wanted.vec, held.vec) AS score
+               FROM hits JOIN wanted USING (qid) JOIN held USING (docid)),
+        base AS (SELECT qid, docid, score, row_number() OVER (
+                   PARTITION BY qid ORDER BY score DESC, place)::INTEGER AS rank FROM again)"""
+    ),
+)
+def c14_dense_vectors(spark, sf):
+    """Another encoder than that of the index scores its hits again."""
+    return _dense_ranking(spark, sf, "index", "hashes", "i")
+
+
+WRITTEN = f"""
+    written AS (SELECT qid, 'Questions:' || chr(10) || '1. ' || replace('{PASSAGE_HEAD}' || title
+                  || '{PASSAGE_TAIL}', '. ', '?' || chr(10) || '2. ') || '####tail' AS text FROM wanted)"""
+AVERAGED = """
+    dims AS (SELECT qid, i, sum(vec[i] * times) / sum(times) AS m FROM parts, range(1, 17) r(i) GROUP BY qid, i),
+    averaged AS (SELECT qid, list(m ORDER BY i) AS mean_vec FROM dims GROUP BY qid)"""
+
+
+@query(
+    "c14_passages",
+    dense_ranking_sql(
+        WRITTEN
+        + f""",
+        lines AS (SELECT qid, {strip_sql("unnest(string_split_regex(split_part(text, '####', 1), '\\r\\n|[\\n\\r]'))")}
+                    AS line FROM written),
+        parts AS (SELECT qid, {hash_vector_sql("line")} AS vec, 8 AS times FROM lines
+                  UNION ALL SELECT qid, vec, 1 FROM wanted), {AVERAGED},
+        base AS (SELECT qid, docid, list_dot_product(mean_vec, held.vec) AS score, row_number() OVER (
+                   PARTITION BY qid ORDER BY list_dot_product(mean_vec, held.vec) DESC, docid)::INTEGER AS rank
+                 FROM averaged, held QUALIFY rank <= 100)"""
+    ),
+)
+def c14_passages(spark, sf):
+    """Hits of each topic's vector averaged with those of the lines of its eight passages."""
+    return _dense_ranking(spark, sf, "hashes", "hyde-hashes", "")
+
+
+@query(
+    "c10_whole_completions",
+    f"""WITH {TOPICS}, {CONTEXTS},
+    wanted AS (SELECT qid, title, {hash_vector_sql("title")} AS vec FROM topics),
+    {WRITTEN},
+    parts AS (SELECT qid, {hash_vector_sql("text")} AS vec, 8 AS times FROM written
+              UNION ALL SELECT qid, vec, 1 FROM wanted), {AVERAGED},
+    held AS (SELECT docid, {hash_vector_sql("context")} AS vec FROM ctx)
+    SELECT qid, docid, round(list_dot_product(mean_vec, held.vec), 6) AS score, row_number() OVER (
+        PARTITION BY qid ORDER BY list_dot_product(mean_vec, held.vec) DESC, docid)::INTEGER AS rank
+    FROM averaged, held QUALIFY rank <= 10""",
+)
+def c10_whole_completions(spark, sf):
+    """Prompt, eight completions, their vectors and the title's averaged, and the search with it."""
+    wanted, folder = topics(spark, sf), new_folder(spark, "stores")
+    hits = passage_search(
+        wanted,
+        stage(_hash_vectors(wanted, "qid", "title")),
+        _hash_vectors(document_contexts(spark, sf), "docid", "context"),
+        Setting(topic="documents"),
+        generated_store(f"{folder}/generated", "completions", "test", "documents", n=8),
+        vector_store(f"{folder}/vectors", "hashes", "documents"),
+        make_test_generator,
+        partial(make_hash_encoder, 16),
+        tasks=8,
+        whole=True,
+        k=10,
+    )
+    return rounded(hits, "score")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ctxrank.functions.vectors import cosine, dot, flatten_vector, norm, unit
 from ctxrank.operators.evaluate import mean_ndcg, ndcg_per_query
 from ctxrank.operators.hypodocs import averaged_queries, search_with_passages
-from ctxrank.operators.questions import sample_questions, sampled_scores
-from ctxrank.operators.ranking import fingerprint, rank_shift, score_range
+from ctxrank.operators.questions import sample_questions, sampled_scores, sampling_statistics
+from ctxrank.operators.ranking import fingerprint, rank_shift, score_range, top_k
 from ctxrank.operators.rerank import (
     document_statistics,
     head,
@@ -18,14 +18,17 @@ from ctxrank.operators.rerank import (
     score_candidates,
 )
 from ctxrank.operators.search import dense_topk, judged
-from ctxrank.plans.sweep import compare, encoder_grid, grid, sweep
+from ctxrank.plans.sweep import compare, encoder_grid, grid, sampling_grid, sweep
 from ctxrank.session import stage
 from ctxrank.sources.trec import parse_run, run_lines
 from workload.fixtures import (
+    DOCUMENT_QRELS,
     QUESTION_STATS,
     VECTOR_QRELS,
     VECTORS,
     context_vectors,
+    document_qrels,
+    document_vectors,
     ndcg_sql,
     query_vectors,
     question_table,
@@ -39,6 +42,8 @@ from workload.registry import query
 
 K = 50
 HITS = vector_hits_sql(K)
+# Hits among all rows of the table.
+DOCUMENT_HITS = vector_hits_sql(K, "dv")
 
 
 def statistics(spark, sf, pairs, with_spread=True):
@@ -166,56 +171,72 @@ def a7_hypodoc_vector(spark, sf):
 
 @query(
     "c2_dense_topk",
-    f"""WITH {VECTORS}, {HITS}
+    f"""WITH {VECTORS}, {DOCUMENT_HITS}
     SELECT qid, docid, rank, round(score, 6) AS score FROM hits""",
 )
 def c2_dense_topk(spark, sf):
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), K)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), K)
     return rounded(hits, "score")
 
 
 @query(
     "c2_dense_topk_cells",
-    f"""WITH {VECTORS}, {HITS}
+    f"""WITH {VECTORS}, {DOCUMENT_HITS}
     SELECT qid, docid, rank, round(score, 6) AS score FROM hits""",
 )
 def c2_dense_topk_cells(spark, sf):
     """The same search in blocks of queries, as for query sides too large to broadcast."""
-    queries, contexts = query_vectors(spark, sf), context_vectors(spark, sf)
-    hits = dense_topk(queries, contexts, K, broadcast_bytes=8192)
+    queries, docs = query_vectors(spark, sf), document_vectors(spark, sf)
+    hits = dense_topk(queries, docs, K, broadcast_bytes=8192)
     return rounded(hits, "score")
 
 
 @query(
     "p1_judged_topics",
     f"""WITH {VECTORS}, {VECTOR_QRELS}
-    SELECT qid, label FROM qv WHERE qid IN (SELECT qid FROM qrels WHERE rel = 2)""",
+    SELECT qid, label FROM qv WHERE qid IN (SELECT qid FROM qrels)""",
 )
 def p1_judged_topics(spark, sf):
-    relevant = vector_qrels(spark, sf).where("rel = 2")
-    return judged(query_vectors(spark, sf), relevant).select("qid", "label")
+    return judged(query_vectors(spark, sf), vector_qrels(spark, sf)).select("qid", "label")
 
 
 @query(
     "c10_hypodoc_search",
     f"""WITH {VECTORS}, passages AS (
-        SELECT qv.qid, hv.vec FROM qv JOIN cv USING (label) JOIN hv USING (docid)),
+        SELECT qv.qid, emb.vec FROM qv JOIN emb ON g = qid // 5 AND vec_id <> qid),
     both_vecs AS (SELECT qid, vec FROM qv UNION ALL SELECT qid, vec FROM passages),
     means AS (SELECT qid, i, avg(vec[i]) AS m FROM both_vecs, range(1, 65) r(i) GROUP BY qid, i),
     averaged AS (SELECT qid, list(m ORDER BY i) AS vec FROM means GROUP BY qid),
-    sims AS (SELECT qid, docid, list_dot_product(averaged.vec, cv.vec) AS score
-             FROM averaged, cv)
+    sims AS (SELECT qid, docid, list_dot_product(averaged.vec, dv.vec) AS score
+             FROM averaged, dv)
     SELECT qid, docid, round(score, 6) AS score,
            row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid)::INTEGER AS rank
     FROM sims QUALIFY rank <= 10""",
 )
 def c10_hypodoc_search(spark, sf):
-    """Each query's passages are the question vectors of the contexts with its label."""
+    """Each query's passages are the other vectors of its group; any row may be found."""
     queries = query_vectors(spark, sf)
-    contexts = context_vectors(spark, sf)
-    labelled = question_table(spark, sf).join(contexts.select("docid", "label"), "docid")
-    passages = queries.select("qid", "label").join(labelled, "label").select("qid", "vec")
-    return rounded(search_with_passages(queries, passages, contexts, 10), "score")
+    mates = vectors(spark, sf).select("vec_id", "g", "vec")
+    group = queries.select("qid", F.floor(F.col("qid") / 5).alias("g"))
+    passages = group.join(mates, "g").where("vec_id <> qid").select("qid", "vec")
+    return rounded(search_with_passages(queries, passages, document_vectors(spark, sf), 10), "score")
+
+
+@query(
+    "t1_deep_topk",
+    """SELECT l_linestatus AS qid, l_orderkey * 8 + l_linenumber AS docid, l_extendedprice::DOUBLE AS score,
+              row_number() OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice DESC,
+                  l_orderkey * 8 + l_linenumber)::INTEGER AS rank
+       FROM lineitem QUALIFY rank <= 20000""",
+)
+def t1_deep_topk(spark, sf):
+    """The 20,000 best rows of two keys, deeper than Spark limits its tasks to."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.col("l_linestatus").alias("qid"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("docid"),
+        F.col("l_extendedprice").cast("double").alias("score"),
+    )
+    return top_k(rows, 20_000)
 
 
 # --- runs ----------------------------------------------------------------
@@ -223,13 +244,13 @@ def c10_hypodoc_search(spark, sf):
 
 @query(
     "s5_run_first100",
-    f"""WITH {VECTORS}, {vector_hits_sql(1000)}
+    f"""WITH {VECTORS}, {vector_hits_sql(1000, "dv")}
     SELECT qid, rank, qid || ' Q0 ' || docid || ' ' || rank AS head,
            round(score, 6) AS score FROM hits WHERE rank <= 100""",
 )
 def s5_run_first100(spark, sf):
     """The run lines of deep hits, cut at 100 and parsed again."""
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), 1000)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), 1000)
     run = parse_run(run_lines(hits).withColumnRenamed("line", "value"))
     return run.select(
         F.col("qid").cast("bigint").alias("qid"),
@@ -241,32 +262,43 @@ def s5_run_first100(spark, sf):
 
 @query(
     "f16_fingerprint",
-    f"""WITH {VECTORS}, {HITS}
+    f"""WITH {VECTORS}, {DOCUMENT_HITS}
     SELECT qid, sha256(string_agg(docid::VARCHAR, '' ORDER BY rank)) AS fingerprint
     FROM hits GROUP BY qid""",
 )
 def f16_fingerprint(spark, sf):
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), K)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), K)
     return fingerprint(hits)
 
 
 @query(
     "a10_score_range",
-    f"""WITH {VECTORS}, {HITS}
+    f"""WITH {VECTORS}, {DOCUMENT_HITS}
     SELECT qid, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score
     FROM hits GROUP BY qid""",
 )
 def a10_score_range(spark, sf):
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), K)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), K)
     return rounded(score_range(hits), "min_score", "max_score")
 
 
 # --- reranking -----------------------------------------------------------
 
 
+OTHER_VECTORS = """
+own_dims AS (SELECT docid, i, avg(vec[i]) AS m FROM hv, range(1, 65) r(i) GROUP BY docid, i),
+own AS (SELECT docid, list(m ORDER BY i) AS vec FROM own_dims GROUP BY docid)
+"""
+
+
+def other_vectors(spark, sf):
+    """A second embedding of each document: the mean of its question vectors."""
+    stats = document_statistics(question_table(spark, sf))
+    return stage(stats.select("docid", F.col("mean_vec").alias("vec")))
+
+
 def _other_vector_sql(score: str, cut: str) -> str:
-    return f"""WITH {VECTORS}, {HITS}, own AS (
-        SELECT docid, vec FROM hv WHERE pos = 0),
+    return f"""WITH {VECTORS}, {HITS}, {OTHER_VECTORS},
     again AS (SELECT qid, docid, rank AS previous, {score} AS score
               FROM hits JOIN qv USING (qid) JOIN own USING (docid))
     SELECT qid, docid, round(score, 6) AS score,
@@ -275,8 +307,7 @@ def _other_vector_sql(score: str, cut: str) -> str:
 
 
 def _rerank_other(spark, sf, method, k):
-    """Rerank by a second embedding: each document's first question vector."""
-    other = question_table(spark, sf).where("pos = 0")
+    other = other_vectors(spark, sf)
     hits = vector_hits(spark, sf, K)
     return rounded(rerank_by_vector(hits, query_vectors(spark, sf), other, k, method), "score")
 
@@ -306,13 +337,13 @@ def c4_rerank_other_method(spark, sf):
 
 @query(
     "a4_question_similarity",
-    f"""WITH {VECTORS}, {QUESTION_STATS}
+    f"""WITH {VECTORS}, {HITS}, {QUESTION_STATS}
     SELECT qid, docid, questions, round(max_sim, 6) AS max_sim, round(mean_sim, 6) AS mean_sim
-    FROM stats""",
+    FROM hits JOIN stats USING (qid, docid)""",
 )
 def a4_question_similarity(spark, sf):
-    hits = vector_hits(spark, sf, spark.read.parquet(f"{sf}/embeddings.parquet").count())
-    stats = statistics(spark, sf, hits, with_spread=False)
+    """Best and mean similarity of each query's hits."""
+    stats = statistics(spark, sf, vector_hits(spark, sf, K), with_spread=False)
     return rounded(stats.drop("spread"), "max_sim", "mean_sim")
 
 
@@ -445,23 +476,24 @@ def c11_ndcg10(spark, sf):
 
 @query(
     "a12_mean_ndcg",
-    f"""WITH {VECTORS}, {VECTOR_QRELS}, {HITS}, {ndcg_sql("hits")}
+    f"""WITH {VECTORS}, {DOCUMENT_QRELS}, {DOCUMENT_HITS}, {ndcg_sql("hits")}
     SELECT 'first' AS run_id, round(sum(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal
            ELSE 0 END) / count(*), 6) AS ndcg
     FROM ideal LEFT JOIN dcgs USING (qid)""",
 )
 def a12_mean_ndcg(spark, sf):
-    hits = dense_topk(query_vectors(spark, sf), context_vectors(spark, sf), K)
+    hits = dense_topk(query_vectors(spark, sf), document_vectors(spark, sf), K)
     run = hits.withColumn("run_id", F.lit("first"))
-    return rounded(mean_ndcg(run, vector_qrels(spark, sf)), "ndcg")
+    return rounded(mean_ndcg(run, document_qrels(spark, sf)), "ndcg")
 
 
 @query(
     "c13_compare",
     f"""WITH {VECTORS}, {VECTOR_QRELS}, {HITS}, {QUESTION_STATS},
     {rerank_sql("max_sim", 0.4, 30)},
-    base AS (SELECT qid, docid, list_dot_product(qv.vec, hv.vec) AS score
-             FROM hits JOIN qv USING (qid) JOIN hv USING (docid) WHERE pos = 0),
+    {OTHER_VECTORS},
+    base AS (SELECT qid, docid, list_dot_product(qv.vec, own.vec) AS score
+             FROM hits JOIN qv USING (qid) JOIN own USING (docid)),
     runs AS (SELECT 'first' AS run_id, qid, docid, score FROM hits
              UNION ALL SELECT 'base', qid, docid, score FROM base
              UNION ALL SELECT 'reranked', qid, docid, score FROM reranked),
@@ -476,7 +508,7 @@ def c13_compare(spark, sf):
     scores = score_candidates(head(hits), queries, questions)
     runs = {
         "first": hits,
-        "base": rerank_by_vector(hits, queries, questions.where("pos = 0"), K),
+        "base": rerank_by_vector(hits, queries, other_vectors(spark, sf), K),
         "reranked": rerank_by_questions(hits, scores),
     }
     return rounded(compare(runs, vector_qrels(spark, sf)), "ndcg")
@@ -511,8 +543,9 @@ def c12_sweep(spark, sf):
 @query(
     "c12_encoder_sweep",
     f"""WITH {VECTORS}, {VECTOR_QRELS}, {HITS}, {QUESTION_STATS},
-    again AS (SELECT qid, docid, rank AS previous, list_dot_product(qv.vec, hv.vec) AS score
-              FROM hits JOIN qv USING (qid) JOIN hv USING (docid) WHERE pos = 0),
+    {OTHER_VECTORS},
+    again AS (SELECT qid, docid, rank AS previous, list_dot_product(qv.vec, own.vec) AS score
+              FROM hits JOIN qv USING (qid) JOIN own USING (docid)),
     both_hits AS (SELECT 'contriever' AS encoder, 2.0::DOUBLE AS question_coef, qid, docid, score,
                          rank FROM hits
                   UNION ALL SELECT 'bge-base-en-v1.5', 0.03, qid, docid, score, row_number() OVER (
@@ -532,7 +565,7 @@ def c12_encoder_sweep(spark, sf):
     """The sweep over two encoders' base runs, each with its own question weight."""
     hits = vector_hits(spark, sf, K)
     queries, questions = query_vectors(spark, sf), question_table(spark, sf)
-    other = rerank_by_vector(hits, queries, questions.where("pos = 0"), K)
+    other = rerank_by_vector(hits, queries, other_vectors(spark, sf), K)
     names = ["contriever", "bge-base-en-v1.5"]
     runs = [stage(r.withColumn("encoder", F.lit(n))) for n, r in zip(names, (hits, other))]
     stats = [
@@ -547,3 +580,64 @@ def c12_encoder_sweep(spark, sf):
         keys=("encoder",),
     )
     return rounded(found, "ndcg")
+
+
+# Sets of questions by number of completions and temperature: two a document, and all.
+ANSWERS = [(1, 0.1), (2, 1.0)]
+RATIOS = (0.25, 0.5, 1.0)
+SAMPLING_CELLS = sampling_grid(grid((0.4,), first_n=(30, 10), spread_coefs=(0.0, 0.1)), RATIOS, ANSWERS)
+
+
+@query(
+    "c12_sampling_sweep",
+    f"""WITH {VECTORS}, {VECTOR_QRELS}, {HITS},
+    answers AS (SELECT * FROM (VALUES (1::INTEGER, 0.1::DOUBLE), (2, 1.0)) t(n, temperature)),
+    asked AS (SELECT n, temperature, docid, pos, vec FROM hv, answers WHERE n = 2 OR pos < 2),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY n, docid, draw
+                  ORDER BY md5('7,' || draw || ',' || docid || ',' || pos), pos) AS place,
+                count(*) OVER (PARTITION BY n, docid, draw) AS size FROM asked, range(10) r(draw)),
+    kept AS (SELECT n, temperature, downsample, docid, draw, vec
+             FROM ordered, (VALUES (0.25::DOUBLE), (0.5), (1.0)) t(downsample)
+             WHERE place <= ceil(size * downsample)),
+    draw_dims AS (SELECT n, temperature, downsample, docid, draw, i, var_pop(vec[i]) AS v
+                  FROM kept, range(1, 65) r(i) GROUP BY ALL),
+    draw_spreads AS (SELECT n, temperature, downsample, docid, draw, avg(v) AS spread
+                     FROM draw_dims GROUP BY ALL),
+    draw_sims AS (SELECT n, temperature, downsample, qid, docid, draw,
+                    max(list_dot_product(qv.vec, kept.vec)) AS best,
+                    avg(list_dot_product(qv.vec, kept.vec)) AS mean
+                  FROM (SELECT * FROM hits WHERE rank <= 30) JOIN qv USING (qid)
+                  JOIN kept USING (docid) GROUP BY ALL),
+    sampled AS (SELECT n, temperature, downsample, qid, docid, avg(best) AS max_sim,
+                  avg(mean) AS mean_sim, avg(spread) AS spread
+                FROM draw_sims JOIN draw_spreads USING (n, temperature, downsample, docid, draw)
+                GROUP BY ALL),
+    cells AS (SELECT method, first_n, 0.4::DOUBLE AS question_coef, spread_coef, n, temperature, downsample
+              FROM (VALUES ('max'), ('mean')) a(method), (VALUES (30), (10)) b(first_n),
+                   (VALUES (0.0::DOUBLE), (0.1)) c(spread_coef), answers,
+                   (VALUES (0.25::DOUBLE), (0.5), (1.0)) d(downsample)),
+    runs AS (SELECT cells.*, h.qid, h.docid, CASE WHEN rank <= first_n THEN score + question_coef *
+                (CASE method WHEN 'mean' THEN mean_sim ELSE max_sim END - cells.spread_coef * spread)
+                ELSE score - 1e6 END AS score
+             FROM hits h CROSS JOIN cells JOIN sampled s ON s.qid = h.qid AND s.docid = h.docid
+                 AND s.n = cells.n AND s.downsample = cells.downsample),
+    {ndcg_sql("runs", "downsample, n, temperature, method, first_n, question_coef, spread_coef,")}
+    SELECT downsample, n, temperature, method, first_n, question_coef, spread_coef,
+           round(sum(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END)
+                 / (SELECT count(*) FROM ideal), 6) AS ndcg
+    FROM dcgs JOIN ideal USING (qid) GROUP BY ALL""",
+)
+def c12_sampling_sweep(spark, sf):
+    """The sweep over shares of drawn questions and over what made the questions, from one pass."""
+    hits = vector_hits(spark, sf, K)
+    questions = question_table(spark, sf)
+    sets = [
+        questions.where("pos < 2 or " + str(n == 2).lower()).select(
+            F.lit(n).alias("n"), F.lit(temperature).alias("temperature"), "docid", "pos", "vec"
+        )
+        for n, temperature in ANSWERS
+    ]
+    stats = sampling_statistics(
+        head(hits), query_vectors(spark, sf), sets[0].unionByName(sets[1]), RATIOS, seed=7, keys=("n", "temperature")
+    )
+    return rounded(sweep(hits, stats, vector_qrels(spark, sf), SAMPLING_CELLS), "ndcg")
