@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ctxrank.functions.vectors import as_matrix
 from ctxrank.operators.ranking import top_k
-from ctxrank.session import BROADCAST_BYTES, matching, stage, table_bytes
+from ctxrank.session import BROADCAST_BYTES, matching, row_bytes, stage
 
 
 def judged(topics: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def dense_topk(
     queries = queries.select("qid", "vec").where("vec is not null")
     docs = docs.select("docid", "vec").where("vec is not null")
     docs = _in_few_tasks(docs, scan_tasks)
-    scans = [_scan_search(block, docs, k) for block in _blocks(queries, broadcast_bytes)]
+    scans = [_scan_search(block, docs, k) for block in _blocks(queries, broadcast_bytes, k)]
     return top_k(reduce(DataFrame.unionByName, scans), k)
 
 
@@ -148,9 +148,10 @@ def _in_few_tasks(docs: DataFrame, tasks: int | None) -> DataFrame:
     return docs.coalesce(tasks)
 
 
-def _blocks(queries: DataFrame, bytes_each: int) -> list[DataFrame]:
-    """The queries in blocks of about ``bytes_each``."""
-    blocks = max(1, -(-table_bytes(queries) // bytes_each))
+def _blocks(queries: DataFrame, bytes_each: int, k: int, entries: int = 4_000_000) -> list[DataFrame]:
+    """The queries in blocks of about ``bytes_each``, and of at most about ``entries`` hits."""
+    size, n = queries.agg(F.sum(row_bytes(queries)), F.count_distinct("qid")).first()
+    blocks = max(1, -(-(size or 0) // bytes_each), -(-n * k // entries))
     if blocks == 1:
         return [queries]
     block, queries = F.pmod(F.xxhash64("qid"), F.lit(blocks)), stage(queries)
@@ -232,7 +233,7 @@ def sparse_topk(
     if not gathered:
         postings = term_index(matching(postings, queries, "term", broadcast_bytes))
     index = _in_few_tasks(postings.select("docid", "terms", "weights"), scan_tasks)
-    scans = [_scan_terms(block, index, k) for block in _blocks(queries, broadcast_bytes)]
+    scans = [_scan_terms(block, index, k) for block in _blocks(queries, broadcast_bytes, k)]
     return top_k(reduce(DataFrame.unionByName, scans), k)
 
 
@@ -288,7 +289,8 @@ def _scan_terms(queries: DataFrame, index: DataFrame, k: int, entries: int = 4_0
                     col = cells // (high - low)
                     kept.append((col, scores[cells], ids[low + cells % (high - low)]))
                     held += len(cells)
-                if held > 2 * k * count or held > entries:
+                # A block's queries have no more than about ``entries`` hits.
+                if held > max(2 * k * count, 100_000):
                     kept = _merge(kept, floor, k)
                     held = sum(len(part[0]) for part in kept)
                 low = high

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 
+# Paths of the tables staged so far.
+_STAGED: list[str] = []
+
 # Settings for a cluster session. Partitions of the vector scan are large so
 # that each task's running top-k covers many rows; AQE sizes the shuffles.
 SETTINGS = {
@@ -61,9 +64,17 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables this session has staged, for when all results that read them are written."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scanned table with fewer splits than two per core, spread over the cores.
 
@@ -107,14 +118,19 @@ def value_bytes(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(24).cast("long")
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a table in bytes, by a sum over its rows; the check before a broadcast."""
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row in bytes."""
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
         fixed = _fixed_bytes(field.dataType)
         column = F.col(f"`{field.name}`")
         size = size + (value_bytes(column, field.dataType) if fixed is None else max(fixed, 16))
-    return df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    return size
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of a table in bytes, by a sum over its rows; the check before a broadcast."""
+    return df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
 
 
 def broadcast_within(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame | None:

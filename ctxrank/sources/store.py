@@ -18,11 +18,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxrank.session import broadcast_within, matching, stage, table_bytes
+from ctxrank.session import broadcast_within, matching, new_folder, stage, table_bytes
 
 GENERATED = (
     "prompt_key STRING, pos INT, text STRING,"
@@ -34,10 +34,10 @@ VECTORS = "text_key STRING, vec ARRAY<DOUBLE>, encoder STRING, topic STRING"
 LOOKUP_BYTES = 32 << 20
 # Fewer files than this are read without looking at their filters.
 FEW_FILES = 8
-BLOOM_HASHES = 3
-BLOOM_BITS_PER_KEY = 10
-# Fixed value: the bits of one bitmap of ``bitmap_construct_agg``.
-BITMAP = 32768
+# Rows of fewer bytes are written as one file.
+SMALL_BYTES = 32 << 20
+BLOOM_HASHES = 8
+BLOOM_BITS_PER_KEY = 16
 
 
 def overlay(winner: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -114,6 +114,9 @@ class _Files:
             raise
         return True
 
+    def size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._hadoop.Path(path)).getLength()
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._hadoop.Path(path), True)
 
@@ -168,14 +171,21 @@ class Store:
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def _write(self, rows: DataFrame) -> list[str]:
-        """Write staged rows as files clustered by key, and the table of their ranges and filters."""
+        """Write rows as files clustered by key, and the table of their ranges and filters.
+
+        The rows are staged, as clustering reads them twice.
+        """
         spark, folder = rows.sparkSession, uuid.uuid4().hex
-        path = f"{self.folder}/data/{folder}"
-        clustered = rows.select(*self._schema(spark).names).repartitionByRange(self.key)
-        clustered.sortWithinPartitions(self.key).write.option("maxRecordsPerFile", self.rows_per_file).parquet(path)
-        files = f"{self.folder}/files/{folder}"
-        described(spark.read.schema(self._schema(spark)).parquet(path), self.key).write.parquet(files)
-        return [f"{folder}/{r['file']}" for r in spark.read.parquet(files).select("file").collect()]
+        schema, draft = self._schema(spark), new_folder(spark, "rows")
+        rows.select(*schema.names).write.parquet(draft)
+        rows = spark.read.schema(schema).parquet(draft)
+        small = _Files(spark, draft).size(draft) < SMALL_BYTES
+        rows = rows.coalesce(1) if small else rows.repartitionByRange(self.key)
+        path, files = f"{self.folder}/data/{folder}", f"{self.folder}/files/{folder}"
+        rows.sortWithinPartitions(self.key).write.option("maxRecordsPerFile", self.rows_per_file).parquet(path)
+        described(spark.read.schema(schema).parquet(path), self.key).write.parquet(files)
+        described_files = spark.read.schema(_description(schema, self.key)).parquet(files)
+        return [f"{folder}/{r['file']}" for r in described_files.select("file").collect()]
 
     # --- reading -----------------------------------------------------------
 
@@ -187,16 +197,25 @@ class Store:
         """The live files that may hold one of the keys, by their ranges and Bloom filters."""
         if len(version.files) <= FEW_FILES:
             return version.files
+        spark = keys.sparkSession
         wanted = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
-        hashes = F.array(*_hashes(self.key)).alias("hashes")
         if table_bytes(wanted) > LOOKUP_BYTES:
             return version.files
-        table = wanted.select(self.key, hashes).orderBy(self.key).toArrow().combine_chunks()
-        spark = keys.sparkSession
-        shared = spark.sparkContext.broadcast((table.column(0).to_pylist(), table.column(1).to_pylist()))
-        found = _described(spark, self.folder, version).mapInArrow(_may_hold(shared), "path STRING")
+        table = wanted.select(self.key, _hash(self.key)).orderBy(self.key).toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((table.column(0).to_pylist(), table.column(1).to_numpy()))
+        found = self._described(spark, version).mapInArrow(_may_hold(shared), "path STRING")
         return version.files & {r["path"] for r in found.collect()}
 
+    def _described(self, spark: SparkSession, version: Version) -> DataFrame:
+        """The live files of a version with their description, and ``path`` as ``folder/file``."""
+        schema = _description(self._schema(spark), self.key)
+        if not version.files:
+            return spark.createDataFrame([], schema).withColumn("path", F.col("file"))
+        tables = spark.read.schema(schema).parquet(*[f"{self.folder}/files/{f}" for f in version.folders()])
+        own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        live = spark.createDataFrame([(f,) for f in sorted(version.files)], "path STRING")
+        return tables.withColumn("path", F.concat_ws("/", own, "file")).join(F.broadcast(live), "path", "left_semi")
+
     def lookup(self, wanted: DataFrame, version: Version | None = None) -> DataFrame:
         """The stored rows of the wanted keys."""
         spark = wanted.sparkSession
@@ -213,7 +232,7 @@ class Store:
 
     def count(self, spark: SparkSession) -> int:
         """Number of stored rows, by the tables of files alone."""
-        return _described(spark, self.folder, self.version(spark)).agg(F.sum("n_rows")).first()[0] or 0
+        return self._described(spark, self.version(spark)).agg(F.sum("n_rows")).first()[0] or 0
 
     # --- writing -----------------------------------------------------------
 
@@ -226,25 +245,24 @@ class Store:
         """Compute and store what the wanted keys lack; return all their rows.
 
         The wanted rows are staged, since they are compared with the store
-        before and after, and the computed ones, so that none is computed twice.
+        before and after; the computed ones are written once, before anything else.
         """
         wanted = stage(wanted)
         base = self.version(wanted.sparkSession)
         lacking = missing(wanted, self.lookup(wanted, base), self.key) if base.files else wanted
-        self._insert(stage(compute(lacking)), base)
+        self._insert(compute(lacking), base)
         return self.lookup(wanted)
 
     def _insert(self, rows: DataFrame, base: Version) -> None:
         """Publish rows of keys that ``base`` lacks, without those that other writers have added since."""
         spark = rows.sparkSession
         while True:
-            now = self.version(spark)
-            added = now.files - base.files
-            if added:
-                rows = stage(missing(rows, self._rows(spark, added), self.key))
             files = self._write(rows)
-            if not files or self._publish(spark, now, now.files | set(files)):
+            if not files or self._publish(spark, base, base.files | set(files)):
                 return
+            # Another attempt starts from what is written, so nothing is computed again.
+            now = self.version(spark)
+            rows = missing(self._rows(spark, files), self._rows(spark, now.files - base.files), self.key)
             base = now
 
     def _replace(self, spark: SparkSession, change: Callable[[Version], tuple[Iterable[str], DataFrame | None]]) -> None:
@@ -255,7 +273,7 @@ class Store:
         while True:
             now = self.version(spark)
             gone, rows = change(now)
-            files = self._write(stage(rows)) if rows is not None else []
+            files = self._write(rows) if rows is not None else []
             if not files and not set(gone):
                 return
             if self._publish(spark, now, (now.files - set(gone)) | set(files)):
@@ -288,7 +306,7 @@ class Store:
                 return (), None
             rows = self._rows(spark, now.files).select(self.key, _file_path().alias("path"))
             kept = lookup(keys, rows, self.key).groupBy("path").agg(F.count("*").alias("kept"))
-            sizes = _described(spark, self.folder, now).select("path", "n_rows")
+            sizes = self._described(spark, now).select("path", "n_rows")
             losing = sizes.join(kept, "path", "left").where("coalesce(kept, 0) < n_rows").collect()
             partly = [r["path"] for r in losing if r["kept"]]
             rest = lookup(keys, self._rows(spark, partly), self.key) if partly else None
@@ -315,69 +333,75 @@ class Store:
             files.remove(f"{self.folder}/files/{folder}")
 
 
-def _hashes(key: str) -> list:
-    return [F.xxhash64(F.col(key), F.lit(seed)) for seed in range(BLOOM_HASHES)]
+def _hash(key: str) -> Column:
+    return F.xxhash64(key).alias("hash")
 
 
-def _file_path():
+def _file_path() -> Column:
     """``folder/file`` of the data file a row comes from."""
     return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
-def described(rows: DataFrame, key: str) -> DataFrame:
-    """Per file its key range, numbers of rows and keys, and a Bloom filter of its keys.
+def _description(schema: T.StructType, key: str) -> T.StructType:
+    kind = schema[key].dataType
+    described = T.StructType().add("file", T.StringType()).add("low", kind).add("high", kind)
+    return described.add("n_rows", T.LongType()).add("n_keys", T.LongType()).add("bloom", T.BinaryType())
 
-    The filter is a list of bitmaps, ``BLOOM_BITS_PER_KEY`` bits a key and at least one bitmap.
-    """
+
+def _bits(hashes, size: int):
+    """The bits of each hash in a filter of ``size`` bits, by double hashing."""
+    import numpy as np
+
+    hashes = hashes.view(np.uint64)
+    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(low + np.uint64(i) * high) % np.uint64(size) for i in range(BLOOM_HASHES)], 1).astype(np.int64)
+
+
+def described(rows: DataFrame, key: str) -> DataFrame:
+    """Per file its key range, numbers of rows and keys, and a Bloom filter of its keys."""
+    schema = _description(rows.schema, key)
     keys = rows.select(F.col("_metadata.file_name").alias("file"), key)
     sizes = keys.groupBy("file").agg(
         F.min(key).alias("low"),
         F.max(key).alias("high"),
         F.count("*").alias("n_rows"),
         F.count_distinct(key).alias("n_keys"),
+        F.collect_set(F.when(F.col(key).isNotNull(), F.xxhash64(key))).alias("hashes"),
     )
-    sizes = sizes.withColumn("n_maps", F.ceil(F.greatest("n_keys", F.lit(1)) * BLOOM_BITS_PER_KEY / BITMAP))
-    once = keys.where(F.col(key).isNotNull()).distinct().join(F.broadcast(sizes.select("file", "n_maps")), "file")
-    places = F.array(*[F.pmod(h, F.col("n_maps") * BITMAP) for h in _hashes(key)])
-    bits = once.select("file", F.explode(places).alias("bit"))
-    maps = bits.groupBy("file", F.floor(F.col("bit") / BITMAP).cast("int").alias("nth")).agg(
-        F.bitmap_construct_agg((F.col("bit") % BITMAP).cast("int")).alias("bits")
-    )
-    filters = maps.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("nth", "bits"))).alias("bloom"))
-    return sizes.join(filters, "file", "left")
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def _described(spark: SparkSession, folder: str, version: Version) -> DataFrame:
-    """The live files of a version with their description, and ``path`` as ``folder/file``."""
-    if not version.files:
-        return spark.createDataFrame([], "path STRING, low STRING, high STRING, n_rows LONG, n_keys LONG")
-    tables = spark.read.parquet(*[f"{folder}/files/{f}" for f in version.folders()])
-    own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    live = spark.createDataFrame([(f,) for f in sorted(version.files)], "path STRING")
-    return tables.withColumn("path", F.concat_ws("/", own, "file")).join(F.broadcast(live), "path", "left_semi")
+        for batch in batches:
+            filters, lists = [], batch.column(5)
+            for i in range(batch.num_rows):
+                hashes = lists[i].values.to_numpy()
+                size = 64 * (len(hashes) * BLOOM_BITS_PER_KEY // 64 + 1)
+                flags = np.zeros(size, np.uint8)
+                flags[_bits(hashes, size).ravel()] = 1
+                filters.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(filters, pa.binary())], names=schema.names)
 
+    return sizes.mapInArrow(run, schema)
 
-def _may_hold(shared):
-    """Arrow step: the paths of described files that may hold one of the shared sorted keys."""
 
-    def holds(bloom, n_maps: int, hashes: list) -> bool:
-        maps = {m["nth"]: m["bits"] for m in bloom or []}
-        for bits in ((h % (n_maps * BITMAP) for h in of_key) for of_key in hashes):
-            if all((maps.get(b // BITMAP, bytes(BITMAP // 8))[b % BITMAP // 8] >> (b % 8)) & 1 for b in bits):
-                return True
-        return False
+def _may_hold(shared) -> Callable[[Iterator], Iterator]:
+    """Arrow step: the paths of described files that may hold one of the shared sorted keys."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         keys, hashes = shared.value
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("path", "low", "high", "n_maps", "bloom")]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "low", "high", "bloom")]
             found = []
-            for path, low, high, n_maps, bloom in zip(*columns):
+            for path, low, high, bloom in zip(*columns):
                 if low is not None:
-                    first, last = bisect_left(keys, low), bisect_right(keys, high)
-                    if holds(bloom, n_maps, hashes[first:last]):
+                    flags = np.unpackbits(np.frombuffer(bloom, np.uint8))
+                    mine = hashes[bisect_left(keys, low) : bisect_right(keys, high)]
+                    if flags[_bits(mine, len(flags))].all(axis=1).any():
                         found.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
 
@@ -402,7 +426,8 @@ def store_sizes(spark: SparkSession, path: str, schema: str, key: str) -> DataFr
     partition = [F.col(c.name).cast(c.dataType).alias(c.name) for c in columns]
     if not rows:
         return live.select(*partition, F.lit(0).cast("long").alias("items"))
-    tables = spark.read.parquet(*sorted({f"{r[0]}/files/{r[-1].split('/')[0]}" for r in rows}))
+    folders = sorted({f"{r[0]}/files/{r[-1].split('/')[0]}" for r in rows})
+    tables = spark.read.schema(_description(whole.schema, key)).parquet(*folders)
     place = F.split(F.col("_metadata.file_path"), "/")
     tables = tables.select("file", "low", "high", "n_keys", F.element_at(place, -2).alias("write"))
     tables = tables.withColumn("path", F.concat_ws("/", "write", "file"))

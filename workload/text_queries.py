@@ -34,6 +34,7 @@ from ctxrank.operators.questions import (
     prompt_words,
     prompts,
 )
+from ctxrank.operators.bounded import bounded_sparse_topk, sparse_blocks
 from ctxrank.operators.search import dense_topk, frequent_enough, judged, sparse_topk, term_index
 from ctxrank.session import stage, table_bytes
 from ctxrank.sources.store import missing
@@ -453,6 +454,14 @@ def c3_sparse_topk_salted(spark, sf):
     return _sparse(spark, sf, blocks=4)
 
 
+@query("c3_sparse_topk_bounded", _sparse_sql())
+def c3_sparse_topk_bounded(spark, sf):
+    """The same hits from blocks with each term's extreme weights, skipping those below the floors."""
+    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    blocks = sparse_blocks(term_index(term_weights(texts, "docid", "text")))
+    return bounded_sparse_topk(term_weights(topics(spark, sf), "qid", "title"), blocks, 100)
+
+
 @query("c3_sparse_min_idf", _sparse_sql("chosen"))
 def c3_sparse_min_idf(spark, sf):
     count = table(spark, sf, "documents").count()

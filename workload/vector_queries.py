@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ctxrank.functions.vectors import cosine, dot, flatten_vector, norm, unit
+from ctxrank.operators.bounded import bounded_dense_topk, dense_blocks
 from ctxrank.operators.evaluate import mean_ndcg, ndcg_per_query
 from ctxrank.operators.hypodocs import averaged_queries, search_with_passages
 from ctxrank.operators.questions import sample_questions, sampled_scores, sampling_statistics
@@ -191,6 +192,17 @@ def c2_dense_topk_cells(spark, sf):
     return rounded(hits, "score")
 
 
+@query(
+    "c2_dense_topk_bounded",
+    f"""WITH {VECTORS}, {DOCUMENT_HITS}
+    SELECT qid, docid, rank, round(score, 6) AS score FROM hits""",
+)
+def c2_dense_topk_bounded(spark, sf):
+    """The same hits from blocks with a centroid and a radius, skipping those below the floors."""
+    blocks = dense_blocks(document_vectors(spark, sf))
+    return rounded(bounded_dense_topk(query_vectors(spark, sf), blocks, K), "score")
+
+
 @query(
     "p1_judged_topics",
     f"""WITH {VECTORS}, {VECTOR_QRELS}
