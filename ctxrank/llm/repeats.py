@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxrank.llm.arrays import mix, prefix_sums, slices, text_buffers, window_hashes
-from ctxrank.llm.tables import joinable
+from ctxrank.llm.tables import joinable, split_by_filter
 from ctxrank.session import stage
 
 LENGTH = 400
@@ -329,8 +329,9 @@ def repeated_spans(
     buckets = max(1, -(-total // BUCKET_BYTES))
     wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("gram", "chunk"), F.lit(buckets)))
     entries = F.collect_list(F.struct(*wanted.columns)).alias("wanted")
-    side = joinable(stage(wanted.groupBy("doc", "text_key").agg(entries)), join_bytes)
-    found = rows.join(side, ["doc", "text_key"]).select("text", "wanted")
+    listed = stage(wanted.groupBy("doc", "text_key").agg(entries))
+    few, _ = split_by_filter(rows, listed, ["doc", "text_key"], join_bytes)
+    found = few.join(joinable(listed, join_bytes), ["doc", "text_key"]).select("text", "wanted")
     schema = T.StructType(list(wanted.schema)).add("content", "binary")
     contents = stage(found.mapInArrow(_contents, schema))
 
@@ -379,12 +380,15 @@ def without_repeats(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept_sha256, kept) per row, with the spans cut out."""
     listed = spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "stop", "later")).alias("spans"))
-    side = joinable(stage(listed), join_bytes)
+    listed = stage(listed)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     schema = docs.select("doc_id").schema
     for name, kind in zip(["n_bytes", "n_removed"], ["long", "long"]):
         schema = schema.add(name, kind)
     removed = T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))
     schema = schema.add("removed", removed).add("kept_sha256", "string").add("kept", "binary")
-    joined = rows.join(side, ["doc", "text_key"], "left").select("doc_id", "text", "spans")
+    few, others = split_by_filter(rows, listed, ["doc", "text_key"], join_bytes)
+    joined = few.join(joinable(listed, join_bytes), ["doc", "text_key"], "left").select("doc_id", "text", "spans")
+    if others is not None:
+        joined = joined.unionByName(others.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
     return joined.mapInArrow(_cut(keep_first), schema)
