@@ -104,7 +104,7 @@ def search(block: Block, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
         doc = np.searchsorted(first, at, "right") - 1
         stop = first[doc + 1]
         # Numbers only for words that a kept suffix reaches.
-        near = np.unique(np.minimum(at[:, None] + np.arange(WINDOW), len(hashes) - 1))
+        near = np.unique(np.minimum(at[:, None] + np.arange(max(block.windows)), len(hashes) - 1))
         ids = np.zeros(len(hashes), np.int64)
         place = np.minimum(np.searchsorted(block.vocabulary, hashes[near]), len(block.vocabulary) - 1)
         ids[near] = np.where(block.vocabulary[place] == hashes[near], place + 1, 0)
@@ -146,35 +146,40 @@ MATCH = T.ArrayType(
 
 
 def verbatim_matches(docs: DataFrame, items: DataFrame, keep: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(keep, n_words, matches) of every document.
+    """(keep, n_words, matches, items) of every document.
 
     ``matches`` are the longest verbatim matches: first word and length in the
-    document, the item's id as text, first word in the item.
+    document, the item's id as text, first word in the item. Items of one text are
+    searched once, and a match names the first of them; ``items`` names all.
     """
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    named = items.select(F.col("item_id").cast("string").alias("item"), "text")
-    rows = docs.select(F.col(f"`{keep}`").alias("kept"), "text", F.array().cast(MATCH).alias("matches"))
+    ids = F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids")
+    named = items.select("item_id", "text").where("text is not null").groupBy("text").agg(ids)
+    none = F.array().cast("array<string>").alias("items")
+    rows = docs.select(F.col(f"`{keep}`").alias("kept"), "text", F.array().cast(MATCH).alias("matches"), none)
     for number in range(blocks):
         part = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number).toArrow()
         rows = _with_matches(rows, part, window).select(
-            "kept", "text", "n_words", F.concat("matches", "found").alias("matches")
+            "kept", "text", "n_words", F.concat("matches", "found").alias("matches"), F.concat("items", "named").alias("items")
         )
-    return rows.select(F.col("kept").alias(keep), "n_words", "matches")
+    return rows.select(F.col("kept").alias(keep), "n_words", "matches", "items")
 
 
 def _with_matches(rows: DataFrame, items: pa.Table, window: int) -> DataFrame:
     block = prepare(items.column("text").combine_chunks(), window)
     shared = rows.sparkSession.sparkContext.broadcast(
-        (items.column("item").to_pylist(), block.vocabulary, block.leads, block.windows)
+        (items.column("ids").to_pylist(), block.vocabulary, block.leads, block.windows)
     )
-    kind = rows.select("kept", "text", "matches").schema.add("n_words", "long").add("found", MATCH)
+    kind = rows.select("kept", "text", "matches", "items").schema.add("n_words", "long").add("found", MATCH)
+    kind = kind.add("named", T.ArrayType(T.StringType()))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
     entry = [pa.field(n, k) for n, k in zip(["start", "length", "item", "item_start"], kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, *parts = shared.value
-        block, name = Block(*parts), pa.array(ids, pa.string())
+        block, named = Block(*parts), pa.array(ids, pa.list_(pa.string()))
+        name = pa.array([i[0] if i else None for i in ids], pa.string())
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 n_words, *found = search(block, data, offsets)
@@ -185,16 +190,26 @@ def _with_matches(rows: DataFrame, items: pa.Table, window: int) -> DataFrame:
                 )
                 ends = np.searchsorted(doc, np.arange(end - first + 1)).astype(np.int32)
                 part = batch.slice(first, end - first)
+                # Each text that matches a document names its items once.
+                of, text = np.unique(np.stack([doc, item]), axis=1)
+                every = named.take(pa.array(text, pa.int64()))
+                stops = np.concatenate([[0], np.cumsum(every.value_lengths().to_numpy())])
+                listed = pa.array(stops[np.searchsorted(of, np.arange(end - first + 1))].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values)],
-                    names=["kept", "text", "matches", "n_words", "found"],
+                    [
+                        *part.columns,
+                        pa.array(n_words.astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), values),
+                        pa.ListArray.from_arrays(listed, every.flatten()),
+                    ],
+                    names=kind.names,
                 )
 
-    return rows.select("kept", "text", "matches").mapInArrow(run, kind)
+    return rows.select("kept", "text", "matches", "items").mapInArrow(run, kind)
 
 
 def hit_counts(matches: DataFrame) -> DataFrame:
-    """``matches`` with n_hit, the words covered by any match, and items, the sorted ids that match."""
+    """``matches`` with n_hit, the words covered by any match, and items sorted, each once."""
     spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["length"]).alias("stop"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("stop"))
     step = lambda a, s: F.struct(
@@ -204,7 +219,7 @@ def hit_counts(matches: DataFrame) -> DataFrame:
     return matches.withColumns(
         {
             "n_hit": F.aggregate(spans, start, step, lambda a: a["n"]),
-            "items": F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda i: i.isNotNull()))),
+            "items": F.array_sort(F.array_distinct("items")),
         }
     )
 

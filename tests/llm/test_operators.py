@@ -217,6 +217,28 @@ def test_decontamination(spark, edges, nothing):
     assert decontamination.uncontaminated(edges, bench.limit(0)).count() == len(edge_texts())
 
 
+def test_decontamination_by_other_windows(spark):
+    words = [f"w{i}" for i in range(60)]
+    item = " ".join(words)
+    docs = spark.createDataFrame([(1, "x " * 5 + item + " y"), (2, " ".join(words[:25])), (3, item.upper())], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], ITEMS)
+    for window in (5, 13, 20, 41):
+        found = {r.doc_id: r for r in decontamination.verbatim_matches(docs, bench, window=window).collect()}
+        assert [(m.start, m.length, m.item_start) for m in found[1].matches] == [(5, 60, 0)]
+        assert [(m.start, m.length) for m in found[2].matches] == ([(0, 25)] if window <= 25 else [])
+        assert [m.length for m in found[3].matches] == [60]
+
+
+def test_items_of_one_text_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, "the " * 2000), (2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "the") for i in range(2000)] + [(None, "the")], ITEMS)
+    found = {r.doc_id: r for r in decontamination.verbatim_matches(docs, bench).collect()}
+    assert len(found[1].matches) == 2000 and not found[2].matches
+    judged = {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
+    assert judged[1]["items"] == sorted(str(i) for i in range(2000)) and judged[1].n_hit == 2000
+    assert judged[2]["items"] == [] and not judged[2].contaminated
+
+
 def test_quality_rules(spark, edges, nothing, no_labels):
     got = {r.doc_id: r for r in decision_list.judged(edges, []).collect()}
     for d, t in edge_texts():
