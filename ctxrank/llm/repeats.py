@@ -37,7 +37,9 @@ NO_ID = -(1 << 63)
 # Different surroundings of one gram that are compared at once, and bytes of them.
 CHUNK = 512
 BUCKET_BYTES = 2 << 20
-JOIN_BYTES = 32 << 20
+# Sides of joins are broadcast up to so many bytes, filters of their keys up to these.
+JOIN_BYTES = 4 << 20
+FILTER_BYTES = 32 << 20
 
 RUN = "gram long, around long, doc long, text_key long, start int, size int, first boolean, known boolean"
 SPAN = "doc long, text_key long, start int, stop int, later boolean"
@@ -330,7 +332,7 @@ def repeated_spans(
     wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("gram", "chunk"), F.lit(buckets)))
     entries = F.collect_list(F.struct(*wanted.columns)).alias("wanted")
     listed = stage(wanted.groupBy("doc", "text_key").agg(entries))
-    few, _ = split_by_filter(rows, listed, ["doc", "text_key"], join_bytes)
+    few, _ = split_by_filter(rows, listed, ["doc", "text_key"], FILTER_BYTES if join_bytes else 0)
     found = few.join(joinable(listed, join_bytes), ["doc", "text_key"]).select("text", "wanted")
     schema = T.StructType(list(wanted.schema)).add("content", "binary")
     contents = stage(found.mapInArrow(_contents, schema))
@@ -387,7 +389,7 @@ def without_repeats(
         schema = schema.add(name, kind)
     removed = T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))
     schema = schema.add("removed", removed).add("kept_sha256", "string").add("kept", "binary")
-    few, others = split_by_filter(rows, listed, ["doc", "text_key"], join_bytes)
+    few, others = split_by_filter(rows, listed, ["doc", "text_key"], FILTER_BYTES if join_bytes else 0)
     joined = few.join(joinable(listed, join_bytes), ["doc", "text_key"], "left").select("doc_id", "text", "spans")
     if others is not None:
         joined = joined.unionByName(others.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
