@@ -36,6 +36,10 @@ DIMENSIONS = 48
 SAMPLE_ROWS = 4096
 NEIGHBOURS = 15
 SHARPNESS = 8.0
+# More than the rounding of a cosine.
+MARGIN = 1e-5
+# Rows whose counts stand in memory at once.
+PIECE_ROWS = 1024
 
 _codes = np.random.default_rng(7).integers(0, 2**31, (3, 256), dtype=np.uint32)
 
@@ -86,15 +90,33 @@ class Model:
         filled = np.flatnonzero(counts.any(axis=1))
         if not len(self.labels) or not len(filled):
             return scores
-        cosines = _unit(weighted(counts[filled], self.idf) @ self.projection) @ self.vectors.T
+        rows = weighted(counts[filled], self.idf)
+        # Row by row, so that a text's vector does not depend on its batch.
+        places = [np.flatnonzero(row) for row in rows]
+        latent = _unit(np.stack([row[at] @ self.projection[at] for row, at in zip(rows, places)]))
+        cosines = latent @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(cosines, nearest, 1).astype(float)
-        weight = np.exp(SHARPNESS * (near - 1.0))
-        scores[filled] = (weight * self.labels[nearest]).sum(1) / weight.sum(1)
+        kth = -np.partition(-cosines, k - 1, axis=1)[:, k - 1]
+        # What may be among the nearest is scored again in a fixed order; ties go by the sample's order.
+        row, near = np.nonzero(cosines >= (kth - MARGIN)[:, None])
+        exact = (latent[row].astype(float) * self.vectors[near]).sum(axis=1)
+        order = np.lexsort((near, -exact, row))
+        row, near, exact = row[order], near[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, near, exact = row[first], near[first], exact[first]
+        weight = np.exp(SHARPNESS * (exact - 1.0))
+        total, yes = np.bincount(row, weight), np.bincount(row, weight * self.labels[near])
+        scores[filled] = yes / total
         return np.clip(scores, 0.0, 1.0)
 
 
+def pieces(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of at most ``PIECE_ROWS`` rows."""
+    for first in range(0, len(rows) - 1, PIECE_ROWS):
+        part = rows[first : first + PIECE_ROWS + 1]
+        yield first, first + len(part) - 1, data[part[0] : part[-1]], part - part[0]
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
@@ -107,7 +129,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         seen, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for first, end, data, rows in slices(batch.column(0)):
-                seen += (trigram_counts(data, rows) > 0).sum(0)
+                for *_, some, offsets in pieces(data, rows):
+                    seen += (trigram_counts(some, offsets) > 0).sum(0)
                 n += end - first
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[n], seen]))], names=["bucket", "n"]
@@ -133,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(2)):
                 found = []
-                for line in term_counts(data, offsets):
+                for line in (line for *_, some, places in pieces(data, offsets) for line in term_counts(some, places)):
                     at = np.flatnonzero(line)
                     found.append(np.stack([at, line[at]]).astype("<u4").tobytes())
                 part = batch.slice(first, end - first)
@@ -183,7 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = Model(*shared.value)
         for batch in batches:
             for first, end, data, rows in slices(batch.column(1)):
-                scores = model.score(term_counts(data, rows))
+                scores = np.concatenate([model.score(term_counts(some, offsets)) for *_, some, offsets in pieces(data, rows)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(scores)], names=["doc_id", "score"]
                 )
