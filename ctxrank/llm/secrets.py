@@ -1,20 +1,21 @@
 """Secret scans in SQL functions: key patterns, and character models for the rest.
 
 Three patterns find secrets by their form. Two Markov models of characters are
-trained on strings labelled by them: what the patterns find is random, the other long
-strings of the corpus are ordinary identifiers. A string of key characters outside
-the patterns' spans is a secret if the random model explains it better, by the
-logarithm of the likelihood ratio.
+trained on labelled strings: random are strings drawn from the alphabets that keys are
+written in, and what the patterns find; ordinary are the other long strings of the corpus,
+all its identifiers, numbers and words. A string of key characters outside the patterns'
+spans is a secret if the random model explains it better, by the logarithm of the
+likelihood ratio.
 
 Null and empty texts have no spans. Rows are scanned one by one, so repeated rows and
-null ids are no special case; other columns are not read. Without labelled strings of
-either kind the models know nothing and add no spans.
+null ids are no special case; other columns are not read. Without ordinary strings the
+models know nothing and add no spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the base rules.
@@ -29,6 +30,18 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 STRING = "[A-Za-z0-9+/_=-]"
+# Alphabets of keys, and how many strings are drawn from each for the random class.
+KEY_ALPHABETS = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_",
+    "abcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "0123456789abcdef",
+    "0123456789ABCDEF",
+)
+DRAWN = 1000
+DRAWN_CHARS = 40
 SAMPLE_CHARS = 8
 CANDIDATE_CHARS = 16
 # A candidate's log-likelihood ratio, in all and per pair of characters.
@@ -63,8 +76,21 @@ def base_spans(text: Column) -> Column:
     return F.concat(assigned, spans(text, ACCESS, 1), spans(text, HEX, 2))
 
 
+def drawn_strings(spark: SparkSession) -> DataFrame:
+    """(is_random, value): strings of independent characters, ``DRAWN`` of each key alphabet, by hashes."""
+    alphabets = F.array(*[F.lit(a) for a in KEY_ALPHABETS])
+    drawn = spark.range(DRAWN * len(KEY_ALPHABETS)).select(
+        "id", F.element_at(alphabets, (F.col("id") % len(KEY_ALPHABETS) + 1).cast("int")).alias("alphabet")
+    )
+    place = lambda i: (F.pmod(F.xxhash64(F.col("id"), i), F.length("alphabet")) + 1).cast("int")
+    characters = F.transform(
+        F.sequence(F.lit(1), F.lit(DRAWN_CHARS)), lambda i: F.substring(F.col("alphabet"), place(i), F.lit(1))
+    )
+    return drawn.select(F.lit(True).alias("is_random"), F.array_join(characters, "").alias("value"))
+
+
 def labelled_strings(docs: DataFrame) -> DataFrame:
-    """(is_random, value) of every distinct long string, labelled by the base rules, over all documents."""
+    """(is_random, value) of every distinct long string of all documents, labelled by the base rules, and the drawn ones."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     any_base = "|".join([ASSIGN, ACCESS, HEX])
     secret = F.regexp_extract_all("text", F.lit(any_base), F.lit(0))
@@ -81,7 +107,15 @@ def labelled_strings(docs: DataFrame) -> DataFrame:
         F.explode(F.regexp_extract_all(clean, F.lit(f"{STRING}{{{SAMPLE_CHARS},}}"), F.lit(0))).alias("value"),
     )
     labelled = random.where(F.length("value") >= CANDIDATE_CHARS).unionByName(ordinary)
-    return labelled.groupBy("is_random", "value").agg(F.count("*").alias("n"))
+    known = labelled.groupBy("is_random", "value").agg(F.count("*").alias("n"))
+    # Names join words by a dash, an underscore or a capital, or are all capitals; so are the ordinary words here.
+    head, tail = F.substring("value", 1, 4), F.col("value").substr(F.lit(5), F.length("value"))
+    joined = F.array(
+        "value", F.upper("value"), F.concat_ws("_", head, tail), F.concat_ws("-", head, tail), F.concat(head, F.initcap(tail))
+    )
+    forms = F.when(~F.col("is_random") & F.col("value").rlike("^[a-z]+$"), joined).otherwise(F.array("value"))
+    written = known.select("is_random", F.explode(forms).alias("value"))
+    return written.unionByName(drawn_strings(docs.sparkSession))
 
 
 def train(docs: DataFrame) -> np.ndarray:

@@ -115,6 +115,21 @@ def test_classifier(spark, edges, nothing, no_labels):
     assert neighbours.score(nothing, neighbours.fit(nothing, labels)).count() == 0
 
 
+def test_classifier_scores_do_not_depend_on_partitions(spark, no_labels):
+    r = np.random.default_rng(6)
+    texts = [" ".join(r.choice(["ab", "cd", "efg", "hij", "k"], 6)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, texts[i // 3]) for i in range(900)], "doc_id long, text string")
+    # Copies with different labels are ties of labelled vectors.
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 900, 2)] + [(i, 1, 0) for i in range(1, 900, 4)], no_labels.schema)
+    seen = []
+    for n in (1, 7, 64):
+        model = neighbours.fit(docs.repartition(n), labels)
+        seen.append(sorted((x.doc_id, x.score) for x in neighbours.score(docs.repartition(n), model).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    of = dict(seen[0])
+    assert all(of[3 * i] == of[3 * i + 1] == of[3 * i + 2] for i in range(300))
+
+
 def test_lines(edges, nothing):
     rows = [(-(1 << 63) if d is None else d, t) for d, t in edge_texts()]
     key = lambda line: line.strip(" \t\n\v\f\r").translate(FOLD)
@@ -263,3 +278,44 @@ def test_quality_rules(spark, edges, nothing, no_labels):
     assert decision_list.learn(values, bad & False) == []
     assert decision_list.keep_good(edges, no_labels).columns == edges.columns
     assert decision_list.keep_good(nothing, no_labels).count() == 0
+
+
+def test_secrets_of_other_forms_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.train(docs)
+    r = random.Random(9)
+    keys = ["".join(r.choice(a) for _ in range(n)) for a in secrets.KEY_ALPHABETS for n in (20, 28, 40) for _ in range(15)]
+    keys = [k for k in keys if not re.search(r"[0-9a-f]{24,}|AKIA", k)]
+    rows = [(i, f"note {k} end") for i, k in enumerate(keys)]
+    found = {x.doc_id: x.added for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    assert len(keys) > 200 and sum([s.start for s in found[i]] == [5] for i in range(len(keys))) >= 0.9 * len(keys)
+    assert secrets.find_secrets(docs, ratios).where("size(added) > 0").count() == 0
+    # Names made of the corpus' own words are ordinary.
+    words = sorted({w for x in docs.select("text").limit(300).collect() for w in re.findall(r"\b[a-z]{8,12}\b", x.text)})
+    pairs = [r.sample(words, 2) for _ in range(200)]
+    names = [n for a, b in pairs for n in (f"{a}_{b}", f"{a}-{b}", a + b.title(), (a + b).upper())]
+    table = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    assert secrets.find_secrets(table, ratios).where("size(added) > 0").count() <= 0.02 * len(names)
+
+
+def test_secrets_against_plain_definitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratios = secrets.train(docs)
+    r = random.Random(3)
+    pieces = ["password: hunter22", "token='ab'", "api_key=Zz9-xK.3", "AKIA" + "A1" * 9, "AKIA12", "deadbeef" * 4, "feed" * 3, "🙂é", "plain words",
+              "xK9fQ2LqPz8Rw3TnV7bYd1", "thisisanordinaryidentifier"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(12))) for _ in range(60)] + ["", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [re.compile(secrets.ASSIGN.replace(r"\"", '"')), re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile("[0-9a-f]{24,}")]
+    for x in secrets.find_secrets(table, ratios).collect():
+        text = texts[x.doc_id] or ""
+        base = [(m.start(), k, m.end()) for k, p in enumerate(kinds) for m in p.finditer(text) if k or len(m.group(2)) >= 6]
+        assert [(s.start, s.kind, s.stop) for s in x.base] == sorted(base)
+        added = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            codes = [secrets.ALPHABET.index(c) for c in m.group()]
+            score = sum(ratios[a * secrets.SIZE + b] for a, b in zip(codes, codes[1:]))
+            free = all(m.end() <= b[0] or b[2] <= m.start() for b in base)
+            if free and score >= max(secrets.MIN_RATIO, secrets.MIN_RATE * (len(codes) - 1)):
+                added.append((m.start(), m.end()))
+        assert [(s.start, s.stop) for s in x.added] == added
