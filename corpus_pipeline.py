@@ -23,27 +23,46 @@ END_ID = 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    Null and empty texts have no words and go. Rows are judged one by one, so repeated rows
+    and null ids stay or go alike. Without labels only the base rules reject.
+    """
     return decision_list.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a later one holds too."""
+    """Documents without the lines that a later one holds too.
+
+    A document that loses all lines stays, with an empty text. Of repeated rows, and of rows
+    with the largest id of a line, each keeps it; a null id is the smallest.
+    """
     return lines.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id.
+
+    Ties of the id go by a hash of the text; of repeated rows one stays. Documents without
+    words belong to no group and stay, null ids are the smallest.
+    """
     return ngram_join.first_of_each(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in the benchmark."""
+    """Documents of which less than a twentieth stands in the benchmark.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together; an
+    empty benchmark keeps everything.
+    """
     return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids, and where they lie in which sequence."""
+    """Pieces of documents with their ids, and where they lie in which sequence.
+
+    A null or empty text is the end id alone; repeated rows are packed as often as they stand.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
