@@ -6,6 +6,7 @@ slice (``SLICE_BYTES``, or one longer text) and not the batch or the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), rows
 
 
+def _c_library():
+    """glibc, or None where there is another C library."""
+    library = ctypes.CDLL(None)
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker that is used again would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) for runs of rows of about ``size`` bytes."""
     data, rows = text_buffers(column)
@@ -78,6 +92,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(at + 1, int(np.searchsorted(rows, rows[at] + size, "right")) - 1)
         yield at, end, data[rows[at] : rows[end]], rows[at : end + 1] - rows[at]
         at = end
+    release_memory()
 
 
 def prefix_sums(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
