@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ctxrank.operators import questions as question_steps
 from ctxrank.operators.questions import draw_spreads, sample_questions, sampled_scores, sampling_statistics
 from ctxrank.operators.ranking import best_first, score_bucket, select_top, top_k
+from ctxrank.operators.rerank import all_question_statistics
 from ctxrank.operators.similarity import similarities
 from ctxrank.operators.search import dense_topk
 from ctxrank.session import table_bytes
@@ -163,3 +164,34 @@ def test_sampling_of_all_ratios_equals_one_at_a_time(spark):
 def test_sizes_of_values(spark, kind, value, size):
     table = spark.createDataFrame([(value,)] * 3, f"v {kind}")
     assert table_bytes(table) == 3 * size
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 300])
+def test_every_query_meets_every_document_with_questions(spark, budget):
+    r = np.random.default_rng(5)
+    rows = [(d, p, r.normal(size=4).tolist()) for d, n in enumerate((700, 1, 3, 12)) for p in range(n)]
+    rows += [(1, 7, None), (9, 0, None), (None, 0, [1.0] * 4)]
+    queries = [(q, r.normal(size=4).tolist()) for q in (*range(40), 5, 5)] + [(77, None)]
+    vectors = spark.createDataFrame(rows, "docid int, pos int, vec array<double>").repartition(3)
+    asked = spark.createDataFrame(queries, "qid int, vec array<double>")
+    got = {(r["qid"], r["docid"]): r for r in all_question_statistics(asked, vectors, budget).collect()}
+    sims = defaultdict(list)
+    for (q, a), (d, _, b) in product(queries, rows):
+        if a and b and d is not None:
+            sims[q, d].append(float(np.dot(a, b)))
+    assert set(got) == set(sims) and len(got) == 160
+    for key, values in sims.items():
+        assert got[key]["questions"] == len(values)
+        assert got[key]["max_sim"] == pytest.approx(max(values))
+        assert got[key]["mean_sim"] == pytest.approx(sum(values) / len(values))
+
+
+def test_question_similarity_takes_all_pairs(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(v, v % 3, [float(v % 7)] * 64) for v in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries()["a4_question_similarity"](spark, str(tmp_path))
+    # 30 of 300 groups are queries of five rows, the others documents.
+    assert found.count() == 150 * 270
