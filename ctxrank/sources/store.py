@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxrank.session import broadcast_within, matching, new_folder, stage, table_bytes
+from ctxrank.session import CODEC, broadcast_within, matching, new_folder, stage, table_bytes
 
 GENERATED = (
     "prompt_key STRING, pos INT, text STRING,"
@@ -177,12 +177,13 @@ class Store:
         """
         spark, folder = rows.sparkSession, uuid.uuid4().hex
         schema, draft = self._schema(spark), new_folder(spark, "rows")
-        rows.select(*schema.names).write.parquet(draft)
+        rows.select(*schema.names).write.option("compression", CODEC).parquet(draft)
         rows = spark.read.schema(schema).parquet(draft)
         small = _Files(spark, draft).size(draft) < SMALL_BYTES
         rows = rows.coalesce(1) if small else rows.repartitionByRange(self.key)
         path, files = f"{self.folder}/data/{folder}", f"{self.folder}/files/{folder}"
-        rows.sortWithinPartitions(self.key).write.option("maxRecordsPerFile", self.rows_per_file).parquet(path)
+        rows = rows.sortWithinPartitions(self.key).write.option("maxRecordsPerFile", self.rows_per_file)
+        rows.option("compression", CODEC).parquet(path)
         described(spark.read.schema(schema).parquet(path), self.key).write.parquet(files)
         described_files = spark.read.schema(_description(schema, self.key)).parquet(files)
         return [f"{folder}/{r['file']}" for r in described_files.select("file").collect()]
@@ -238,8 +239,11 @@ class Store:
 
     def append(self, rows: DataFrame) -> None:
         """Add the rows whose key the store lacks; stored rows win."""
-        rows, base = stage(rows), self.version(rows.sparkSession)
-        self._insert(missing(rows, self.lookup(rows, base), self.key) if base.files else rows, base)
+        base = self.version(rows.sparkSession)
+        if base.files:
+            rows = stage(rows)
+            rows = missing(rows, self.lookup(rows, base), self.key)
+        self._insert(rows, base)
 
     def fill(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Compute and store what the wanted keys lack; return all their rows.

@@ -436,7 +436,7 @@ def _sparse_sql(terms: str = "query_terms", rounded: str = "score") -> str:
 def _sparse(spark, sf, blocks=1, **options):
     """Search over the staged index, by so many blocks of queries."""
     queries = term_weights(topics(spark, sf), "qid", "title")
-    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    texts = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
     index = stage(term_index(term_weights(texts, "docid", "text")))
     if blocks > 1:
         options["broadcast_bytes"] = table_bytes(queries) // blocks + 1
@@ -457,7 +457,7 @@ def c3_sparse_topk_salted(spark, sf):
 @query("c3_sparse_topk_bounded", _sparse_sql())
 def c3_sparse_topk_bounded(spark, sf):
     """The same hits from blocks with each term's extreme weights, skipping those below the floors."""
-    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    texts = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
     blocks = sparse_blocks(term_index(term_weights(texts, "docid", "text")))
     return bounded_sparse_topk(term_weights(topics(spark, sf), "qid", "title"), blocks, 100)
 
@@ -476,7 +476,7 @@ def c3_sparse_min_idf(spark, sf):
 )
 def p8_min_idf(spark, sf):
     queries = term_weights(topics(spark, sf), "qid", "title")
-    texts = documents(spark, sf).withColumnRenamed("doc_id", "docid")
+    texts = table(spark, sf, "documents").withColumnRenamed("doc_id", "docid")
     postings = stage(term_weights(texts, "docid", "text"))
     return frequent_enough(queries, postings, texts.count(), 1.0)
 
