@@ -13,7 +13,8 @@ A pair's count of shared rare shingles bounds what the rest of the sets can shar
 drops most candidates that only have a passage in common. The others are verified on
 the whole sets, against hubs first: those linked through a
 hub are one component and need no further test, so a large group of copies costs a
-test a member. Then all candidates still in different components are tested.
+test a member. Signatures that many sets in different components still share get rounds with
+several hubs each, as long as these settle many of their pairs. Then all candidates still in different components are tested.
 
 A document of fewer words than a shingle is one shorter shingle. Null and empty texts,
 or texts without words, have no set and stay alone. Equal sets are one set throughout;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxrank.llm.arrays import NOT_SPACE, mix, prefix_sums, sequence_hashes, slices, window_hashes, words
@@ -47,6 +48,11 @@ GROUP = 256
 BUCKET_BYTES = 4 << 20
 JOIN_BYTES = 32 << 20
 STAR_ROUNDS = 3
+# Signatures of more than CROWD sets get rounds of HUBS hubs each, as long as a round settles
+# a share of at least one in GAIN of the pairs that they leave to the last step.
+CROWD = 64
+HUBS = 16
+GAIN = 8
 NO_ID = -(1 << 63)
 
 
@@ -296,6 +302,11 @@ def shared_signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, i
     return sorted_entries.mapInArrow(_shared, entry)
 
 
+def _least(hub_n: str, percent: int) -> str:
+    """How many shingles sets of ``n`` and ``hub_n`` must share."""
+    return f"(({percent} * (n + {hub_n}) + {99 + percent}) div {100 + percent})"
+
+
 def _can_link(percent: int) -> tuple[str, str]:
     """Two conditions on a pair: on the sizes n >= hub_n, and on ``both``, its shared single shingles.
 
@@ -305,7 +316,7 @@ def _can_link(percent: int) -> tuple[str, str]:
     counted, and what they lack must leave enough. A prefix that reaches into the frequent
     class holds all single shingles of its set and ends last.
     """
-    least = f"(({percent} * (n + hub_n) + {99 + percent}) div {100 + percent})"
+    least = _least("hub_n", percent)
     needed = f"(n - ({percent} * n + 99) div 100 + 1)"
     needed_own = f"(hub_n - ({2 * percent} * hub_n + {99 + percent}) div {100 + percent} + 1)"
     larger = f"(rare - both <= n - {least})"
@@ -332,6 +343,14 @@ def _hub(name: str):
     return F.col(name).alias(f"hub_{name}" if name != "sid" else "hub")
 
 
+def _larger_first(pairs: DataFrame) -> DataFrame:
+    """Pairs whose sizes and counts of single shingles stand as ``_can_link`` expects them."""
+    turned = F.col("n") < F.col("hub_n")
+    sizes = {c: F.when(turned, F.col(f"hub_{c}")).otherwise(F.col(c)) for c in ("n", "rare")}
+    sizes |= {f"hub_{c}": F.when(turned, F.col(c)).otherwise(F.col(f"hub_{c}")) for c in ("n", "rare")}
+    return pairs.withColumns(sizes)
+
+
 def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
     """For each set the one hub, of its signatures' hubs in other components, with which it shares most.
 
@@ -342,18 +361,59 @@ def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
     hub = F.min(F.struct(first.alias("first"), F.xxhash64("sid", F.lit(seed)).alias("then"), "sid", "n", "rare", "comp"))
     hubs = shared.groupBy("sig").agg(hub.alias("h")).select("sig", "h.*").select("sig", *map(_hub, ("sid", "n", "rare", "comp")))
     pairs = shared.join(hubs, "sig").where("comp <> hub_comp")
-    turned = F.col("n") < F.col("hub_n")
-    sizes = {c: F.when(turned, F.col(f"hub_{c}")).otherwise(F.col(c)) for c in ("n", "rare")}
-    sizes |= {f"hub_{c}": F.when(turned, F.col(c)).otherwise(F.col(f"hub_{c}")) for c in ("n", "rare")}
-    best = _counted(pairs.withColumns(sizes), percent).groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
+    best = _counted(_larger_first(pairs), percent).groupBy("sid").agg(F.max(F.struct("together", "hub")).alias("best"))
     return best.select("sid", F.col("best.hub").alias("hub"))
 
 
+def _crowds(shared: DataFrame) -> tuple[DataFrame, int, int]:
+    """The signatures of many sets, their entries, and the pairs they leave between components."""
+    parts = shared.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+    sums = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    crowds = stage(sums.where(f"n > {CROWD} and n * n > inside"))
+    entries, pairs = crowds.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
+    return crowds.select("sig"), int(entries or 0), int(pairs or 0)
+
+
+def _crowd_pairs(shared: DataFrame, crowds: DataFrame, seed: int, percent: int) -> DataFrame:
+    """For each set of a crowded signature the hubs, of ``HUBS`` a signature, with which it shares most.
+
+    Hubs come from the largest component, those with few single shingles of their own first, as
+    they are nearest to what the crowd has in common; the hash changes them from round to round.
+    """
+    crowded = shared.join(crowds, "sig", "left_semi")
+    apart = F.col("rare") + F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(16))
+    place = Window.partitionBy("sig").orderBy(F.col("members").desc(), "comp", apart, "sid")
+    hubs = crowded.withColumn("place", F.row_number().over(place)).where(f"place <= {HUBS}")
+    pairs = crowded.join(hubs.select("sig", *map(_hub, ("sid", "n", "rare", "comp"))), "sig").where("comp <> hub_comp")
+    best = Window.partitionBy("sid").orderBy(F.col("together").desc(), F.xxhash64("hub", F.lit(seed)), "hub")
+    counts = _counted(_larger_first(pairs), percent)
+    return counts.withColumn("place", F.row_number().over(best)).where(f"place <= {HUBS}").select("sid", "hub")
+
+
 def _all_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Every pair of sets in different components that can link by the signatures they share."""
+    """Every pair of sets in different components that can link by the signatures they share.
+
+    A pair that cannot link without a shared single shingle is met under that one, so pairs of
+    frequent shingles bring together only those that can.
+    """
     other = shared.where("own").select("sig", *map(_hub, ("sid", "n", "rare", "comp")))
     order = "(hub_n < n or hub_n = n and hub < sid) and comp <> hub_comp"
-    return _counted(shared.join(other, "sig").where(order), percent).select("sid", "hub")
+    sizes, linked = _can_link(percent)
+    alone = linked.replace("- both", "- 0")
+    met = f"{order} and {sizes} and (sig % 2 = 0 or {alone})"
+    return _counted(shared.join(other, "sig").where(met), percent).select("sid", "hub")
+
+
+def _still_open(known: DataFrame, percent: int) -> DataFrame:
+    """The entries of signatures of several components that a pair may still need.
+
+    Under a pair of frequent shingles sets meet one that is indexed by its own prefix; a set with more
+    single shingles than even the smallest of these leaves room for needs another signature.
+    """
+    ends = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("own"), F.col("n"))).alias("smallest")]
+    mixed = known.groupBy("sig").agg(*ends).where("low <> high").select("sig", "smallest")
+    needed = f"sig % 2 = 0 or own or rare <= n - {_least('smallest', percent)}"
+    return known.join(mixed, "sig").where(needed).drop("smallest")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame:
@@ -429,10 +489,17 @@ def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame
 
     labels: DataFrame | None = None
     open_rows = shared.withColumns({"comp": F.col("sid"), "members": F.lit(1).cast("long")})
-    seed, progress = 0, True
+    seed, progress, before = 0, True, None
     while True:
-        last = seed == STAR_ROUNDS or not progress
-        pairs = stage(_all_pairs(open_rows, percent) if last else _star_pairs(open_rows, seed, percent))
+        star, last = seed < STAR_ROUNDS and progress, False
+        if not star:
+            crowds, entries, apart = _crowds(open_rows)
+            last = apart <= HUBS * entries or before is not None and GAIN * (before - apart) < before
+            before = apart
+        if last:
+            pairs = stage(_all_pairs(open_rows, percent))
+        else:
+            pairs = stage(_star_pairs(open_rows, seed, percent) if star else _crowd_pairs(open_rows, crowds, seed, percent))
         found = verified(docs, pairs, kinds, k, percent, join_bytes)
         new = stage(found.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
         progress = seed < 2 or not new.isEmpty()
@@ -442,8 +509,7 @@ def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame
         seed += 1
         sizes = labels.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("members"))
         known = shared.join(labels, F.col("sid") == F.col("a"), "left").select("sig", "sid", "n", "rare", "own", F.coalesce("b", "sid").alias("comp"))
-        mixed = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-        left = known.join(mixed, "sig", "left_semi").join(sizes, "comp", "left")
+        left = _still_open(known, percent).join(sizes, "comp", "left")
         open_rows = stage(left.withColumn("members", F.coalesce("members", F.lit(1))))
     named = kinds.join(labels, F.col("sid") == F.col("a"), "left").select("sid", "least", F.coalesce("b", "sid").alias("comp"))
     named = stage(named)

@@ -66,6 +66,39 @@ def test_frequent_class_agrees_with_single_shingles(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == with_pairs
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_crowds_near_the_threshold(spark, monkeypatch, seed):
+    """Most of a crowd is settled before the last step, which still finds what is left."""
+    r = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows, sets = [], []
+    for i in range(400):
+        words = list(base)
+        for at in r.choice(150, r.integers(0, 7), replace=False):
+            words[at] = f"e{i if r.random() < 0.7 else r.integers(0, 3)}x{at}"
+        words = words[: 150 - r.integers(0, 12)] if r.random() < 0.3 else words
+        rows.append((i, " ".join(words)))
+        sets.append({tuple(words[j : j + 4]) for j in range(len(words) - 3)})
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    met, all_pairs = [], ngram_join._all_pairs
+
+    def last_step(shared, percent):
+        other = shared.where("own").selectExpr("sig", "sid as hub", "comp as hub_comp")
+        met.append(shared.join(other, "sig").where("comp <> hub_comp").count())
+        return all_pairs(shared, percent)
+
+    monkeypatch.setattr(ngram_join, "_all_pairs", last_step)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {row["doc_id"]: row["component_id"] for row in ngram_join.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(group))
+    assert met[0] < 50_000
+
+
 def test_urls(spark):
     rules = [urls.site_rule("net/", "block"), urls.site_rule("example.net/en/", "allow"), urls.word_rule("casino")]
     pages = [
