@@ -26,6 +26,8 @@ from ctxrank.session import BROADCAST_BYTES, broadcast_within, stage
 DOCUMENTS = 128
 SAMPLE_ROWS = 20_000
 FIRST_BLOCKS = 4
+# Entries of an index that a task sorts.
+TASK_ENTRIES = 1_000_000
 # Bounds and products held back before they are merged.
 ENTRIES = 4_000_000
 
@@ -145,7 +147,8 @@ def sparse_blocks(index: DataFrame, size: int = DOCUMENTS) -> DataFrame:
     """``(block, docids, sizes, terms, weights, bound_terms, highs, lows)`` of a ``term_index``, staged.
 
     Documents are ordered by their heaviest term, so that a block's documents share
-    terms. Its entries stand document after document, ``sizes`` of them each.
+    terms. Its entries stand document after document, ``sizes`` of them each. They are sorted
+    in tasks of about ``TASK_ENTRIES``, however large the index is.
     """
     kind = T.StructType().add("block", T.LongType()).add("docids", T.ArrayType(index.schema["docid"].dataType))
     kind = kind.add("sizes", T.ArrayType(T.IntegerType())).add("terms", index.schema["terms"].dataType)
@@ -154,7 +157,10 @@ def sparse_blocks(index: DataFrame, size: int = DOCUMENTS) -> DataFrame:
     kind = kind.add("highs", numbers).add("lows", numbers)
     place = F.array_position("weights", F.array_max("weights")).cast("int")
     rows = index.select("docid", "terms", "weights", F.try_element_at("terms", place).alias("heaviest"))
-    rows = stage(rows).repartitionByRange("heaviest", F.xxhash64("docid")).sortWithinPartitions("heaviest", "docid")
+    rows = stage(rows)
+    entries = rows.select(F.sum(F.size("terms"))).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
+    rows = rows.repartitionByRange(tasks, "heaviest", F.xxhash64("docid")).sortWithinPartitions("heaviest", "docid")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import ctxrank.sources.store as store_module
-from ctxrank.operators import search
+from ctxrank.operators import bounded, search
 from ctxrank.operators.models import encode_texts, generate
 from ctxrank.operators.questions import cut_no_content, question_vectors
-from ctxrank.operators.search import dense_topk, term_index
+from ctxrank.operators.search import dense_topk, sparse_topk, term_index
 from ctxrank.session import by_bytes, new_folder, stage
 from ctxrank.sources.store import generated_store
 from workload.fixtures import term_weights
@@ -99,6 +99,27 @@ def test_terms_are_counted_in_tasks_of_bounded_size(spark):
     assert plan(term_index(counted)).count("(Exchange)") <= 1 or plan(term_index(counted)).count("Arguments: hashpartitioning") == 1
 
 
+def test_scan_of_plain_postings_counts_nothing_itself(spark):
+    """A task of the scan reads several splits; sums made in it would all be held by that one task."""
+    postings = spark.createDataFrame([(d, f"t{t}", 1 + d % 3) for d in range(60) for t in range(d % 5, 9)], "docid long, term string, weight long")
+    queries = spark.createDataFrame([(0, "t3", 2), (0, "t7", 1), (1, "t1", 1), (1, None, 1)], "qid long, term string, weight long")
+    hits = sparse_topk(queries, postings, 4, scan_tasks=2)
+    assert "Aggregate" not in plan(hits)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, sparse_topk(queries, term_index(postings), 4).collect()))
+
+
+def test_index_is_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    rows = [(d, f"t{t}", float(1 + (d * t) % 7)) for d in range(300) for t in range(10)]
+    index = stage(term_index(spark.createDataFrame(rows, "docid long, term string, weight double")))
+    monkeypatch.setattr(bounded, "TASK_ENTRIES", 50)
+    asked, kind = [], type(index)
+    repartition = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *args: asked.append(args[0]) or repartition(df, *args))
+    blocks = bounded.sparse_blocks(index)
+    assert asked == [60]
+    assert sorted(d for b in blocks.collect() for d in b["docids"]) == list(range(300))
+
+
 def test_models_get_few_texts_a_call(spark):
     def make_generator():
         return lambda prompts, n, temperature: [[str(len(prompts))] * n for _ in prompts]
