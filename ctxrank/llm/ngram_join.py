@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ctxrank.llm.arrays import NOT_SPACE, mix, prefix_sums, sequence_hashes, slices, window_hashes, words
 from ctxrank.llm.components import components
 from ctxrank.llm.tables import joinable
-from ctxrank.session import stage
+from ctxrank.session import stage, staging
 
 WORDS = 4
 PERCENT = 85
@@ -49,7 +49,8 @@ BUCKET_BYTES = 4 << 20
 JOIN_BYTES = 32 << 20
 STAR_ROUNDS = 3
 # Signatures of more than CROWD sets get rounds of HUBS hubs each, as long as a round settles
-# a share of at least one in GAIN of the pairs that they leave to the last step.
+# a share of at least one in GAIN of the pairs that they leave to the last step. A round reads
+# the whole index, so none is made for fewer pairs than the index has entries.
 CROWD = 64
 HUBS = 16
 GAIN = 8
@@ -365,13 +366,18 @@ def _star_pairs(shared: DataFrame, seed: int, percent: int) -> DataFrame:
     return best.select("sid", F.col("best.hub").alias("hub"))
 
 
-def _crowds(shared: DataFrame) -> tuple[DataFrame, int, int]:
-    """The signatures of many sets, their entries, and the pairs they leave between components."""
-    parts = shared.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    sums = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-    crowds = stage(sums.where(f"n > {CROWD} and n * n > inside"))
-    entries, pairs = crowds.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
-    return crowds.select("sig"), int(entries or 0), int(pairs or 0)
+def _crowds(shared: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """The signatures of many sets, their entries, the pairs they have between components, and those the last step meets.
+
+    That step joins a set only with those indexed by their own prefix, and two of these once.
+    """
+    parts = shared.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
+    pairs = {"n": "n * n / 2", "met": "n * own - own * own / 2"}
+    inside = [F.sum(F.expr(pair)).alias(f"{name}_inside") for name, pair in pairs.items()]
+    sums = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), *inside)
+    crowds = stage(sums.where(f"n > {CROWD} and n * n / 2 > n_inside"))
+    between = [F.sum(F.expr(f"{pair} - {name}_inside")) for name, pair in pairs.items()]
+    return crowds.select("sig"), *(int(x or 0) for x in crowds.agg(F.sum("n"), *between).first())
 
 
 def _crowd_pairs(shared: DataFrame, crowds: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -475,48 +481,52 @@ def grouped(docs: DataFrame, k: int, percent: int, join_bytes: int) -> DataFrame
     """(doc, text_key, n, group, component) of every row; ``NO_ID`` stands for a null id.
 
     ``group`` tells components apart, also where they share their smallest id; it is null
-    for a row without a set.
+    for a row without a set. What a round has staged is deleted when the next one begins.
     """
-    sets = stage(set_sizes(docs, k))
-    kinds = stage(sets.where("n > 0").groupBy("sid").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
-    total = kinds.agg(F.sum("n")).first()[0] or 0
-    copies = sets.join(kinds.where("rows > 1").select("sid", "least"), "sid").where("doc <> least").select("doc").distinct()
-    # A row goes on if it is the first of its kind; an id of several rows goes on whole.
-    several = sets.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
-    skipped = joinable(stage(copies.join(several, "doc", "left_anti")), join_bytes)
-    rows = _rows(docs).join(skipped, "doc", "left_anti")
-    shared = stage(shared_signatures(rows, frequent_shingles(rows, total, k), k, percent))
-
-    labels: DataFrame | None = None
-    open_rows = shared.withColumns({"comp": F.col("sid"), "members": F.lit(1).cast("long")})
-    seed, progress, before = 0, True, None
-    while True:
-        star, last = seed < STAR_ROUNDS and progress, False
-        if not star:
-            crowds, entries, apart = _crowds(open_rows)
-            last = apart <= HUBS * entries or before is not None and GAIN * (before - apart) < before
-            before = apart
-        if last:
-            pairs = stage(_all_pairs(open_rows, percent))
-        else:
-            pairs = stage(_star_pairs(open_rows, seed, percent) if star else _crowd_pairs(open_rows, crowds, seed, percent))
-        found = verified(docs, pairs, kinds, k, percent, join_bytes)
-        new = stage(found.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
-        progress = seed < 2 or not new.isEmpty()
-        labels = components(new if labels is None else labels.unionByName(new))
-        if last:
-            break
-        seed += 1
-        sizes = labels.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("members"))
-        known = shared.join(labels, F.col("sid") == F.col("a"), "left").select("sig", "sid", "n", "rare", "own", F.coalesce("b", "sid").alias("comp"))
-        left = _still_open(known, percent).join(sizes, "comp", "left")
-        open_rows = stage(left.withColumn("members", F.coalesce("members", F.lit(1))))
-    named = kinds.join(labels, F.col("sid") == F.col("a"), "left").select("sid", "least", F.coalesce("b", "sid").alias("comp"))
-    named = stage(named)
-    first = named.groupBy("comp").agg(F.min("least").alias("component"))
-    by_set = joinable(stage(named.join(first, "comp").select("sid", F.col("comp").alias("group"), "component")), join_bytes)
+    with staging(docs.sparkSession) as keep_only:
+        sets = stage(set_sizes(docs, k))
+        kinds = stage(sets.where("n > 0").groupBy("sid").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
+        total = kinds.agg(F.sum("n")).first()[0] or 0
+        copies = sets.join(kinds.where("rows > 1").select("sid", "least"), "sid").where("doc <> least").select("doc").distinct()
+        # A row goes on if it is the first of its kind; an id of several rows goes on whole.
+        several = sets.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+        skipped = stage(copies.join(several, "doc", "left_anti"))
+        rows = _rows(docs).join(joinable(skipped, join_bytes), "doc", "left_anti")
+        shared = stage(shared_signatures(rows, frequent_shingles(rows, total, k), k, percent))
+
+        labels: DataFrame | None = None
+        open_rows = shared.withColumns({"comp": F.col("sid"), "members": F.lit(1).cast("long")})
+        seed, progress, before = 0, True, None
+        while True:
+            star, last = seed < STAR_ROUNDS and progress, False
+            if not star:
+                crowds, entries, apart, met = _crowds(open_rows)
+                last = apart <= HUBS * entries or before is not None and GAIN * (before - apart) < before
+                last = last or met <= shared.count()
+                before = apart
+            if last:
+                pairs = stage(_all_pairs(open_rows, percent))
+            else:
+                pairs = stage(_star_pairs(open_rows, seed, percent) if star else _crowd_pairs(open_rows, crowds, seed, percent))
+            found = verified(docs, pairs, kinds, k, percent, join_bytes)
+            new = stage(found.select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+            progress = seed < 2 or not new.isEmpty()
+            labels = components(new if labels is None else labels.unionByName(new))
+            if last:
+                break
+            seed += 1
+            sizes = labels.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("members"))
+            known = shared.join(labels, F.col("sid") == F.col("a"), "left").select("sig", "sid", "n", "rare", "own", F.coalesce("b", "sid").alias("comp"))
+            left = _still_open(known, percent).join(sizes, "comp", "left")
+            open_rows = stage(left.withColumn("members", F.coalesce("members", F.lit(1))))
+            keep_only(sets, kinds, shared, labels, open_rows)
+        named = kinds.join(labels, F.col("sid") == F.col("a"), "left").select("sid", "least", F.coalesce("b", "sid").alias("comp"))
+        named = stage(named)
+        first = named.groupBy("comp").agg(F.min("least").alias("component"))
+        by_set = stage(named.join(first, "comp").select("sid", F.col("comp").alias("group"), "component"))
+        keep_only(sets, by_set)
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    return sets.join(by_set, "sid", "left").select("doc", "text_key", "n", "group", own.alias("component"))
+    return sets.join(joinable(by_set, join_bytes), "sid", "left").select("doc", "text_key", "n", "group", own.alias("component"))
 
 
 def near_duplicates(
