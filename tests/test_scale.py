@@ -10,6 +10,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -195,3 +196,26 @@ def test_question_similarity_takes_all_pairs(spark, tmp_path):
     found = queries()["a4_question_similarity"](spark, str(tmp_path))
     # 30 of 300 groups are queries of five rows, the others documents.
     assert found.count() == 150 * 270
+
+
+def test_all_pairs_take_tasks_by_their_products(spark):
+    queries = spark.range(30_000).selectExpr("id as qid", "array(1.0D) as vec")
+    vectors = spark.range(30_000).selectExpr("id as docid", "array(1.0D) as vec")
+    parts = all_question_statistics(queries, vectors).rdd.getNumPartitions()
+    assert parts * (64 << 20) >= 30_000**2 > 8 * (64 << 20)
+
+
+def test_ids_of_all_pairs_take_little_of_the_result(spark, tmp_path):
+    queries = spark.range(20_000).selectExpr("id as qid", "array(double(id)) as vec")
+    # Document 0 has 2,001 questions, the others one each.
+    vectors = spark.range(2_151).selectExpr("greatest(id - 2000, 0) as docid", "array(double(id)) as vec")
+    all_question_statistics(queries, vectors).write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    right = """max_sim = qid * (docid + 2000) and mean_sim = qid * if(docid = 0, 1000, docid + 2000)
+        and questions = if(docid = 0, 2001, 1)"""
+    assert found.where(right).distinct().count() == found.count() == 20_000 * 151
+    size = 0
+    for file in (tmp_path / "found").glob("*.parquet"):
+        parquet = pq.ParquetFile(file).metadata
+        size += sum(parquet.row_group(i).column(0).total_compressed_size for i in range(parquet.num_row_groups))
+    assert size < 20_000 * 151
